@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination, judged
 from .minhash_dedup import near_duplicates
+from .quality_rules import quality
 from .suffix_dedup import without_repeats
 
 
@@ -15,6 +17,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of all documents."""
+    out = quality(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    out = judged(contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+
+
 def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that no repeated 400-byte string covers."""
     out = without_repeats(_table(spark, sf_dir, "documents"))
@@ -27,9 +42,50 @@ def op9_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_frequency": op1_line_frequency,
+    "op4_suffix_automaton": op4_suffix_automaton,
     "op3_run_length_index": op3_run_length_index,
     "op9_minhash_tensored": op9_minhash_tensored,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_frequency": r"""
+        with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as t from documents),
+        w as (select doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, t from d),
+        g as (select doc_id, p, list_slice(w, p, p + 7) as win from (select doc_id, w, unnest(range(1, len(w) - 6)) as p from w)),
+        again as (select doc_id, win from g group by all having count(*) > 1),
+        cover as (select doc_id, count(distinct p + k) as n from (select g.doc_id, g.p, unnest(range(0, 8)) as k from g join again using (doc_id, win)) group by doc_id),
+        l as (select doc_id, host, t, line from (select doc_id, host, t, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]')),
+        dup as (select doc_id, count(*) - count(distinct line) as n from l group by doc_id),
+        norm as (select doc_id, host, t, trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) as line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from l),
+        hosts as (select host, count(distinct t) as docs from norm group by host),
+        often as (select host, line, count(distinct t) as n, min(doc_id) as first from norm group by host, line having count(distinct t) > 50),
+        above as (select host, line, first from often join hosts using (host) where 100 * n > 2 * docs),
+        gone as (select doc_id, sum(words) as n from norm join above using (host, line) where doc_id <> first group by doc_id),
+        c as (
+            select w.doc_id, len(w.w)::bigint as n_words,
+                (length(t) - length(regexp_replace(t, '[^\x20\x09-\x0D]+', '', 'g')))::bigint as word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
+                coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(cover.n, 0)::bigint as n_repeat_words, coalesce(gone.n, 0)::bigint as removed_words
+            from w left join dup using (doc_id) left join cover using (doc_id) left join gone using (doc_id))
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+            not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not 100 * removed_words > 50 * n_words as kept, removed_words
+        from c
+    """,
+    "op4_suffix_automaton": r"""
+        with low as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+        d as (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from low),
+        b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
+        i as (select item_id, w, len(w) as n, least(len(w), 13) as k from b where len(w) > 0),
+        iw as (select distinct item_id, k, list_slice(w, p, p + k - 1) as win from (select item_id, w, k, unnest(range(1, n - k + 2)) as p from i)),
+        dw as (select doc_id, k, p, list_slice(w, p, p + k - 1) as win from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from i))),
+        m as (select doc_id, p, dw.k, item_id from dw join iw using (k, win)),
+        hit as (select doc_id, count(distinct x) as n from (select doc_id, unnest(range(p, p + k)) as x from (select distinct doc_id, p, k from m)) group by doc_id),
+        its as (select doc_id, count(*) as n, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct doc_id, item_id from m) group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(hit.n, 0)::bigint as n_hit, coalesce(its.n, 0)::bigint as n_items,
+            sha256(coalesce(ids, '')) as items_sha256, coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(w) as contaminated
+        from d left join hit using (doc_id) left join its using (doc_id)
+    """,
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from .decontaminate import contamination, judged
 from .minhash_dedup import near_duplicates
 from .quality_rules import quality
 from .suffix_dedup import without_repeats
+from .token_output import token_digests
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,16 @@ def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    return importlib.import_module("public_tokenizers").path(name)
+
+
+def op5_zstd_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written with a shared dictionary and read back."""
+    return token_digests(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -45,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op4_suffix_automaton": op4_suffix_automaton,
     "op3_run_length_index": op3_run_length_index,
+    "op5_zstd_dictionary": op5_zstd_dictionary,
     "op9_minhash_tensored": op9_minhash_tensored,
 }
 

@@ -1,9 +1,10 @@
 """MinHash near-duplicate groups with tensored banding.
 
 Two small collections of hash groups, left and right, are computed for each document; a table key is a pair of one
-left and one right group, so SIDE * SIDE tables cost only 2 * SIDE * WIDTH minhashes. Keys are formed only from
-groups that some other document shares. Every candidate that is near enough by its signature is confirmed on the
-full shingle sets.
+left and one right group, so SIDE * SIDE tables cost only 2 * SIDE * WIDTH minhashes. The diagonal tables, left and
+right group of one number, are filled first and link most copies to the smallest document under their key. The other
+tables are filled only for left groups whose documents these links leave in different components. Every candidate
+that is near enough by its signature is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ PERCENT = 75  # least similarity of a link
 SIDE = 16  # groups in each of the two collections
 WIDTH = 3  # minhashes in a group
 HASHES = 2 * SIDE * WIDTH
-#: A pair at the least similarity agrees in 72 of 96 minhashes; below 42 lies under one true pair in 10**10.
-AGREE = 42
-#: Distinct documents under a key that are compared at once; larger groups are split and dealt as pairs of blocks.
+#: A pair at the least similarity agrees in 72 of 96 minhashes on average; two in 100,000 agree in less than 54.
+AGREE = 54
+#: Documents under a key that are compared at once; more are dealt as pairs of blocks, and beyond CROWD by right groups.
 BLOCK = 512
+CROWD = 4096
 
 _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=U64)) | U64(1)
 
@@ -116,29 +118,34 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, checked: bool =
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components inside one cell, by signature. Rows come sorted by cell; a cell is bounded."""
+    """Pairs of different components inside one cell. Rows come sorted by cell; a cell is bounded.
+
+    A pair under several keys is given once, in the cell of the first left group (and right group) that it shares.
+    """
     held: list[pa.RecordBatch] = []
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
-        cell = table.column("cell").to_numpy()
+        cell, ids, comp, n, slot, other_slot = (table.column(x).to_numpy() for x in ("cell", "doc_id", "component", "n_shingles", "slot", "right_slot"))
         sig = _rows(table.column("sig").combine_chunks())
-        ids, comp, n = (table.column(x).to_numpy() for x in ("doc_id", "component", "n_shingles"))
-        left = table.column("left").to_numpy(zero_copy_only=False)
-        right = table.column("right").to_numpy(zero_copy_only=False)
+        groups = table.column("groups").combine_chunks().flatten().to_numpy().reshape(-1, 2 * SIDE)
+        low, high = (table.column(x).to_numpy(zero_copy_only=False) for x in ("lower", "upper"))
         cuts = np.flatnonzero(np.diff(cell)) + 1
         a, b = [], []
         for lo, hi in zip([0, *cuts], [*cuts, len(cell)], strict=True):
             if comp[lo:hi].min() == comp[lo:hi].max():
                 continue
-            rights = np.flatnonzero(right[lo:hi]) + lo
-            for i in np.flatnonzero(left[lo:hi]) + lo:
-                other = rights[(comp[rights] != comp[i]) & (100 * np.minimum(n[rights], n[i]) >= PERCENT * np.maximum(n[rights], n[i]))]
+            uppers = np.flatnonzero(high[lo:hi]) + lo
+            for i in np.flatnonzero(low[lo:hi]) + lo:
+                # in a block with itself each pair is seen from its smaller id
+                other = uppers[(comp[uppers] != comp[i]) & (100 * np.minimum(n[uppers], n[i]) >= PERCENT * np.maximum(n[uppers], n[i])) & (~(low[uppers] & high[i]) | (ids[uppers] > ids[i]))]
                 other = other[(sig[other] == sig[i]).sum(1) >= AGREE]
-                a.append(np.minimum(ids[other], ids[i]))
-                b.append(np.maximum(ids[other], ids[i]))
+                same = groups[other] == groups[i]
+                left, right = same[:, :SIDE], same[:, SIDE:]
+                ok = (left.argmax(1) == slot[i]) & right.any(1) & ((other_slot[i] < 0) | (right.argmax(1) == other_slot[i]))
+                a.append(np.minimum(ids[other[ok]], ids[i]))
+                b.append(np.maximum(ids[other[ok]], ids[i]))
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        found = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -147,34 +154,44 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(x.num_rows for x in held) >= 20_000:
             table = pa.Table.from_batches(held)
             cell = table.column("cell").to_numpy()
-            last = int(np.searchsorted(-(cell != cell[-1]).astype(int), 0))
-            if last:
+            other = np.flatnonzero(cell != cell[-1])
+            if len(other):
+                last = int(other[-1]) + 1
                 yield pairs(table.slice(0, last))
                 held = table.slice(last).combine_chunks().to_batches()
     if held:
         yield pairs(pa.Table.from_batches(held))
 
 
-def _rest(tables: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidates that the first links leave open: documents under one key but in different components.
+def _spanning(rows: DataFrame) -> DataFrame:
+    """The rows under keys that still hold more than one component, with the number of documents under the key."""
+    keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    return rows.join(keys, "key")
+
+
+def _rest(lefts: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """Candidates of all tables that the diagonal ones leave open: pairs of different components under one key.
 
-    Keys with more than BLOCK documents first split by the further groups that documents share; what is still
-    larger is compared as pairs of blocks, each a task's cell. Nothing is left out.
+    Documents meet under their left groups; those of a pair that share a right group too are under one table's key.
+    A left group with more than CROWD documents is first dealt by right groups, so its keys are formed outright. A
+    cell of more than BLOCK documents is compared as pairs of blocks, each its own cell. Nothing is left out.
     """
-    own = tables.join(comps, tables.doc_id == comps.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    rows = own.join(open_keys, "key")
-    few = rows.where(F.col("n") <= BLOCK).select("key", "doc_id", "component", "n")
-    many = rows.where(F.col("n") > BLOCK).join(reps.select("doc_id", "shared"), "doc_id")
-    many = many.select(F.explode("shared").alias("more"), "key", "doc_id", "component").select(F.xxhash64("key", "more").alias("key"), "doc_id", "component")
-    sizes = many.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    rows = few.unionByName(many.join(sizes, "key"))
+    own = lefts.join(comps, lefts.doc_id == comps.node, "left").select("key", "slot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rows = _spanning(own)
+    few = rows.where(F.col("n") <= CROWD).withColumn("right_slot", F.lit(-1))
+    many = rows.where(F.col("n") > CROWD).join(reps.select("doc_id", F.slice("groups", SIDE + 1, SIDE).alias("rights")), "doc_id")
+    many = many.select("key", "slot", "doc_id", "component", F.posexplode("rights").alias("right_slot", "right"))
+    many = _spanning(many.select(F.xxhash64("key", "right").alias("key"), "slot", "doc_id", "component", "right_slot"))
+    rows = few.unionByName(many)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own_block = F.when(blocks > 1, F.pmod(F.xxhash64("doc_id"), blocks)).otherwise(0).cast("int")
-    # a row goes to the cells of its block with every block; in a cell, the lower block's rows are compared with the higher's
+    # a row goes to the cells of its block with every block; there the lower block's rows meet the upper one's
     cells = rows.withColumns({"nb": blocks, "own": own_block}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    cells = cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "doc_id", "component", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
-    cells = cells.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id").select("cell", "doc_id", "component", "left", "right", "n_shingles", "sig")
+    cells = cells.select(
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "slot", "right_slot", "doc_id", "component",
+        (F.col("own") <= F.col("other")).alias("lower"), (F.col("own") >= F.col("other")).alias("upper"),
+    )
+    cells = cells.join(reps.select("doc_id", "n_shingles", "sig", "groups"), "doc_id")
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "a long, b long")
 
 
@@ -192,32 +209,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = ["low", "high", "n_shingles"]
     classes = sk.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     heads = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
-    base = sk.select("doc_id", "n_shingles", "groups", "sig").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    # tables: keys of a shared left and a shared right group
-    base = saved(base, "heads")
-    each = base.select("doc_id", F.posexplode("groups").alias("slot", "g"))
-    common = each.groupBy("g").count().where("count > 1").select("g")
-    shared = each.join(common, "g").groupBy("doc_id").agg(F.collect_list(F.struct("slot", "g")).alias("s"))
-    pick = lambda test: F.transform(F.filter("s", test), lambda x: x["g"])
-    shared = shared.select("doc_id", pick(lambda x: x["slot"] < SIDE).alias("lefts"), pick(lambda x: x["slot"] >= SIDE).alias("rights"))
-    shared = saved(shared.where((F.size("lefts") > 0) & (F.size("rights") > 0)), "shared")
-    tables = shared.select("doc_id", "rights", F.explode("lefts").alias("l")).select("doc_id", "l", F.explode("rights").alias("r"))
-    tables = saved(tables.select(F.xxhash64("l", "r").alias("key"), "doc_id"), "tables")
-    reps = base.select("doc_id", "n_shingles", "sig").join(shared.select("doc_id", F.concat("lefts", "rights").alias("shared")), "doc_id")
-    reps = saved(reps, "reps")
-
-    # each document against the smallest under each of its keys, then whatever these links leave open
+    heads = sk.select("doc_id", "n_shingles", "groups", "sig").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    heads = saved(heads, "heads")
+
+    # documents that share a left group with another one; all others are alone under every key
+    each = heads.select("doc_id", F.posexplode(F.slice("groups", 1, SIDE)).alias("slot", "g")).select("doc_id", "slot", F.xxhash64("slot", "g").alias("key"))
+    common = each.groupBy("key").count().where("count > 1").select("key")
+    lefts = saved(each.join(common, "key").select("key", "slot", "doc_id"), "lefts")
+    reps = saved(heads.join(lefts.select("doc_id").distinct(), "doc_id", "left_semi"), "reps")
+    needed = texts.join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    needed = saved(needed, "near-texts")
+
+    # the diagonal tables: each document against the smallest one under its key
+    diagonal = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.xxhash64(i, F.get("groups", i), F.get("groups", i + SIDE)))
+    tables = reps.select("doc_id", F.explode(diagonal).alias("key"))
     hubs = tables.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     stars = tables.join(hubs, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    needed = texts.join(shared.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    needed = saved(needed, "near-texts")
     first = _links(stars, reps, needed)
     comps = saved(components(first), "components")
-    second = _links(_rest(tables, reps, comps), reps, needed, checked=True)
-    links = first.unionByName(second)
-    comps = saved(components(links), "components")
-    for table in (base, shared, tables, reps, needed):
+    # all tables: what these links leave open
+    second = _links(_rest(lefts, reps, comps), reps, needed, checked=True)
+    comps = saved(components(first.unionByName(second)), "components")
+    for table in (heads, lefts, reps, needed):
         forget(table)
 
     # rows to their class, class to its component

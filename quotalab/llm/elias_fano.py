@@ -31,6 +31,21 @@ class EliasFano:
         high = (_select(self.high, self.ones, k, False) - k).astype(U64)
         return (high << U64(self.low_bits)) | self._low(k)
 
+    def pair(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k-th and the next values of a sequence, as a pointer and the end of its range."""
+        pos = _select(self.high, self.ones, k, False)
+        at, shift = (pos + 1) >> 6, ((pos + 1) & 63).astype(U64)
+        word = self.high[at] & (ALL << shift)
+        empty = np.flatnonzero(word == 0)
+        while len(empty):
+            at[empty] += 1
+            word[empty] = self.high[at[empty]]
+            empty = empty[word[empty] == 0]
+        after = (at << 6) + np.bitwise_count((word & (~word + U64(1))) - U64(1))
+        bits = U64(self.low_bits)
+        first = ((pos - k).astype(U64) << bits) | self._low(k)
+        return first.astype(np.int64), (((after - k - 1).astype(U64) << bits) | self._low(k + 1)).astype(np.int64)
+
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first value that is x or more, whether it is x); places run up to n."""
         h = (x >> U64(self.low_bits)).astype(np.int64)
@@ -97,7 +112,8 @@ def encode(values: np.ndarray, universe: int) -> EliasFano:
     low = _words(np.concatenate(packed)) if packed else np.zeros(2, U64)
     high = (values >> U64(low_bits)).astype(np.int64)
     buckets = int(high[-1]) + 1 if n else 1
-    bits = np.zeros(n + buckets, np.uint8)
+    bits = np.zeros(n + buckets + 1, np.uint8)
+    bits[-1] = 1  # pair() finds an end after the last value too
     at = high + np.arange(n)
     bits[at] = 1
     zeros = np.flatnonzero(bits == 0)
@@ -110,6 +126,10 @@ def of_arrays(found: dict[str, np.ndarray], prefix: str) -> EliasFano:
     return EliasFano(n, low_bits, *(found[prefix + x] for x in ("low", "high", "ones", "zeros")))
 
 
+#: place of the k-th one of a byte, at 8 * byte + k
+_IN_BYTE = np.array([([b for b in range(8) if byte >> b & 1] + [0] * 8)[k] for byte in range(256) for k in range(8)], np.int64)
+
+
 def _select(words: np.ndarray, samples: np.ndarray, k: np.ndarray, zeros: bool) -> np.ndarray:
     """Positions of the k-th ones, or zeros."""
     flip = ALL if zeros else U64(0)
@@ -126,14 +146,14 @@ def _select(words: np.ndarray, samples: np.ndarray, k: np.ndarray, zeros: bool)
         count[more] = np.bitwise_count(word[more])
         more = more[rest[more] >= count[more]]
     base = at << 6
-    for half in (32, 16, 8, 4, 2, 1):
-        low = word & U64((1 << half) - 1)
-        c = np.bitwise_count(low).astype(np.int64)
+    for half in (32, 16, 8):
+        c = np.bitwise_count(word & U64((1 << half) - 1))
         up = rest >= c
-        rest -= np.where(up, c, 0)
-        base += np.where(up, half, 0)
-        word = np.where(up, word >> U64(half), low)
-    return base
+        rest -= c * up
+        up = up * half
+        base += up
+        word = word >> up.astype(U64)
+    return base + _IN_BYTE[((word & U64(255)).astype(np.int64) << 3) | rest]
 
 
 def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination, judged
 from .minhash_dedup import near_duplicates
+from .ngram_trie import score_texts
 from .quality_rules import quality
 from .suffix_dedup import without_repeats
 from .token_output import token_digests
@@ -48,6 +49,11 @@ def op5_zstd_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents under a trie of triples learnt from nine tenths of them."""
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_automaton": op4_suffix_automaton,
     "op3_run_length_index": op3_run_length_index,
     "op5_zstd_dictionary": op5_zstd_dictionary,
+    "op8_elias_fano_trie": op8_elias_fano_trie,
     "op9_minhash_tensored": op9_minhash_tensored,
 }
 

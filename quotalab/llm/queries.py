@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination, judged
 from .minhash_dedup import near_duplicates
 from .ngram_trie import score_texts
+from .piece_lattice import piece_digests
 from .quality_rules import quality
 from .suffix_dedup import without_repeats
 from .token_output import token_digests
@@ -59,6 +60,11 @@ def op9_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_nbest_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-best piece sequences of all documents, and whether they decode."""
+    return piece_digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op4_suffix_automaton": op4_suffix_automaton,
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_zstd_dictionary": op5_zstd_dictionary,
     "op8_elias_fano_trie": op8_elias_fano_trie,
     "op9_minhash_tensored": op9_minhash_tensored,
+    "op10_nbest_lattice": op10_nbest_lattice,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -212,19 +212,23 @@ def contamination(
     words or without an id match nothing; without items nothing matches. Items that share an id count as one. With
     more than block_words words of items, documents are matched against each block and rows must have distinct ids.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _contamination(texts, items, item_col, item_text_col, window, block_words, keep_text)
+
+
+def _contamination(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int, keep_text: bool) -> DataFrame:
+    """texts(doc_id, text, ...): further columns come through."""
     rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
-    parts = [_match(spark, texts, block, window, keep_text) for block in _blocks(rows, block_words)]
+    parts = [_match(texts.sparkSession, texts, block, window, keep_text) for block in _blocks(rows, block_words)]
     if len(parts) == 1:
         return parts[0]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    merged = union.groupBy("doc_id", *(["text"] if keep_text else [])).agg(
-        F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    others = [c for c in union.columns if c not in ("doc_id", "spans", "items")]
+    return union.groupBy("doc_id").agg(
+        *(F.first(c).alias(c) for c in others), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    return merged
 
 
 def hit_words(spans: str = "spans") -> F.Column:
@@ -253,10 +257,16 @@ def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 at = max(at, s["end"])
             out.append(b"".join([*parts, text[at:]]))
         column = pa.array(out, pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("rest"), column], ["rest", "text"])
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """(doc_id, text) of the documents that are not contaminated, without the spans that match an item."""
-    found = judged(contamination(docs, items, keep_text=True, **options)).where(~F.col("contaminated"))
-    return found.select("doc_id", "text", "spans").mapInArrow(_without_spans, "doc_id long, text string")
+def decontaminated(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of docs that are not contaminated, all columns, their text without the spans that match an item."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    found = judged(_contamination(texts, items, item_col, item_text_col, window, block_words, True)).where(~F.col("contaminated"))
+    cut = found.select("rest", "text", "spans").mapInArrow(_without_spans, f"rest {texts.schema['rest'].dataType.simpleString()}, text string")
+    return cut.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

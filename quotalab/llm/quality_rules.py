@@ -95,7 +95,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The rows of docs that quality() keeps, all columns, their text without the removed lines."""
-    verdict = quality(docs, id_col, text_col, host_col, **limits).where("kept").select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")).dropDuplicates(["__id"])
+    # written first: a filter on kept would be pushed into the counts, which then are made again for each use
+    verdict = saved(quality(docs, id_col, text_col, host_col, **limits).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"), F.col("kept").alias("__kept")), "verdicts")
+    verdict = verdict.where("__kept").drop("__kept").dropDuplicates(["__id"])
     both = docs.join(verdict, F.col(id_col) == F.col("__id"))
     own = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("__lines", line_hash(x))), "\n")
     return both.withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(own)).select(*docs.columns)

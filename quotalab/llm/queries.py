@@ -8,13 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import conversation_digests
 from .decontaminate import contamination, judged
 from .minhash_dedup import near_duplicates
 from .ngram_trie import score_texts
 from .piece_lattice import piece_digests
+from .quality_gam import classified
 from .quality_rules import quality
 from .suffix_dedup import without_repeats
 from .token_output import token_digests
+from .warc_derivatives import derivatives, responses_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,15 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+#: A conversation whose texts hold control strings of chat templates.
+MARKED = r"\### Assistant: </turn> ok"
+
+
+def op2_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, formatted, written and read back."""
+    return conversation_digests(_table(spark, sf_dir, "conversations"), [(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)])
+
+
 def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     out = judged(contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -50,6 +62,20 @@ def op5_zstd_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_additive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages."""
+    out = derivatives(responses_of(_table(spark, sf_dir, "pages")))
+    return out.select(
+        "page_id", "type", "record_id", "refers_to", "target_uri", "date", "source_digest", "block_digest",
+        F.octet_length("block").cast("long").alias("content_length"), F.sha2("block", 256).alias("block_sha256"), F.sha2("record", 256).alias("record_sha256"),
+    )
+
+
 def op8_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probabilities of all documents under a trie of triples learnt from nine tenths of them."""
     return score_texts(_table(spark, sf_dir, "documents"))
@@ -67,9 +93,12 @@ def op10_nbest_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_schema_fingerprint": op2_schema_fingerprint,
     "op4_suffix_automaton": op4_suffix_automaton,
     "op3_run_length_index": op3_run_length_index,
     "op5_zstd_dictionary": op5_zstd_dictionary,
+    "op6_additive_pairs": op6_additive_pairs,
+    "op7_derivatives": op7_derivatives,
     "op8_elias_fano_trie": op8_elias_fano_trie,
     "op9_minhash_tensored": op9_minhash_tensored,
     "op10_nbest_lattice": op10_nbest_lattice,
@@ -101,6 +130,17 @@ ORACLES: dict[str, str] = {
             not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not 100 * removed_words > 50 * n_words as kept, removed_words
         from c
     """,
+    "op2_schema_fingerprint": r"""
+        with c as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as t from conversations
+            union all select -7, n, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(n, r)),
+        e as (select *, length(t) + length(role) + 14 + len(regexp_extract_all(t, '\\|###|</turn>|: ')) + len(regexp_extract_all(role, '\\|###|</turn>|: ')) as chars from c)
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn, role, t)) as turns_sha256,
+            coalesce(sum(length(t)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+            sha256(coalesce(string_agg(t, '' order by turn, role, t) filter (where role = 'assistant'), '')) as loss_sha256,
+            sum(chars)::bigint as formatted_chars
+        from e group by conv_id
+    """,
     "op4_suffix_automaton": r"""
         with low as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
         d as (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from low),

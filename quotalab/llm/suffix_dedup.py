@@ -357,28 +357,41 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept, removed = [], []
-        for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            text, spans = text or b"", spans or []
-            at, out = 0, []
-            for s in spans:
-                out.append(text[at : s["start"]])
-                at = s["end"]
-            out.append(text[at:])
-            kept.append(b"".join(out))
-            removed.append(sum(s["end"] - s["start"] for s in spans))
-        names = [x for x in batch.schema.names if x not in ("text", "spans")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(kept, pa.binary()), pa.array(removed, pa.int64())], [*names, "kept", "n_removed"])
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            kept, removed = [], []
+            for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                text, spans = text or b"", spans or []
+                at, out = 0, []
+                for s in spans:
+                    out.append(text[at : s["start"]])
+                    at = s["end"]
+                out.append(text[at:])
+                kept.append(b"".join(out))
+                removed.append(sum(s["end"] - s["start"] for s in spans))
+            names = [x for x in batch.schema.names if x not in ("text", "spans")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(kept, pa.binary()), pa.array(removed, pa.int64())], [*names, "kept", "n_removed"])
+
+
+def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same, as text: the pieces of a character that is cut go too."""
+    for batch in _cut(batches):
+        text = pa.array([x.decode(errors="ignore") for x in batch.column("kept").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("rest"), text], ["rest", "text"])
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_columns: bool = False) -> DataFrame:
     """Each row of docs as (doc_id, n_bytes, n_removed, n_spans, kept): kept has the bytes that no repeat covers.
 
-    Null texts are empty. Rows without an id are kept whole. One row comes back for each row of docs.
+    With keep_columns the columns of docs instead, with the text cut. Null texts are empty. Rows without an id are
+    kept whole. One row comes back for each row of docs.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([rest.alias("rest")] if keep_columns else []))
     both = texts.join(repeated_spans(docs, id_col, text_col, length), "doc_id", "left")
+    if keep_columns:
+        cut = both.select("rest", "text", "spans").mapInArrow(_cut_text, f"rest {texts.schema['rest'].dataType.simpleString()}, text string")
+        return cut.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
     both = both.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), "text", "spans")
     both = both.withColumn("n_spans", F.greatest("n_spans", F.lit(0).cast("long")))
     return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_spans long, kept binary, n_removed long").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")

@@ -1,4 +1,309 @@
-"""Registered queries over the allocation ledger."""
+"""Registered queries over the allocation ledger derived from the warehouse tables."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import ForecastSettings, Settings
+from .functions.numbers import round_even
+from .operators import dominance as D
+from .operators import features as X
+from .operators import history as H
+from .operators import orders as O
+from .operators import panel as P
+from .operators import policy as Q
+from .oracles import ORACLES as ORACLES
+from .plans.forecast import feature_table
+from .plans.models import MODELS
+from .sources.synthetic import calibration, synthetic_ledger
+from .sources.warehouse import MONTHS, ledger
+
+SETTINGS = Settings(months=MONTHS)
+#: The months of the learnt models' queries; the window forms take the whole history.
+MODEL_MONTHS = tuple(f"{y}-{m:02d}" for y in (2000, 2001) for m in range(1, 13) if (y, m) <= (2001, 7))
+CATEGORIES = ["CATEGORIA_A", "CATEGORIA_B", "CATEGORIA_C"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Every double rounded, so that the last bits of sums do not show."""
+    return df.select(*(F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def _orders(spark: SparkSession, folder: str, months: tuple[str, ...] | None = None) -> DataFrame:
+    return O.consolidated(O.flagged(ledger(spark, folder, months), SETTINGS), SETTINGS)
+
+
+def _panel(spark: SparkSession, folder: str) -> DataFrame:
+    return P.balanced(P.monthly(_orders(spark, folder, MONTHS)), MONTHS)
+
+
+def _metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return P.metrics(_panel(spark, folder), MONTHS, SETTINGS)
+
+
+def _policies(spark: SparkSession, folder: str) -> DataFrame:
+    return Q.policies(_metrics(spark, folder), SETTINGS)
+
+
+def _costs(spark: SparkSession, folder: str) -> DataFrame:
+    return D.costs(_panel(spark, folder), _policies(spark, folder), SETTINGS)
+
+
+def _history(spark: SparkSession, folder: str, months: tuple[str, ...] | None = None) -> DataFrame:
+    """Months in which a pair has orders, as the history keeps them."""
+    totals = {"consumo_total": F.col("consumo_reg") + F.col("consumo_extra"), "demanda_total": F.col("demanda_reg") + F.col("demanda_extra")}
+    return P.monthly(_orders(spark, folder, months)).withColumns(totals).select(*H.HISTORY)
+
+
+def ledger_normalize(spark, folder):
+    rows = ledger(spark, folder)
+    return rows.groupBy("categoria", "status", "mes", "pedido_extra").agg(F.count("*").alias("n"), *(F.sum(q).alias(q) for q in ("qtd_solic", "qtd_env", "qtd_rec")))
+
+
+def ledger_flags(spark, folder):
+    flags = ["flag_env_maior_solic", "flag_rec_maior_env", "flag_fin_sem_rec", "flag_qualquer_erro"]
+    return O.flagged(ledger(spark, folder), SETTINGS).groupBy("unidade", "produto", "status").agg(*(F.count_if(f).alias(f) for f in flags))
+
+
+def ledger_consumption(spark, folder):
+    return _orders(spark, folder).groupBy("unidade", "produto", "status").agg(F.sum("qtd_consumo").alias("qtd_consumo"), F.max("qtd_consumo").alias("maior"))
+
+
+def ledger_demand(spark, folder):
+    return _orders(spark, folder).groupBy("unidade", "mes").agg(F.sum("qtd_demanda").alias("qtd_demanda"))
+
+
+def unit_anonymize_rank(spark, folder):
+    return O.unit_aliases(ledger(spark, folder))
+
+
+def anonymized_totals(spark, folder):
+    return O.anonymised(ledger(spark, folder)).groupBy("unidade").agg(F.count("*").alias("n"), F.sum("qtd_solic").alias("qtd_solic"))
+
+
+def flag_error_rates(spark, folder):
+    return O.error_rates(O.flagged(ledger(spark, folder), SETTINGS))
+
+
+def monthly_pivot(spark, folder):
+    return P.monthly(_orders(spark, folder, MONTHS))
+
+
+def pair_metrics(spark, folder):
+    return rounded(_metrics(spark, folder).drop("proj_ponderada", "desvio_padrao", "cv", "classe_xyz"))
+
+
+def pair_dispersion(spark, folder):
+    return rounded(_metrics(spark, folder).select(*P.PAIR, "desvio_padrao", "cv"))
+
+
+def xyz_class(spark, folder):
+    return _metrics(spark, folder).select(*P.PAIR, "classe_xyz")
+
+
+def xyz_distribution(spark, folder):
+    return P.counts_by(_metrics(spark, folder), "classe_xyz")
+
+
+def wma_projection(spark, folder):
+    return rounded(_metrics(spark, folder).select(*P.PAIR, "proj_ponderada"))
+
+
+def k_buffer(spark, folder):
+    return _policies(spark, folder).select(*P.PAIR, "k")
+
+
+def quota_policies(spark, folder):
+    return rounded(_policies(spark, folder).select(*P.PAIR, "cota_conservadora", "cota_buffer"))
+
+
+def marginal_need(spark, folder):
+    return rounded(_policies(spark, folder).select(*P.PAIR, "necessidade_marginal_conserv", "necessidade_marginal_buffer"))
+
+
+def suggested_action(spark, folder):
+    return rounded(_policies(spark, folder).select(*P.PAIR, "consumo_medio_mensal", "classe_xyz", "k", "cota_conservadora", "cota_buffer", "acao_sugerida"))
+
+
+def action_distribution(spark, folder):
+    return P.counts_by(_policies(spark, folder), "acao_sugerida")
+
+
+def policy_costs(spark, folder):
+    rows = _costs(spark, folder)
+    sums = {f"custo_{p}": F.aggregate(f"c_{p}", F.lit(0.0), lambda a, x: a + x) for p in D.POLICIES}
+    return rounded(rows.select(*P.PAIR, *(f"q_{p}" for p in D.POLICIES), *(x.alias(name) for name, x in sums.items())))
+
+
+def expected_cost(spark, folder):
+    return rounded(D.expected(_costs(spark, folder)).select(*P.PAIR, *(f"custo_esp_{p}" for p in D.POLICIES)))
+
+
+def preferred_policy(spark, folder):
+    return D.expected(_costs(spark, folder)).select(*P.PAIR, "politica_preferida")
+
+
+def preferred_distribution(spark, folder):
+    return P.counts_by(D.expected(_costs(spark, folder)), "politica_preferida")
+
+
+def cost_cdf_grid(spark, folder):
+    return rounded(D.cdf_grid(_costs(spark, folder), points=SETTINGS.grid))
+
+
+def _compared(spark, folder, mode):
+    return D.dominated(_costs(spark, folder), SETTINGS, mode).select(*P.PAIR, *(name for name, _, _ in D.COMPARED))
+
+
+def ssd_reference(spark, folder):
+    return _compared(spark, folder, "reference")
+
+
+def ssd_cost_mode(spark, folder):
+    return _compared(spark, folder, "cost")
+
+
+def bootstrap_seeded_costs(spark, folder):
+    return rounded(D.seeded_costs(_costs(spark, folder), SETTINGS))
+
+
+def month_gate(spark, folder):
+    return X.gate_table(_history(spark, folder))
+
+
+def feat_lags(spark, folder):
+    names = [f"lag_{i}{s}" for i in range(1, 5) for s in ("", "_disp")]
+    return X.temporal(_history(spark, folder)).select(*X.KEY, "mes", *names)
+
+
+def feat_rolling(spark, folder):
+    return rounded(X.temporal(_history(spark, folder)).select(*X.KEY, "mes", "media_3m", "std_3m"))
+
+
+def feat_trend_month(spark, folder):
+    return X.temporal(_history(spark, folder)).select(*X.KEY, "mes", "trend_idx", "mes_num")
+
+
+def feat_regime(spark, folder):
+    rows = X.with_regimes(_history(spark, folder), _metrics(spark, folder))
+    return rounded(rows.select(*X.KEY, "mes", "consumo_medio_hist", "cv_hist", *(f"regime_{r}" for r in X.REGIMES)))
+
+
+def feat_onehot(spark, folder):
+    rows = X.one_hot(_history(spark, folder).withColumn("mes_num", F.month(F.to_date("mes", "yyyy-MM"))), "categoria", "cat", CATEGORIES)
+    return X.one_hot(rows, "mes_num", "mes", list(range(1, 13))).select(*X.KEY, "mes", *(f"cat_{c}" for c in CATEGORIES), *(f"mes_{m}" for m in range(1, 13)))
+
+
+def feat_next_period(spark, folder):
+    rows = X.temporal(X.with_next_month(_history(spark, folder))).where("is_future")
+    return rounded(rows.select(*X.KEY, "categoria", "mes", "lag_1", "lag_2", "media_3m", "std_3m", "trend_idx"))
+
+
+def _future(spark, folder):
+    return X.temporal(X.with_next_month(_history(spark, folder)))
+
+
+def forecast_baseline(spark, folder):
+    return rounded(_future(spark, folder).where("is_future").select(*X.KEY, F.col("mes").alias("mes_previsao"), X.baseline().alias("previsao")))
+
+
+def forecast_interval_exact(spark, folder):
+    return rounded(X.forecast(_future(spark, folder)))
+
+
+def history_upsert(spark, folder):
+    """Old: history but its last month, as known; new: the last months, with one more unit of consumption."""
+    past = _history(spark, folder)
+    new = past.where(F.col("mes") >= "2001-06").withColumn("consumo_total", F.col("consumo_total") + 1.0)
+    return H.upserted(past.where(F.col("mes") < "2001-08"), new)
+
+
+def walk_forward_baseline(spark, folder):
+    return rounded(H.walk_forward(_history(spark, folder)))
+
+
+def backtest_metrics(spark, folder):
+    return rounded(H.error_metrics(H.walk_forward(_history(spark, folder)), "fold", "mes_test"))
+
+
+def _newest(spark, folder):
+    return H.walk_forward(_history(spark, folder, None)).where("mes_test = '2001-07'")
+
+
+def drift_zscore_rows(spark, folder):
+    return rounded(H.drift(_newest(spark, folder), ["unidade", "produto"]))
+
+
+def drift_zscore_months(spark, folder):
+    months = H.error_metrics(H.walk_forward(_history(spark, folder)), "mes_test")
+    return rounded(H.drift(months, ["mes_test"], value="mae"))
+
+
+def registry_promotion(spark, folder):
+    """Each month of the backtest as a challenger against the month before as baseline and the best so far as champion."""
+    months = H.error_metrics(H.walk_forward(_history(spark, folder)), "fold")
+    from pyspark.sql import Window
+
+    by = Window.orderBy("fold")  # as many rows as months
+    rows = months.withColumns({"base": F.lag("mae").over(by), "campeao": F.min("mae").over(by.rowsBetween(Window.unboundedPreceding, -2)), "versao": H.version(F.row_number().over(by))})
+    return rounded(rows.select("fold", "versao", "mae", H.promotes(F.col("mae"), F.col("base"), F.col("campeao")).alias("promovido")))
+
+
+def close_cycle(spark, folder):
+    """Forecasts of pairs whose product number is even count as active."""
+    made = X.forecast(_future(spark, folder)).withColumns(
+        {
+            "previsao_substitui_c4": F.regexp_extract("produto", r"(\d+)", 1).cast("int") % 2 == 0,
+            "confiabilidade": F.lit(X.gate(80, ForecastSettings())),
+            "modelo_usado": F.lit("baseline_mmp"),
+        }
+    )
+    out = H.closed_loop(D.expected(_costs(spark, folder)).select(*P.PAIR, "politica_preferida"), made)
+    return rounded(out.select(*P.PAIR, "politica_preferida", "demanda_prevista", "fonte_demanda", "confiabilidade_ml", "modelo_ml"))
+
+
+def pareto_units(spark, folder):
+    """Units by orders, most first, with the running share."""
+    from pyspark.sql import Window
+
+    rows = O.unit_aliases(ledger(spark, folder))
+    by = Window.orderBy(F.desc("n_pedidos"), "unidade")  # as many rows as units
+    share = F.sum("n_pedidos").over(by) / F.sum("n_pedidos").over(Window.partitionBy(F.lit(1)))
+    return rounded(rows.select("unidade", "n_pedidos", F.row_number().over(by).alias("ordem"), share.alias("acumulado")))
+
+
+def _modelled(name: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        past = _history(spark, folder, MODEL_MONTHS)
+        rows = feature_table(past, _metrics(spark, folder), categories=CATEGORIES)
+        columns = X.feature_columns(rows.columns)
+        rows = rows.persist()
+        made = MODELS[name]().fit(rows.where(~F.col("is_future")), columns).predict(rows.where("is_future"))
+        return made.select(*X.KEY, "categoria", F.col("mes").alias("mes_previsao"), round_even(F.col("previsao"), 4).alias("previsao"), F.lit(name).alias("modelo_usado"))
+
+    return query
+
+
+def calibration_report(spark, folder):
+    settings = Settings()
+    rows = O.consolidated(O.normalised(synthetic_ledger(spark)), settings)
+    months = P.balanced(P.monthly(rows), settings.months)
+    return calibration(P.metrics(months, settings.months, settings), months)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        ledger_normalize, ledger_flags, ledger_consumption, ledger_demand, unit_anonymize_rank, anonymized_totals, flag_error_rates, monthly_pivot,
+        pair_metrics, pair_dispersion, xyz_class, xyz_distribution, wma_projection, k_buffer, quota_policies, marginal_need, suggested_action, action_distribution,
+        policy_costs, expected_cost, preferred_policy, preferred_distribution, cost_cdf_grid, ssd_reference, ssd_cost_mode, bootstrap_seeded_costs,
+        month_gate, feat_lags, feat_rolling, feat_trend_month, feat_regime, feat_onehot, feat_next_period, forecast_baseline, forecast_interval_exact,
+        history_upsert, walk_forward_baseline, backtest_metrics, drift_zscore_rows, drift_zscore_months, registry_promotion, close_cycle, pareto_units, calibration_report,
+    )
+}
+QUERIES |= {"balanced_panel": _panel, "forecast_ridge": _modelled("ridge"), "forecast_poisson": _modelled("poisson"), "forecast_gbt": _modelled("lgbm")}

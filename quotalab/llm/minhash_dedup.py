@@ -31,6 +31,7 @@ AGREE = 54
 #: Documents under a key that are compared at once; more are dealt as pairs of blocks, and beyond CROWD by right groups.
 BLOCK = 512
 CROWD = 4096
+HELD_BYTES = 16 << 20  # text that a comparing task gathers before it looks for whole cells
 
 _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=U64)) | U64(1)
 
@@ -89,6 +90,16 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that reach the similarity on their full shingle sets."""
     for whole in batches:
@@ -102,65 +113,91 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             for i in range(n):
                 x, y = sets[of[i]], sets[of[n + i]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+                ok[i] = _similar(x, y)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, checked: bool = False) -> DataFrame:
-    """The pairs(a, b) that are links; checked: their signatures have been compared already."""
-    if not checked:
-        side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(_near, "a long, b long")
+def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs(a, b) that are links."""
+    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(_near, "a long, b long")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return saved(both.mapInArrow(_confirm, "a long, b long").distinct(), "near-links")
 
 
+class _Roots(dict):
+    """Components that links inside a cell have joined."""
+
+    def of(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = self.get(up, up)
+            x = up
+        return x
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components inside one cell. Rows come sorted by cell; a cell is bounded.
+    """Links between different components inside one cell. Rows come sorted by cell; a cell is bounded.
 
-    A pair under several keys is given once, in the cell of the first left group (and right group) that it shares.
+    A pair under several keys is compared once, in the cell of the first left group (and right group) that it shares;
+    the pairs of a cell go by the agreement of their signatures, and those that links of the cell have joined by then
+    need no comparison. Near pairs are confirmed on their shingle sets here, so that only links leave the task.
     """
     held: list[pa.RecordBatch] = []
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
+    def links(table: pa.Table) -> pa.RecordBatch:
         cell, ids, comp, n, slot, other_slot = (table.column(x).to_numpy() for x in ("cell", "doc_id", "component", "n_shingles", "slot", "right_slot"))
         sig = _rows(table.column("sig").combine_chunks())
         groups = table.column("groups").combine_chunks().flatten().to_numpy().reshape(-1, 2 * SIDE)
         low, high = (table.column(x).to_numpy(zero_copy_only=False) for x in ("lower", "upper"))
+        texts = table.column("text").combine_chunks()
         cuts = np.flatnonzero(np.diff(cell)) + 1
         a, b = [], []
         for lo, hi in zip([0, *cuts], [*cuts, len(cell)], strict=True):
             if comp[lo:hi].min() == comp[lo:hi].max():
                 continue
             uppers = np.flatnonzero(high[lo:hi]) + lo
+            found = []
             for i in np.flatnonzero(low[lo:hi]) + lo:
                 # in a block with itself each pair is seen from its smaller id
                 other = uppers[(comp[uppers] != comp[i]) & (100 * np.minimum(n[uppers], n[i]) >= PERCENT * np.maximum(n[uppers], n[i])) & (~(low[uppers] & high[i]) | (ids[uppers] > ids[i]))]
-                other = other[(sig[other] == sig[i]).sum(1) >= AGREE]
+                agree = (sig[other] == sig[i]).sum(1)
+                other, agree = other[agree >= AGREE], agree[agree >= AGREE]
                 same = groups[other] == groups[i]
                 left, right = same[:, :SIDE], same[:, SIDE:]
                 ok = (left.argmax(1) == slot[i]) & right.any(1) & ((other_slot[i] < 0) | (right.argmax(1) == other_slot[i]))
-                a.append(np.minimum(ids[other[ok]], ids[i]))
-                b.append(np.maximum(ids[other[ok]], ids[i]))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                found.append(np.stack([-agree[ok], np.full(int(ok.sum()), i), other[ok]]))
+            found = np.concatenate(found, axis=1)
+            roots, sets = _Roots(), {}
+
+            def set_of(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = np.unique(shingles(lower_words(texts.slice(k, 1), SPACE_WORDS), 1, WORDS)[0])
+                return sets[k]
+
+            for _, i, k in found[:, np.lexsort(found)].T.tolist():
+                c, d = roots.of(int(comp[i])), roots.of(int(comp[k]))
+                if c != d and _similar(set_of(i), set_of(k)):
+                    roots[max(c, d)] = min(c, d)
+                    a.append(min(ids[i], ids[k]))
+                    b.append(max(ids[i], ids[k]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(x.num_rows for x in held) >= 20_000:
-            table = pa.Table.from_batches(held)
-            cell = table.column("cell").to_numpy()
-            other = np.flatnonzero(cell != cell[-1])
-            if len(other):
-                last = int(other[-1]) + 1
-                yield pairs(table.slice(0, last))
-                held = table.slice(last).combine_chunks().to_batches()
+    for whole in batches:
+        for batch in slices(whole, "text", HELD_BYTES):
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= 20_000 or sum(x.column("text").nbytes for x in held) >= HELD_BYTES:
+                table = pa.Table.from_batches(held)
+                cell = table.column("cell").to_numpy()
+                other = np.flatnonzero(cell != cell[-1])
+                if len(other):
+                    last = int(other[-1]) + 1
+                    yield links(table.slice(0, last))
+                    held = table.slice(last).combine_chunks().to_batches()
     if held:
-        yield pairs(pa.Table.from_batches(held))
+        yield links(pa.Table.from_batches(held))
 
 
 def _spanning(rows: DataFrame) -> DataFrame:
@@ -169,8 +206,8 @@ def _spanning(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key")
 
 
-def _rest(lefts: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidates of all tables that the diagonal ones leave open: pairs of different components under one key.
+def _rest(lefts: DataFrame, reps: DataFrame, texts: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links of all tables that the diagonal ones leave open: pairs of different components under one key.
 
     Documents meet under their left groups; those of a pair that share a right group too are under one table's key.
     A left group with more than CROWD documents is first dealt by right groups, so its keys are formed outright. A
@@ -191,7 +228,7 @@ def _rest(lefts: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "slot", "right_slot", "doc_id", "component",
         (F.col("own") <= F.col("other")).alias("lower"), (F.col("own") >= F.col("other")).alias("upper"),
     )
-    cells = cells.join(reps.select("doc_id", "n_shingles", "sig", "groups"), "doc_id")
+    cells = cells.join(reps.select("doc_id", "n_shingles", "sig", "groups"), "doc_id").join(texts, "doc_id")
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "a long, b long")
 
 
@@ -220,15 +257,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = texts.join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     needed = saved(needed, "near-texts")
 
-    # the diagonal tables: each document against the smallest one under its key
+    # the diagonal tables: each document against the smallest one under any of its keys; then, for keys that these
+    # links leave divided, against one smallest document of each other component
     diagonal = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.xxhash64(i, F.get("groups", i), F.get("groups", i + SIDE)))
     tables = reps.select("doc_id", F.explode(diagonal).alias("key"))
     hubs = tables.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    stars = tables.join(hubs, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    first = _links(stars, reps, needed)
+    stars = saved(tables.join(hubs, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
+    first = _links(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), reps, needed)
+    comps = saved(components(first), "components")
+    side = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    open_ = stars.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({f"c_{x}": F.coalesce(f"c_{x}", x) for x in "ab"})
+    open_ = open_.where("c_a <> c_b").groupBy("b", "c_a").agg(F.min("a").alias("a")).select("a", "b")
+    first = first.unionByName(_links(open_, reps, needed))
     comps = saved(components(first), "components")
     # all tables: what these links leave open
-    second = _links(_rest(lefts, reps, comps), reps, needed, checked=True)
+    second = saved(_rest(lefts, reps, needed, comps).distinct(), "near-links")
     comps = saved(components(first.unionByName(second)), "components")
     for table in (heads, lefts, reps, needed):
         forget(table)

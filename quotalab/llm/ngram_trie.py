@@ -30,7 +30,7 @@ PRIOR_2 = 4.0
 PRIOR_3 = 2.0
 STEPS = 4096  # quantisation steps to a power of ten
 END = U64(0x9AE16A3B2F90404F)  # stands for the hash of the end of a text
-SLICE = 4 << 20  # bytes of text scored at once
+SLICE = 3 << 20  # bytes of text scored at once
 HELD = 3_000_000  # counted rows that a task holds before it sends them on
 
 _open: dict[str, Trie] = {}

@@ -59,7 +59,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, name: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about limit bytes of the named column, and of a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(name).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
     at, cum = 0, np.cumsum(sizes, dtype=np.int64)

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .hashing import U64, buffers, prefix_hash, slices, span_hash
 
 N_BEST = 4
-SLICE = 3 << 20
-CHUNK = 1 << 19  # bytes of distinct segments in one forward pass
+SLICE = 2_000_000
+CHUNK = 1 << 18  # bytes of distinct segments in one forward pass
 SHORT = 48  # bytes of segments that are passed side by side; longer ones one by one
 UNKNOWN_LOSS = 10  # below the least score of all pieces, for a character that no piece covers
 

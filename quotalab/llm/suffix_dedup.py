@@ -222,9 +222,9 @@ def _common(a: np.ndarray, b: np.ndarray, ranks: list[tuple[int, np.ndarray]], b
     return out
 
 
-def _index(length: int):
+def _index(length: int, buckets: int):
     """Rows of one anchor part follow each other. Gives (doc_id, start, end) of repeated bytes; for divided anchors
-    also, with the hash, windows that nothing has matched yet (end -1) and those that are matched here (end -2)."""
+    also, packed by bucket of their hash, the windows that nothing has matched yet and those that are matched here."""
 
     def flush(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
@@ -257,7 +257,7 @@ def _index(length: int):
             cum = np.concatenate([[0], np.cumsum(lens[chosen])])
             for k, s, e in zip(chosen, cum[:-1], cum[1:], strict=True):
                 match[base[k] : base[k + 1]] = got[s:e]
-        docs, starts, ends, hashes = [], [], [], []
+        docs, starts, ends = [], [], []
         ids = table.column("doc_id").to_pylist()
         offsets = places.offsets.to_numpy()
         spots = places.values.to_numpy()
@@ -274,27 +274,33 @@ def _index(length: int):
                 known.append(h[hit])
                 if not hit.all():
                     loose[k] = (p[~hit], h[~hit])
+        windows = []
+        if known:  # windows matched here may stand unmatched in another part
+            h = np.unique(np.concatenate(known))
+            windows.append((h, np.zeros(len(h), np.int64), np.full(len(h), -1)))
         for i, k in enumerate(of_text):
             s, e = runs[k]
             for at in spots[offsets[i] : offsets[i + 1]]:
-                docs.append(np.full(len(s), i))
+                docs.append(np.full(len(s), ids[i]))
                 starts.append(at + s)
                 ends.append(at + e)
-                hashes.append(np.zeros(len(s), np.int64))
                 if k in loose:
                     p, h = loose[k]
-                    docs.append(np.full(len(p), i))
-                    starts.append(at + p)
-                    ends.append(np.full(len(p), -1))
-                    hashes.append(h.view(np.int64))
-        if known:  # windows matched here may stand unmatched in another part
-            h = np.unique(np.concatenate(known))
-            docs.append(np.zeros(len(h), np.int64))
-            starts.append(np.full(len(h), -1))
-            ends.append(np.full(len(h), -2))
-            hashes.append(h.view(np.int64))
-        docs, starts, ends, hashes = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (docs, starts, ends, hashes))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(docs)), pa.array(starts), pa.array(ends), pa.array(hashes)], ["doc_id", "start", "end", "window"])
+                    windows.append((h, np.full(len(p), ids[i]), at + p))
+        docs, starts, ends = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (docs, starts, ends))
+        packed, blobs = np.empty(0, np.int64), []
+        if windows:
+            h, doc, start = (np.concatenate([x[k] for x in windows]) for k in range(3))
+            bucket = (h % U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            packed = bucket[order][cuts]
+            blobs = [b"".join(x[order[a:b]].tobytes() for x in (h, doc.astype(np.int64), start.astype(np.int64))) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+        n, m = len(docs), len(blobs)
+        none = pa.nulls(m, pa.int64())
+        columns = [pa.concat_arrays([pa.array(x), none]) for x in (docs, starts, ends)]
+        columns += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(packed)]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())])]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "bucket", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -319,7 +325,32 @@ def _index(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def _across(length: int):
+    """The loose windows whose hash some other part has too. Rows come sorted by bucket."""
+
+    def matched(blobs: list[bytes]) -> pa.RecordBatch:
+        parts = [np.frombuffer(b, np.int64).reshape(3, -1) for b in blobs]
+        h, doc, start = np.concatenate(parts, axis=1)
+        _, of, count = np.unique(h, return_inverse=True, return_counts=True)
+        k = np.flatnonzero((count[of] > 1) & (start >= 0))
+        return pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(start[k]), pa.array(start[k] + length)], ["doc_id", "start", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("windows").to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield matched(held)
+                    held = []
+                now = bucket
+                held.append(blob)
+        if held:
+            yield matched(held)
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_index: int = PER_INDEX) -> DataFrame:
     """(doc_id, spans): of each document with bytes inside a repeated string, its merged spans (start, end) in bytes.
 
     A string of length bytes is repeated if it starts at another place too, in the same document or another one;
@@ -329,16 +360,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     gram = min(GRAM, length)
     runs = saved(texts.mapInArrow(_anchors(length, gram), "doc_id long, lo long, hi long, anchor long"), "anchors")
-    often = runs.groupBy("anchor").count().where("count > 1").select("anchor", F.ceil(F.col("count") / PER_INDEX).cast("int").alias("parts"))
+    often = runs.groupBy("anchor").count().where("count > 1").select("anchor", F.ceil(F.col("count") / per_index).cast("int").alias("parts"))
     wanted = runs.join(often, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi", "anchor", "parts")).alias("runs"))
     contexts = texts.join(wanted, "doc_id").select("doc_id", "text", "runs")
     contexts = contexts.mapInArrow(_contexts(length), "doc_id long, anchor long, part int, parts int, same long, places array<long>, context binary")
     grouped = contexts.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "same")
-    found = saved(grouped.mapInArrow(_index(length), "doc_id long, start long, end long, window long"), "repeats")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = saved(grouped.mapInArrow(_index(length, buckets), "doc_id long, start long, end long, bucket long, windows binary"), "repeats")
     forget(runs)
-    loose = found.where("end = -1")
-    twice = found.where("end < 0").groupBy("window").count().where("count > 1").select("window")
-    spans = found.where("end >= 0").select("doc_id", "start", "end").unionByName(loose.join(twice, "window").select("doc_id", "start", (F.col("start") + length).alias("end")))
+    loose = found.where("bucket is not null").select("bucket", "windows").repartition("bucket").sortWithinPartitions("bucket")
+    across = loose.mapInArrow(_across(length), "doc_id long, start long, end long")
+    spans = found.where("bucket is null").select("doc_id", "start", "end").unionByName(across)
     # merge overlapping spans: sorted, a span that begins after all before it have ended opens a new one
     ordered = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
     empty = F.expr("named_struct('done', array_repeat(named_struct('start', 0L, 'end', 0L), 0), 'start', -1L, 'end', -1L)")

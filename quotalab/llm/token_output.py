@@ -29,10 +29,12 @@ DICT_BYTES = 64 << 10
 #: Documents whose arrays train the dictionary, by the hash of their id, from those of at most so many characters.
 DICT_DOCS = 1000
 DICT_DOC_CHARS = 8 << 10
-#: Words that a worker remembers; then it begins anew.
-MEMO_WORDS = 400_000
+#: Words, and parts of words, that a worker remembers; then it begins anew.
+MEMO_WORDS = 200_000
+MEMO_PARTS = 800_000
 
 _memo: dict[str, dict[str, bytes]] = {}
+_parts: dict[str, dict[str, bytes]] = {}
 _loaded: dict[str, object] = {}
 _SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,27 +47,51 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def encode_rows(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
-    """Little-endian uint32 ids of each text, the end id last. Null texts are empty.
+def _stem(word: str) -> tuple[str, str]:
+    """A word as the tokenizer cuts it: ASCII letters in lower case, and the marks after them; any other word whole."""
+    if word.isascii():
+        word = word.lower()
+        stem = word.rstrip(".,!?;:")
+        if stem.isalpha():
+            return stem, word[len(stem) :]
+    return word, ""
 
-    The tokenizer's pre-tokens never hold white space, so each distinct run between white space is encoded once.
-    """
-    tokenizer, memo = _tokenizer(path), _memo.setdefault(path, {})
-    split = [_SPACE.findall(t) if t else [] for t in texts]
-    new = [w for w in set().union(*split) if w not in memo] if split else []
-    if len(memo) + len(new) > MEMO_WORDS:
+
+def _encoded(parts: set[str], path: str) -> dict[str, bytes]:
+    """Ids of words or their parts; a worker remembers up to MEMO_PARTS of them."""
+    tokenizer, memo = _tokenizer(path), _parts.setdefault(path, {})
+    new = [x for x in parts if x not in memo]
+    if len(memo) + len(new) > MEMO_PARTS:
         memo.clear()
-        new = list(set().union(*split))
+        new = list(parts)
     for at in range(0, len(new), 20_000):
         part = new[at : at + 20_000]
         got = tokenizer.encode(" ".join(part), add_special_tokens=False)
-        ids = np.array(got.ids, np.uint32)
+        raw = np.array(got.ids, np.uint32).tobytes()
         first = np.array([a for a, _ in got.offsets], np.int64)
         starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in part])])
-        cuts = np.searchsorted(first, starts)
-        raw = ids.tobytes()
-        for w, a, b in zip(part, (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strict=True):
+        cuts = 4 * np.searchsorted(first, starts)
+        for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             memo[w] = raw[a:b]
+    return memo
+
+
+def encode_rows(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
+    """Little-endian uint32 ids of each text, the end id last. Null texts are empty.
+
+    The tokenizer's pre-tokens never hold white space, so each distinct run between white space is encoded once.
+    """
+    memo = _memo.setdefault(path, {})
+    split = [_SPACE.findall(t) if t else [] for t in texts]
+    every = set().union(*split)
+    new = [w for w in every if w not in memo]
+    if len(memo) + len(new) > MEMO_WORDS:
+        memo.clear()
+        new = list(every)
+    pairs = [_stem(w) for w in new]
+    found = _encoded({x for pair in pairs for x in pair if x}, path)
+    for w, (stem, rest) in zip(new, pairs, strict=True):
+        memo[w] = found[stem] + found[rest] if rest else found[stem]
     end = int(end_id).to_bytes(4, "little")
     return [b"".join([*map(memo.__getitem__, ws), end]) for ws in split]
 

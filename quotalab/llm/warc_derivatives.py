@@ -67,15 +67,14 @@ def _line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
-def record(kind: str, fields: list[tuple[str, str]], content_type: str, block: bytes) -> bytes:
+def record(kind: str, fields: list[tuple[str, str]], content_type: str, block: bytes, block_digest: str) -> bytes:
     """A whole WARC record."""
-    head = [VERSION, f"WARC-Type: {kind}", *(f"{k}: {_line(v)}" for k, v in fields), f"WARC-Block-Digest: {digest(block)}", f"Content-Type: {content_type}", f"Content-Length: {len(block)}"]
+    head = [VERSION, f"WARC-Type: {kind}", *(f"{k}: {_line(v)}" for k, v in fields), f"WARC-Block-Digest: {block_digest}", f"Content-Type: {content_type}", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def derivatives_of(target: str, date: str, http: str, body: str, source_id: str) -> list[tuple[str, str, str, bytes, bytes]]:
-    """(type, record id, digest of the block, block, record) of a response's two derivatives."""
-    payload = digest(body.encode())
+def derivatives_of(target: str, date: str, http: str, body: str, source_id: str, payload: str) -> list[tuple[str, str, str, bytes, bytes]]:
+    """(type, record id, digest of the block, block, record) of a response's two derivatives; payload is its digest."""
     status, *headers = http.splitlines() or [""]
     shared = [("WARC-Refers-To", source_id), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", target), ("WARC-Date", date)]
     title = _TITLE.search(body)
@@ -87,7 +86,8 @@ def derivatives_of(target: str, date: str, http: str, body: str, source_id: str)
     for kind, content_type, block in blocks:
         own = record_uuid(f"{source_id} {kind}")
         fields = [("WARC-Record-ID", own), *shared, ("WARC-Source-Payload-Digest", payload)]
-        out.append((kind, own, digest(block), block, record(kind, fields, content_type, block)))
+        block_digest = digest(block)
+        out.append((kind, own, block_digest, block, record(kind, fields, content_type, block, block_digest)))
     return out
 
 
@@ -102,7 +102,7 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for page, target, date, http, body, source_id in zip(*(batch.column(x).to_pylist() for x in ("page_id", "target", "date", "http", "body", "source_id")), strict=True):
                 source = digest(body.encode())
-                for kind, own, block_digest, block, whole_record in derivatives_of(target, date, http, body, source_id):
+                for kind, own, block_digest, block, whole_record in derivatives_of(target, date, http, body, source_id, source):
                     rows.append((page, kind, own, source_id, target, date, source, block_digest, block, whole_record))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names)
 

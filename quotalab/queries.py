@@ -22,8 +22,6 @@ from .sources.synthetic import calibration, synthetic_ledger
 from .sources.warehouse import MONTHS, ledger
 
 SETTINGS = Settings(months=MONTHS)
-#: The months of the learnt models' queries; the window forms take the whole history.
-MODEL_MONTHS = tuple(f"{y}-{m:02d}" for y in (2000, 2001) for m in range(1, 13) if (y, m) <= (2001, 7))
 CATEGORIES = ["CATEGORIA_A", "CATEGORIA_B", "CATEGORIA_C"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,8 +277,10 @@ def pareto_units(spark, folder):
 
 def _modelled(name: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        past = _history(spark, folder, MODEL_MONTHS)
-        rows = feature_table(past, _metrics(spark, folder), categories=CATEGORIES)
+        past = _history(spark, folder).persist()
+        # as many values as units, categories and months
+        units, categories, months = past.agg(F.sort_array(F.collect_set("unidade")), F.sort_array(F.collect_set("categoria")), F.countDistinct("mes")).first()
+        rows = feature_table(past, _metrics(spark, folder), seasonal=X.gate(months) == "operacional", units=units, categories=categories)
         columns = X.feature_columns(rows.columns)
         rows = rows.persist()
         made = MODELS[name]().fit(rows.where(~F.col("is_future")), columns).predict(rows.where("is_future"))

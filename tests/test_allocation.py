@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quotalab import queries
 from quotalab.config import Settings
 from quotalab.functions.numbers import number, round_even
 from quotalab.functions.text import category, next_month, yes_no
@@ -133,3 +134,24 @@ def test_no_python_in_core_plans(spark):
     for name in ("suggested_action", "ssd_reference", "walk_forward_baseline"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_models_learn_from_all_months_with_all_indicators(spark, monkeypatch):
+    seen = {}
+
+    class Recorder:
+        def fit(self, rows, features):
+            seen["months"], seen["features"] = {r[0] for r in rows.select("mes").distinct().collect()}, features
+            return self
+
+        def predict(self, rows):
+            return rows.withColumn("previsao", F.lit(0.0))
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setitem(queries.MODELS, "ridge", Recorder)
+    pairs = queries.QUERIES["forecast_ridge"](spark, folder).count()
+    past = spark.read.parquet(f"{folder}/orders.parquet").join(spark.read.parquet(f"{folder}/lineitem.parquet"), F.col("o_orderkey") == F.col("l_orderkey"))
+    assert seen["months"] == {r[0] for r in past.select(F.date_format("o_orderdate", "yyyy-MM")).distinct().collect()} and len(seen["months"]) > 19
+    units = queries.ledger(spark, folder).select("unidade").distinct().collect()
+    assert {f"unit_{r[0]}" for r in units} | {f"mes_{m}" for m in range(1, 13)} <= set(seen["features"])
+    assert pairs == queries.ledger(spark, folder).select("unidade", "produto", "categoria").distinct().count()

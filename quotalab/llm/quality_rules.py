@@ -19,18 +19,19 @@ SHARE_PERCENT = 2
 DEPLETED_PERCENT = 50
 
 
-def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed), a row for each row of docs.
 
-    Null texts count as empty: every count is 0 and base_failed is true.
+    Null texts count as empty: every count is 0 and base_failed is true. The columns others come through.
     """
-    t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    t = docs.select(*others, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     t = t.withColumn("h", F.transform(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x)))
     n = F.size("h")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("h", i, WINDOW))))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     left = lambda pattern: F.length(F.regexp_replace("t", pattern, ""))
     t = t.select(
+        *others,
         "doc_id",
         n.cast("long").alias("n_words"),
         (F.length("t") - left(WORD)).cast("long").alias("word_chars"),
@@ -47,7 +48,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
     cover = F.aggregate(at, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")), lambda a: a["n"])
     t = t.select(
-        "doc_id", "n_words", "word_chars", "n_symbols",
+        *others, "doc_id", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("twice"), cover).otherwise(0).cast("long").alias("n_repeat_words"),
     )
@@ -80,13 +81,13 @@ def frequent_lines(
     return hits.groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.sum("w").cast("long").alias("removed_words"))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", depleted_percent: int = DEPLETED_PERCENT, **limits) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", depleted_percent: int = DEPLETED_PERCENT, others: tuple[str, ...] = (), **limits) -> DataFrame:
     """base_counts() with removed_words, lines (hashes of the removed lines, null if none), depleted and kept.
 
     kept is false for documents that fail the base rules or are depleted by the removal of lines above the limits.
     One row comes back for each row of docs; rows that share an id share what is removed. An empty table gives none.
     """
-    counts = base_counts(docs, id_col, text_col)
+    counts = base_counts(docs, id_col, text_col, others)
     out = counts.join(frequent_lines(docs, id_col, text_col, host_col, **limits), "doc_id", "left")
     removed = F.coalesce("removed_words", F.lit(0).cast("long"))
     out = out.withColumn("removed_words", removed).withColumn("depleted", 100 * F.col("removed_words") > depleted_percent * F.col("n_words"))
@@ -94,10 +95,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The rows of docs that quality() keeps, all columns, their text without the removed lines."""
+    """The rows of docs that quality() keeps, all columns, their text without the removed lines.
+
+    A row finds its verdict by id and text, on which alone it depends; null ids too, so that each row keeps its own.
+    """
+    digest = F.sha2(F.col(text_col).cast("string").cast("binary"), 256)
     # written first: a filter on kept would be pushed into the counts, which then are made again for each use
-    verdict = saved(quality(docs, id_col, text_col, host_col, **limits).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"), F.col("kept").alias("__kept")), "verdicts")
-    verdict = verdict.where("__kept").drop("__kept").dropDuplicates(["__id"])
-    both = docs.join(verdict, F.col(id_col) == F.col("__id"))
+    found = quality(docs.withColumn("__digest", digest), id_col, text_col, host_col, others=("__digest",), **limits)
+    verdict = saved(found.select(F.col("doc_id").alias("__id"), "__digest", F.col("lines").alias("__lines"), F.col("kept").alias("__kept")), "verdicts")
+    verdict = verdict.where("__kept").drop("__kept").dropDuplicates(["__id", "__digest"])
+    both = docs.join(verdict, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
     own = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("__lines", line_hash(x))), "\n")
     return both.withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(own)).select(*docs.columns)

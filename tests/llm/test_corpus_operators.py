@@ -139,6 +139,21 @@ def test_quality_rules(spark):
     assert quality(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_cleaned_keeps_each_row_by_its_own_verdict(spark):
+    good = [" ".join(f"{name}{k}" for k in range(30)) for name in "abcd"]
+    texts = [(None, good[0]), (None, good[1]), (None, good[1]), (None, "few words"), (None, None)]
+    texts += [(7, good[2]), (7, None), (7, "few words"), (7, good[3]), (8, good[0]), (8, good[0])]
+    docs = docs_of(spark, texts)
+    want = sorted(((i, t) for i, t in texts if t in good), key=str)
+    assert quality(docs).where("kept").count() == len(want)
+    out = cleaned(docs)
+    assert out.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == want
+    shared = "shared boilerplate line"
+    texts = [(k, f"{good[0]} {k}\n{shared}") for k in range(60)] + [(5, f"{good[1]}\n{shared}"), (5, "few words"), (None, f"{good[2]}\n{shared}")]
+    out = [(r["doc_id"], r["text"]) for r in cleaned(docs_of(spark, texts), min_docs=50).collect()]
+    assert len(out) == 62 and (5, f"{good[0]} 5") in out and (5, good[1]) in out and (None, f"{good[2]}\n{shared}") in out
+
+
 def test_pipeline_stages_chain(spark):
     import corpus_pipeline
 

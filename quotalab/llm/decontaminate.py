@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import ALNUM_WORDS, LOWER, buffers, lower_words, slices, words
+from .store import saved
 
 WINDOW = 13  # consecutive words of an item that count as its occurrence
 #: Words of the items in one automaton. A larger item table is dealt over several automata, one after the other.
@@ -210,7 +212,7 @@ def contamination(
     spans are the runs of words inside windows (first and last word, start and end byte); items are the sorted ids of
     the items with a window in the text. Null or empty texts have no words and no spans. Items that are null, without
     words or without an id match nothing; without items nothing matches. Items that share an id count as one. With
-    more than block_words words of items, documents are matched against each block and rows must have distinct ids.
+    more than block_words words of items, documents are matched against each block, with the same result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return _contamination(texts, items, item_col, item_text_col, window, block_words, keep_text)
@@ -219,20 +221,35 @@ def contamination(
 def _contamination(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int, keep_text: bool) -> DataFrame:
     """texts(doc_id, text, ...): further columns come through."""
     rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
-    parts = [_match(texts.sparkSession, texts, block, window, keep_text) for block in _blocks(rows, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    others = [c for c in union.columns if c not in ("doc_id", "spans", "items")]
-    return union.groupBy("doc_id").agg(
-        *(F.first(c).alias(c) for c in others), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    blocks = _blocks(rows, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _match(texts.sparkSession, texts, first, window, keep_text)
+    # ids may be null or repeat: a saved key tells the rows apart
+    keyed = saved(texts.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    union = None
+    for block in chain((first, second), blocks):
+        part = _match(texts.sparkSession, keyed.select("__row", "text"), block, window, False)
+        union = part if union is None else union.unionByName(part)
+    found = union.groupBy("__row").agg(
+        F.first("n_words").alias("n_words"), joined_spans(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
+    return keyed.select("__row", *(c for c in texts.columns if keep_text or c != "text")).join(found, "__row").drop("__row")
+
+
+def joined_spans(spans: F.Column) -> F.Column:
+    """Sorted spans with those that touch or overlap made one, as within a block."""
+
+    def step(acc: F.Column, x: F.Column) -> F.Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        one = F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(last["last"] >= x["first"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(one))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(spans, F.expr("cast(array() as array<struct<first:long,last:long,start:long,end:long>>)"), step)
 
 
 def hit_words(spans: str = "spans") -> F.Column:
-    """Words covered by the spans; those of different blocks may overlap and come sorted."""
+    """Words covered by the spans, which come sorted."""
     start = F.expr("named_struct('n', 0L, 'to', 0L)")
     step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), x["last"] - F.greatest(acc["to"], x["first"]))).alias("n"), F.greatest(acc["to"], x["last"]).alias("to"))
     return F.aggregate(spans, start, step, lambda acc: acc["n"])

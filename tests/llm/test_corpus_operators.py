@@ -127,6 +127,27 @@ def test_contamination_equals_brute_force(spark):
     assert {x["doc_id"] for x in clean.collect()} == {i for i, (n, h, _) in want.items() if not (h and 20 * h >= n)}
 
 
+def test_contamination_is_the_same_with_many_blocks(spark):
+    r = random.Random(8)
+    words = [f"v{k}" for k in range(400)]
+    items = [(k, " ".join(words[20 * k : 20 * k + 20])) for k in range(20)]
+    texts = []
+    for k in range(40):  # whole items amid other words, some side by side
+        parts = [" ".join(f"n{r.randrange(10**6)}" for _ in range(r.randrange(300, 900))) for _ in range(2)]
+        at = r.randrange(19)
+        texts.append(", ".join([parts[0], items[at][1], items[at + k % 2][1] if k % 4 else "", parts[1]]))
+    ids = [None, None, None, 5, 5, 5, *range(100, 134)]
+    docs, table = docs_of(spark, [*zip(ids, texts, strict=True), (None, None), (5, None), (5, texts[3])]), spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda rows: sorted(str(x.asDict(recursive=True)) for x in rows.collect())
+    whole = contamination(docs, table, keep_text=True)
+    assert whole.count() == len(texts) + 3 and whole.where("size(spans) > 0").count() == len(texts) + 1
+    parts = contamination(docs, table, block_words=20, keep_text=True)
+    assert sorted(parts.columns) == sorted(whole.columns) and plain(parts.select(whole.columns)) == plain(whole)
+    assert plain(contamination(docs, table, block_words=20).select("doc_id", "n_words", "spans", "items")) == plain(whole.drop("text"))
+    clean = decontaminated(docs, table)
+    assert clean.where("doc_id is null").count() > 2 and plain(decontaminated(docs, table, block_words=20)) == plain(clean)
+
+
 def test_quality_rules(spark):
     good = " ".join("g%d" % k for k in range(30))
     texts = [(k, f"{good} {k}\nshared boilerplate line") for k in range(80)] + [(900, None), (901, "few words"), (902, "same words again and again here now " * 20)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import ForecastSettings, Settings
+from .config import Settings
 from .functions.numbers import round_even
 from .operators import dominance as D
 from .operators import features as X
@@ -253,14 +253,11 @@ def registry_promotion(spark, folder):
 
 
 def close_cycle(spark, folder):
-    """Forecasts of pairs whose product number is even count as active."""
-    made = X.forecast(_future(spark, folder)).withColumns(
-        {
-            "previsao_substitui_c4": F.regexp_extract("produto", r"(\d+)", 1).cast("int") % 2 == 0,
-            "confiabilidade": F.lit(X.gate(80, ForecastSettings())),
-            "modelo_usado": F.lit("baseline_mmp"),
-        }
-    )
+    """Forecasts of all pairs are active unless the gate finds the months of the history too few."""
+    past = _history(spark, folder)
+    trusted = X.gate(past.agg(F.countDistinct("mes")).first()[0])
+    flags = {"previsao_substitui_c4": F.lit(trusted != "insuficiente"), "confiabilidade": F.lit(trusted), "modelo_usado": F.lit("baseline_mmp")}
+    made = X.forecast(X.temporal(X.with_next_month(past))).withColumns(flags)
     out = H.closed_loop(D.expected(_costs(spark, folder)).select(*P.PAIR, "politica_preferida"), made)
     return rounded(out.select(*P.PAIR, "politica_preferida", "demanda_prevista", "fonte_demanda", "confiabilidade_ml", "modelo_ml"))
 

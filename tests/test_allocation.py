@@ -155,3 +155,15 @@ def test_models_learn_from_all_months_with_all_indicators(spark, monkeypatch):
     units = queries.ledger(spark, folder).select("unidade").distinct().collect()
     assert {f"unit_{r[0]}" for r in units} | {f"mes_{m}" for m in range(1, 13)} <= set(seen["features"])
     assert pairs == queries.ledger(spark, folder).select("unidade", "produto", "categoria").distinct().count()
+
+
+def test_close_cycle_takes_every_forecast_by_the_gate(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    rows = queries.close_cycle(spark, folder).collect()
+    made = {(r["unidade"], r["produto"]) for r in queries.forecast_baseline(spark, folder).collect()}
+    assert {(r["unidade"], r["produto"]) for r in rows if r["fonte_demanda"] == "ml_prevista"} == {(r["unidade"], r["produto"]) for r in rows} & made
+    assert any(int(r["produto"].split("#")[1]) % 2 and r["confiabilidade_ml"] == "operacional" for r in rows)
+    few = queries._history(spark, folder, queries.MONTHS)
+    monkeypatch.setattr(queries, "_history", lambda *_: few)
+    rows = queries.close_cycle(spark, folder).collect()
+    assert {(r["fonte_demanda"], r["confiabilidade_ml"], r["demanda_prevista"]) for r in rows} == {("empirica", "insuficiente", None)}

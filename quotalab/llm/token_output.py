@@ -48,12 +48,14 @@ def _tokenizer(path: str):
 
 
 def _stem(word: str) -> tuple[str, str]:
-    """A word as the tokenizer cuts it: ASCII letters in lower case, and the marks after them; any other word whole."""
+    """A word as the tokenizer cuts it: ASCII letters in lower case, and the marks after them; any other word whole.
+
+    Other words keep their case, as added tokens are found in raw text.
+    """
     if word.isascii():
-        word = word.lower()
         stem = word.rstrip(".,!?;:")
         if stem.isalpha():
-            return stem, word[len(stem) :]
+            return stem.lower(), word[len(stem) :]
     return word, ""
 
 

@@ -69,6 +69,17 @@ def test_token_files_round_trip(spark, docs):
     assert token_output.token_digests(docs.limit(0), path).count() == 0
 
 
+def test_control_strings_in_any_case(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    marks = [m for name in ("startoftext", "endoftext") for m in (f"<|{name}|>", f"<|{name.upper()}|>", f"<|{name.title()}|>", f"<|{name[:5]}{name[5:].upper()}|>")]
+    texts = [*marks, *(f"The {m} END" for m in marks), *(f"aB{m}Cd {m}. {m}!?" for m in marks), "Don't STOP. X-Ray 3D, It's", "<|EndOfText|>", "<|StartOfText|>x"]
+    for t, ids in zip(texts, token_output.encode_rows(texts, path), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2], t
+
+
 def test_classifier_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")

@@ -13,6 +13,10 @@ U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+#: Powers that a worker keeps, 16 bytes each; a longer text has its own made and dropped again.
+KEPT_POWERS = 1 << 20
+#: Bytes of text in a slice: the arrays over it have up to 8 bytes for each of them.
+SLICE_BYTES = 1 << 19
 
 #: Bytes that are white space in [\x20\x09-\x0D]; every other byte belongs to a word.
 SPACE_WORDS = np.ones(256, bool)
@@ -34,16 +38,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the rolling base and of its inverse modulo 2**64; they grow as needed."""
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(20, int(n).bit_length())
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            out = np.full(size, base, U64)
-            out[0] = 1
-            with np.errstate(over="ignore"):
-                np.multiply.accumulate(out, out=out)
-            _powers[name] = out
-    return _powers["up"][:n], _powers["down"][:n]
+    """The first n powers of the rolling base and of its inverse modulo 2**64; only KEPT_POWERS of them are kept."""
+    if len(_powers.get("up", ())) >= n:
+        return _powers["up"][:n], _powers["down"][:n]
+    made = []
+    for base in (_BASE, _BASE_INV):
+        out = np.full(max(n, KEPT_POWERS), base, U64)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            np.multiply.accumulate(out, out=out)
+        made.append(out)
+    if n <= KEPT_POWERS:
+        _powers["up"], _powers["down"] = made
+    return made[0][:n], made[1][:n]
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +66,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about limit bytes of the named column, and of a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(name).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
     at, cum = 0, np.cumsum(sizes, dtype=np.int64)

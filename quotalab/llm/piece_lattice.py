@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from .hashing import U64, buffers, prefix_hash, slices, span_hash
 
 N_BEST = 4
-SLICE = 2_000_000
-CHUNK = 1 << 18  # bytes of distinct segments in one forward pass
+SLICE = 1 << 20
+CHUNK = 1 << 17  # bytes of distinct segments in one forward pass
 SHORT = 48  # bytes of segments that are passed side by side; longer ones one by one
 UNKNOWN_LOSS = 10  # below the least score of all pieces, for a character that no piece covers
 
-_HASH_BITS = 22
+_HASH_BITS = 20
 
 
 class Pieces:
@@ -162,7 +162,7 @@ def n_best(model: Pieces, segment: bytes, n: int) -> list[tuple[float, list[int]
     return out
 
 
-@lru_cache(20_000)
+@lru_cache(4096)
 def _remembered(path: str, segment: bytes, n: int) -> tuple:
     return tuple(n_best(pieces(path), segment, n))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -10,10 +11,24 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch of rows that Spark hands to a Python worker, unless the session's own limit is lower.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches: the default bounds their rows alone, whatever the length of the texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"-?\d*", spark.conf.get(name, "") or "")[0] or 0) in range(1, BATCH_BYTES):
+        return
+    spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a local one only where none is set and all tasks are local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,6 +39,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path that is deleted when the driver ends."""
+    path = new_path(spark, name)
+    atexit.register(_forget, spark, path)
+    return path
+
+
 def posix_path(path: str) -> str:
     """The mounted path of a file: URI, for files that tasks map into memory."""
     parts = urlparse(path)
@@ -35,10 +57,9 @@ def posix_path(path: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: later jobs start from the files."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(schema).parquet(path)
 
 

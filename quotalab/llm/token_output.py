@@ -9,9 +9,10 @@ Blocks are written by Spark, so that a lost executor's blocks are written again
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,83 +20,189 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import slices
-from .store import forget, new_path, saved
+from .hashing import LOWER, U64, buffers, prefix_hash, slices, span_hash
+from .store import forget, saved, scratch_path, small_batches
 
 END_ID = 2
 BLOCK_BYTES = 1 << 20
 LEVEL = 3
 DICT_BYTES = 64 << 10
-#: Documents whose arrays train the dictionary, by the hash of their id, from those of at most so many characters.
+#: Documents whose arrays train the dictionary, by the hash of their id, and the characters of each that are taken.
 DICT_DOCS = 1000
 DICT_DOC_CHARS = 8 << 10
-#: Words, and parts of words, that a worker remembers; then it begins anew.
-MEMO_WORDS = 200_000
-MEMO_PARTS = 800_000
-
-_memo: dict[str, dict[str, bytes]] = {}
-_parts: dict[str, dict[str, bytes]] = {}
-_loaded: dict[str, object] = {}
-_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def _tokenizer(path: str):
-    if path not in _loaded:
+#: Slots of a worker's table of encoded units, filled up to three quarters, and the ids it holds; then it begins anew.
+#: 12 bytes a slot, 12 bytes an entry and 4 an id: 50 MB at most.
+MEMO_SLOTS = 1 << 20
+MEMO_IDS = 1 << 22
+
+#: What cutting texts into units rests on: a tokenizer file that differs in any of this has its texts encoded whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+_SPACE, _LETTER, _MARK, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[list(b".,!?;:")] = _MARK
+
+
+class _Coder:
+    """A tokenizer with the units that a worker has encoded: an open table from a unit's hash to its ids."""
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
-
-
-def _stem(word: str) -> tuple[str, str]:
-    """A word as the tokenizer cuts it: ASCII letters in lower case, and the marks after them; any other word whole.
-
-    Other words keep their case, as added tokens are found in raw text.
-    """
-    if word.isascii():
-        stem = word.rstrip(".,!?;:")
-        if stem.isalpha():
-            return stem.lower(), word[len(stem) :]
-    return word, ""
-
-
-def _encoded(parts: set[str], path: str) -> dict[str, bytes]:
-    """Ids of words or their parts; a worker remembers up to MEMO_PARTS of them."""
-    tokenizer, memo = _tokenizer(path), _parts.setdefault(path, {})
-    new = [x for x in parts if x not in memo]
-    if len(memo) + len(new) > MEMO_PARTS:
-        memo.clear()
-        new = list(parts)
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        got = tokenizer.encode(" ".join(part), add_special_tokens=False)
-        raw = np.array(got.ids, np.uint32).tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        model = told["model"]
+        self.divisible = (
+            (told["normalizer"], told["pre_tokenizer"], told["post_processor"]) == (_NORMALIZER, _PRE_TOKENIZER, None)
+            and (model["type"], model["end_of_word_suffix"], model["dropout"], model["continuing_subword_prefix"]) == ("BPE", "</w>", None, None)
+            # added tokens must hold a character that is neither letter nor mark nor blank
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or not set(t["content"]) & set("<|>") for t in told["added_tokens"])
+        )
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.entry = np.zeros(MEMO_SLOTS, U64), np.zeros(MEMO_SLOTS, np.int32)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Entries by hash, -1 for those that the table does not have."""
+        out = np.full(len(h), -1, np.int32)
+        slot = (h & U64(MEMO_SLOTS - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            key = self.keys[slot]
+            same = key == h[left]
+            out[left[same]] = self.entry[slot[same]]
+            on = ~same & (key != 0)
+            left, slot = left[on], (slot[on] + 1) & (MEMO_SLOTS - 1)
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """New entries with distinct hashes."""
+        base = len(self.first)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.count, self.ids = np.concatenate([self.count, count.astype(np.int32)]), np.concatenate([self.ids, ids])
+        slot = (h & U64(MEMO_SLOTS - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[left[free]]  # of several for one slot the last stays
+            mine = self.keys[slot] == h[left]
+            self.entry[slot[mine]] = base + left[mine]
+            left, slot = left[~mine], (slot[~mine] + 1) & (MEMO_SLOTS - 1)
+
+    def encoded(self, units: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, how many each unit has); plain units are one pre-token each."""
+        count = np.zeros(len(units), np.int64)
+        words, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(units[k] for k in words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a unit is not one pre-token")
+        count[words] = np.diff(ends, prepend=0)
+        part = [units[k] for k in others]
+        got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
         first = np.array([a for a, _ in got.offsets], np.int64)
-        starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in part])])
-        cuts = 4 * np.searchsorted(first, starts)
-        for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            memo[w] = raw[a:b]
-    return memo
+        count[others] = np.diff(np.searchsorted(first, np.concatenate([[0], np.cumsum([len(w) + 1 for w in part])])))
+        # ids of both kinds, dealt out in the order of the units
+        at = np.empty(len(units), np.int64)
+        at[words] = ends - count[words]
+        at[others] = len(ids) + np.cumsum(count[others]) - count[others]
+        return np.concatenate([ids, np.array(got.ids, np.uint32)])[_gather(at, count)], count
+
+    def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, how many each row has)."""
+        rows = len(offs) - 1
+        if not self.divisible:
+            raw = data.tobytes()
+            found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offs[:-1], offs[1:], strict=True)], add_special_tokens=False)
+            return np.array([i for x in found for i in x.ids], np.uint32), np.array([len(x.ids) for x in found], np.int64)
+        start, end, row, folded, plain = _units(data, offs)
+        h = span_hash(*prefix_hash(folded), start, end)
+        h[h == 0] = U64(1)
+        entry = self.find(h)
+        if (entry < 0).any():
+            new, one = np.unique(h[entry < 0], return_index=True)
+            one = np.flatnonzero(entry < 0)[one]
+            if len(self.first) + len(new) > MEMO_SLOTS * 3 // 4 or len(self.ids) > MEMO_IDS:
+                self.clear()
+                new, one = np.unique(h, return_index=True)
+            raw = folded.tobytes()
+            self.add(new, *self.encoded([raw[a:b].decode() for a, b in zip(start[one], end[one], strict=True)], plain[one]))
+            entry = self.find(h)
+        count = self.count[entry].astype(np.int64)
+        return self.ids[_gather(self.first[entry], count)], np.bincount(row, weights=count, minlength=rows).astype(np.int64)
+
+
+def _units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, end, row, bytes, plain) of what a text's ids are made of, in order.
+
+    A run between white space that holds only letters (ASCII, and Latin ones of two bytes) and the marks .,!?;: is cut
+    where letters and marks meet: each part is one pre-token, whatever stands beside it, and its ASCII letters count as
+    lower case. Any other run is a unit as it stands, as added tokens are found in raw text.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
+    lead = lead[lead + 1 < n]
+    pair = data[lead].astype(np.int64) << 8 | data[np.minimum(lead + 1, n - 1)]
+    lead = lead[(pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)]  # signs, and a letter that lower case takes apart
+    kind[lead] = kind[lead + 1] = _LETTER
+    word = kind != _SPACE
+    cut = np.zeros(n + 1, bool)
+    cut[offs] = True
+    opens = np.flatnonzero(word & (np.append(True, ~word[:-1]) | cut[:n])) if n else np.empty(0, np.int64)
+    closes = np.flatnonzero(word & (np.append(~word[1:], True) | cut[1:])) + 1 if n else np.empty(0, np.int64)
+    odd = np.concatenate([[0], np.cumsum(kind == _OTHER)])
+    odd = np.flatnonzero(odd[closes] > odd[opens])
+    step = np.zeros(n + 1, np.int8)
+    step[opens[odd]] += 1
+    step[closes[odd]] -= 1
+    whole = np.cumsum(step[:n]) > 0
+    kind[whole] = _OTHER
+    edge = np.append(True, kind[1:] != kind[:-1]) if n else np.empty(0, bool)
+    edge |= cut[:n]
+    start = np.flatnonzero(edge)
+    end = np.append(start[1:], n)[: len(start)]
+    own = kind[start] != _SPACE
+    start, end = start[own], end[own]
+    return start, end, np.searchsorted(offs, start, "right") - 1, np.where(whole, data, LOWER[data]), kind[start] != _OTHER
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of all spans one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+@lru_cache(2)
+def _coder(path: str) -> _Coder:
+    return _Coder(path)
+
+
+def encode_column(column: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """(little-endian uint32 ids of all rows with the end id after each, bounds of the rows). Nulls are empty."""
+    data, offs = buffers(column)
+    ids, count = _coder(path).texts(data, offs)
+    return np.insert(ids, np.cumsum(count), end_id).astype("<u4"), np.concatenate([[0], np.cumsum(count + 1)])
 
 
 def encode_rows(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
-    """Little-endian uint32 ids of each text, the end id last. Null texts are empty.
-
-    The tokenizer's pre-tokens never hold white space, so each distinct run between white space is encoded once.
-    """
-    memo = _memo.setdefault(path, {})
-    split = [_SPACE.findall(t) if t else [] for t in texts]
-    every = set().union(*split)
-    new = [w for w in every if w not in memo]
-    if len(memo) + len(new) > MEMO_WORDS:
-        memo.clear()
-        new = list(every)
-    pairs = [_stem(w) for w in new]
-    found = _encoded({x for pair in pairs for x in pair if x}, path)
-    for w, (stem, rest) in zip(new, pairs, strict=True):
-        memo[w] = found[stem] + found[rest] if rest else found[stem]
-    end = int(end_id).to_bytes(4, "little")
-    return [b"".join([*map(memo.__getitem__, ws), end]) for ws in split]
+    """Little-endian uint32 ids of each text, the end id last. Null texts are empty."""
+    ids, at = encode_column(pa.array(texts, pa.string()), path, end_id)
+    return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _frames(path: str, dictionary: bytes, end_id: int) -> Callable:
@@ -104,9 +211,10 @@ def _frames(path: str, dictionary: bytes, end_id: int) -> Callable:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_dict_id=False)
         for whole in batches:
             for batch in slices(whole, "text"):
-                rows = encode_rows(batch.column("text").to_pylist(), path, end_id)
+                ids, at = encode_column(batch.column("text"), path, end_id)
+                raw = memoryview(ids).cast("B")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([packer.compress(r) for r in rows], pa.binary())],
+                    [batch.column("doc_id"), pa.array(np.diff(at)), pa.array([packer.compress(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
                     ["doc_id", "n_tokens", "frame"],
                 )
 
@@ -147,9 +255,11 @@ _BLOCK_SCHEMA = "part int, block int, first_token long, doc_ids array<long>, n_t
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """The shared dictionary from at most DICT_DOCS documents; empty if they are too few to train on."""
+    """The shared dictionary from the first DICT_DOC_CHARS characters of at most DICT_DOCS documents.
+
+    If they are too few to train on it is empty, and frames are plain zstandard."""
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null")
-    picked = picked.where(F.length("text") <= DICT_DOC_CHARS)
+    picked = picked.withColumn("text", F.substring("text", 1, DICT_DOC_CHARS))
     rows = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(DICT_DOCS).collect()
     samples = encode_rows([r["text"] for r in rows], path, end_id)
     try:
@@ -165,6 +275,7 @@ def write_tokens(docs: DataFrame, path: str, target: str, end_id: int = END_ID,
     kept, in any order among themselves. An empty table writes no blocks.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dictionary = train_dictionary(texts, path, end_id)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
@@ -230,6 +341,6 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all documents, read back from files written under the shared folder."""
-    target = new_path(docs.sparkSession, "tokens")
+    target = scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, target)
     return read_tokens(docs.sparkSession, target).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")

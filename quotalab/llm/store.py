@@ -18,9 +18,9 @@ BATCH_BYTES = 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of Arrow batches: the default bounds their rows alone, whatever the length of the texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.match(r"-?\d*", spark.conf.get(name, "") or "")[0] or 0) in range(1, BATCH_BYTES):
-        return
-    spark.conf.set(name, str(BATCH_BYTES))
+    set_ = re.fullmatch(r"(\d+)b?", spark.conf.get(name).lower())
+    if not (set_ and 0 < int(set_[1]) < BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotalab.llm.decontaminate import decontaminated
-from quotalab.llm.minhash_dedup import near_duplicates
+from quotalab.llm.minhash_dedup import without_copies
 from quotalab.llm.piece_lattice import piece_digests
 from quotalab.llm.quality_rules import cleaned
 from quotalab.llm.queries import tokenizer_path
 from quotalab.llm.store import saved
-from quotalab.llm.suffix_dedup import without_repeats
+from quotalab.llm.suffix_dedup import cut_repeats
 from quotalab.shipping import ship
 
 
+#: Least bytes of a passage that goes if it stands elsewhere too: some 50 short words.
+PASSAGE_BYTES = 240
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars follows the text."""
     return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
@@ -26,16 +30,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each near-duplicate group stays."""
+    """The smallest document of each near-duplicate group stays; rows without text or id stay too."""
     ship(spark)
-    copies = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return without_copies(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the bytes of repeated strings; a character that is cut goes whole."""
     ship(spark)
-    return _measured(without_repeats(docs, keep_columns=True)).select(*docs.columns)
+    return _measured(cut_repeats(docs, length=PASSAGE_BYTES)).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """MinHash near-duplicate groups with tensored banding.
 
-Two small collections of hash groups, left and right, are computed for each document; a table key is a pair of one
-left and one right group, so SIDE * SIDE tables cost only 2 * SIDE * WIDTH minhashes. The diagonal tables, left and
-right group of one number, are filled first and link most copies to the smallest document under their key. The other
-tables are filled only for left groups whose documents these links leave in different components. Every candidate
-that is near enough by its signature is confirmed on the full shingle sets.
+Documents with equal shingle sets are one node. Two small collections of hash groups, left and right, are computed for
+each node; a table key is a pair of one left and one right group, so SIDE * SIDE tables cost only 2 * SIDE * WIDTH
+minhashes. The diagonal tables, left and right group of one number, are filled first and link most copies to the
+smallest node under their key. The other tables are filled only for left groups whose nodes these links leave in
+different components. Every candidate that is near enough by its signature is confirmed on the full shingle sets.
+
+A pair at the least similarity shares no table key with a probability of 2 * (1 - 0.75 ** WIDTH) ** SIDE, 5 in 10 ** 9,
+and has less than AGREE equal minhashes with one of 1 in 10 ** 8.
 """
 
 from __future__ import annotations
@@ -19,15 +22,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import SPACE_WORDS, U64, lower_words, mix, shingles, slices
-from .store import forget, saved
+from .store import forget, saved, small_batches
 
 WORDS = 5  # words in a shingle
 PERCENT = 75  # least similarity of a link
-SIDE = 16  # groups in each of the two collections
-WIDTH = 3  # minhashes in a group
+SIDE = 24  # groups in each of the two collections
+WIDTH = 2  # minhashes in a group
 HASHES = 2 * SIDE * WIDTH
-#: A pair at the least similarity agrees in 72 of 96 minhashes on average; two in 100,000 agree in less than 54.
-AGREE = 54
+#: A pair at the least similarity agrees in 72 of 96 minhashes on average.
+AGREE = 48
 #: Documents under a key that are compared at once; more are dealt as pairs of blocks, and beyond CROWD by right groups.
 BLOCK = 512
 CROWD = 4096
@@ -59,13 +62,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("digest"),
                     pa.array(sizes),
                     pa.array(low.view(np.int64)),
                     pa.array(high.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * SIDE * n + 1, 2 * SIDE, dtype=np.int32)), pa.array(keys.ravel())),
                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * HASHES), n, [None, pa.py_buffer(sig)]).cast(pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "low", "high", "groups", "sig"],
+                ["doc_id", "digest", "n_shingles", "low", "high", "groups", "sig"],
             )
 
 
@@ -238,49 +242,76 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Links documents whose sets of 5-word shingles (words without white space, A-Z lower-cased; fewer words make one
     shingle) have a Jaccard similarity of at least 0.75; component_id is the smallest id reachable. Texts that are
     null, empty or without words have no shingles and link with nothing: component_id is their own id. Rows without
-    an id are returned, unlinked, with a null component_id and kept true. Rows that share an id count as one
-    document. An empty table gives an empty one. Other columns are ignored, whatever their names.
+    an id are returned, unlinked, with a null component_id and kept true. Rows that share an id are documents of
+    their own, told apart by their texts. An empty table gives an empty one. Other columns are ignored, whatever
+    their names.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sk = saved(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, low long, high long, groups array<long>, sig binary"), "sketches")
-    same = ["low", "high", "n_shingles"]
-    classes = sk.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    heads = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
-    heads = sk.select("doc_id", "n_shingles", "groups", "sig").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    heads = saved(heads, "heads")
+    return _groups(docs, id_col, text_col).drop("digest")
+
 
-    # documents that share a left group with another one; all others are alone under every key
-    each = heads.select("doc_id", F.posexplode(F.slice("groups", 1, SIDE)).alias("slot", "g")).select("doc_id", "slot", F.xxhash64("slot", "g").alias("key"))
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates() with digest, the xxhash64 of the text."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
+    sk = saved(texts.mapInArrow(_sketch, "doc_id long, digest long, n_shingles long, low long, high long, groups array<long>, sig binary"), "sketches")
+    same = ["low", "high", "n_shingles"]
+    # a node for each distinct set, numbered once and written; its rows all have the same groups, and any text will do
+    classes = sk.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "digest")).alias("r"))
+    classes = saved(classes.select(*same, F.col("r.doc_id").alias("rep"), F.col("r.digest").alias("digest"), F.monotonically_increasing_id().alias("node")), "classes")
+    own = classes.select(F.col("rep").alias("doc_id"), "digest", "node")
+    heads = saved(sk.join(own, ["doc_id", "digest"]).select("node", "n_shingles", "groups", "sig").dropDuplicates(["node"]), "heads")
+
+    # nodes that share a left group with another one; all others are alone under every key
+    each = heads.select("node", F.posexplode(F.slice("groups", 1, SIDE)).alias("slot", "g")).select(F.col("node").alias("doc_id"), "slot", F.xxhash64("slot", "g").alias("key"))
     common = each.groupBy("key").count().where("count > 1").select("key")
     lefts = saved(each.join(common, "key").select("key", "slot", "doc_id"), "lefts")
-    reps = saved(heads.join(lefts.select("doc_id").distinct(), "doc_id", "left_semi"), "reps")
-    needed = texts.join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    needed = saved(needed, "near-texts")
+    reps = saved(heads.withColumnRenamed("node", "doc_id").join(lefts.select("doc_id").distinct(), "doc_id", "left_semi"), "reps")
+    forget(heads)
+    wanted = own.join(reps.select(F.col("doc_id").alias("node")), "node", "left_semi")
+    needed = saved(texts.join(wanted, ["doc_id", "digest"]).select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "near-texts")
 
-    # the diagonal tables: each document against the smallest one under any of its keys; then, for keys that these
-    # links leave divided, against one smallest document of each other component
+    # the diagonal tables: each node against the smallest one under any of its keys; then, for keys that these links
+    # leave divided, against one smallest node of each other component
     diagonal = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.xxhash64(i, F.get("groups", i), F.get("groups", i + SIDE)))
     tables = reps.select("doc_id", F.explode(diagonal).alias("key"))
     hubs = tables.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     stars = saved(tables.join(hubs, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
-    first = _links(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), reps, needed)
-    comps = saved(components(first), "components")
+    links = _links(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), reps, needed)
+    comps = saved(components(links), "components")
     side = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     open_ = stars.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({f"c_{x}": F.coalesce(f"c_{x}", x) for x in "ab"})
     open_ = open_.where("c_a <> c_b").groupBy("b", "c_a").agg(F.min("a").alias("a")).select("a", "b")
-    first = first.unionByName(_links(open_, reps, needed))
-    comps = saved(components(first), "components")
+    comps = saved(_joined(comps, _links(open_, reps, needed)), "components")
     # all tables: what these links leave open
-    second = saved(_rest(lefts, reps, needed, comps).distinct(), "near-links")
-    comps = saved(components(first.unionByName(second)), "components")
-    for table in (heads, lefts, reps, needed):
+    comps = saved(_joined(comps, _rest(lefts, reps, needed, comps)), "components")
+    for table in (lefts, reps, needed, stars):
         forget(table)
 
-    # rows to their class, class to its component
-    found = classes.join(comps, classes.rep == comps.node, "left").select(*same, F.coalesce("component", "rep").alias("root"))
-    out = sk.join(found, same, "left").select(
+    # rows to their node, nodes to the smallest id of their component
+    linked = classes.join(comps, "node").select(*same, "component", "rep")
+    least = linked.groupBy("component").agg(F.min("rep").alias("root"))
+    roots = classes.join(linked.join(least, "component").select(*same, "root"), same, "left").select(*same, F.coalesce("root", "rep").alias("root"))
+    out = sk.select("doc_id", "digest", *same).join(roots, same, "left").select(
         "doc_id",
+        "digest",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components once more links are there: those found so far count as links to their smallest node."""
+    return components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, of which one document of each near-duplicate group stays: that of smallest id.
+
+    Rows that share an id are judged by their own texts; of rows with one id and one text any one stays. Null texts
+    and rows without an id are linked with nothing and stay. An empty table gives an empty one.
+    """
+    gone = _groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    own, digest = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    rows = docs.withColumns({"__id": own, "__digest": digest, "__none": F.when(own.isNull(), F.monotonically_increasing_id())})
+    return rows.join(gone, ["__id", "__digest"], "left_anti").dropDuplicates(["__id", "__digest", "__none"]).select(*docs.columns)

@@ -17,6 +17,8 @@ MIN_DOCS = 50
 SHARE_PERCENT = 2
 #: A document is depleted if the removed lines have more than this share of its words.
 DEPLETED_PERCENT = 50
+#: Lines that hold more than one in so many of all lines are joined apart from the others.
+HOT_SHARE = 1000
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
@@ -76,8 +78,12 @@ def frequent_lines(
     sizes = rows.groupBy("host", "doc").agg(F.min("doc_id").alias("x")).groupBy("host").agg(F.count("*").alias("docs"))
     each = rows.groupBy("host", "line", "doc").agg(F.min("doc_id").alias("first"))
     often = each.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") > min_docs)
-    often = often.join(sizes, "host").where(100 * F.col("n") > share_percent * F.col("docs")).select("host", "line", "first")
-    hits = rows.join(often, ["host", "line"]).where("doc_id <> first")
+    often = often.join(sizes, "host").where(100 * F.col("n") > share_percent * F.col("docs")).select("host", "line", "first", "n")
+    # lines with more than this share of all rows are few enough to broadcast, so that none meets in one task
+    often, total = saved(often, "often"), rows.count()
+    often = often.withColumn("hot", F.col("n") * HOT_SHARE > total)
+    hot, cold = F.broadcast(often.where("hot").drop("hot", "n")), often.where("not hot").drop("hot", "n")
+    hits = rows.join(hot, ["host", "line"]).unionByName(rows.join(hot, ["host", "line"], "left_anti").join(cold, ["host", "line"])).where("doc_id <> first")
     return hits.groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.sum("w").cast("long").alias("removed_words"))
 
 

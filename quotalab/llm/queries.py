@@ -49,7 +49,7 @@ def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that no repeated 400-byte string covers."""
     out = without_repeats(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_candidates")
 
 
 def tokenizer_path(name: str) -> str:

@@ -16,17 +16,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .hashing import U64, buffers, mix, prefix_hash, slices, span_hash
-from .store import forget, saved
+from .store import forget, saved, small_batches
 
 LENGTH = 400  # bytes of a repeated string
 GRAM = 48  # bytes of an anchor gram
 INDEX_BYTES = 1 << 20  # text that goes into one index at least, before the next begins
 PER_INDEX = 2048  # occurrences of an anchor that one index takes; a text has up to 2 * LENGTH bytes
-_POS_BITS = U64(28)  # documents of up to 256 MB
+CHUNK = 1 << 19  # windows of a text whose anchors are found at once
+#: An anchor with more than this share of all runs is hot: there are at most as many hot ones, small enough to broadcast.
+HOT_SHARE = 1000
+_POS_BITS = U64(28)  # places within a chunk
+KEY = ["key", "digest"]  # of a row: its id, 0 for none, and the hash of its text and whether it has an id
 
 
 def _window_anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -61,13 +67,23 @@ def _window_anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int)
     return r, first - offs[r], last - offs[r], grams[anchor[first]]
 
 
-def _anchors(length: int, gram: int):
+def _chunked_anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int, chunk: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """_window_anchors() of chunk windows at a time, so that a text of any length takes bounded memory."""
+    for at in range(0, max(len(data) - length + 1, 0), chunk):
+        to = min(at + chunk + length - 1, len(data))
+        a, b = int(np.searchsorted(offs, at, "right")) - 1, int(np.searchsorted(offs, to, "left"))
+        row, lo, hi, h = _window_anchors(data[at:to], np.clip(offs[a : b + 1], at, to) - at, length, gram)
+        moved = np.maximum(at - offs[a + row], 0)  # of the first row's part
+        yield a + row, lo + moved, hi + moved, h
+
+
+def _anchors(length: int, gram: int, chunk: int = CHUNK):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                row, lo, hi, h = _window_anchors(*buffers(batch.column("text")), length, gram)
-                ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lo), pa.array(hi), pa.array(h.view(np.int64))], ["doc_id", "lo", "hi", "anchor"])
+                for row, lo, hi, h in _chunked_anchors(*buffers(batch.column("text")), length, gram, chunk):
+                    keys = [batch.column(k).take(pa.array(row)) for k in KEY]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(h.view(np.int64))], [*KEY, "lo", "hi", "anchor"])
 
     return run
 
@@ -81,34 +97,31 @@ def _contexts(length: int):
                 data, offs = buffers(batch.column("text"))
                 if not len(data):
                     continue
-                sums, down = prefix_hash(data)
                 runs = batch.column("runs")
                 flat = runs.flatten()
                 row = np.repeat(np.arange(len(runs)), np.asarray(runs.value_lengths()))
-                lo, hi, anchor, parts = (flat.field(k).to_numpy() for k in range(4))
+                lo, hi, anchor, parts = (flat.field(k).to_numpy().astype(np.int64) for k in range(4))
                 start, end = offs[row] + lo, offs[row] + hi + length
-                h = span_hash(sums, down, start, end)
+                text = memoryview(data)
+                h = np.fromiter((xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(start, end, strict=True)), U64, len(start))
                 order = np.lexsort((lo, h, anchor, row))
                 cut = np.ones(len(order), bool)
                 a, b = order[1:], order[:-1]
                 cut[1:] = (row[a] != row[b]) | (anchor[a] != anchor[b]) | (h[a] != h[b])
                 heads = np.flatnonzero(cut)
                 one = order[heads]
-                ends = np.append(heads[1:], len(order))
-                text = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(pa.array(row[one])),
+                        *(batch.column(k).take(pa.array(row[one])) for k in KEY),
                         pa.array(anchor[one]),
-                        pa.array(np.where(parts[one] > 1, (h[one] % np.maximum(parts[one], 1).astype(U64)).astype(np.int32), 0).astype(np.int32)),
-                        pa.array(parts[one]),
+                        pa.array((h[one] % np.maximum(parts[one], 1).astype(U64)).astype(np.int32)),
+                        pa.array(parts[one].astype(np.int32)),
                         pa.array(h[one].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), pa.array(lo[order])),
-                        pa.array([text[s:e] for s, e in zip(start[one], end[one], strict=True)], pa.binary()),
+                        pa.array([bytes(text[s:e]) for s, e in zip(start[one], end[one], strict=True)], pa.binary()),
                     ],
-                    ["doc_id", "anchor", "part", "parts", "same", "places", "context"],
+                    [*KEY, "anchor", "part", "parts", "same", "places", "context"],
                 )
-                del ends
 
     return run
 
@@ -223,8 +236,9 @@ def _common(a: np.ndarray, b: np.ndarray, ranks: list[tuple[int, np.ndarray]], b
 
 
 def _index(length: int, buckets: int):
-    """Rows of one anchor part follow each other. Gives (doc_id, start, end) of repeated bytes; for divided anchors
-    also, packed by bucket of their hash, the windows that nothing has matched yet and those that are matched here."""
+    """Rows of one anchor part follow each other. Gives (key, digest, start, end) of repeated bytes, and an empty span at
+    each run that is looked at; for divided anchors also, packed by bucket of their hash, the windows that nothing has
+    matched yet and those that are matched here."""
 
     def flush(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
@@ -257,10 +271,8 @@ def _index(length: int, buckets: int):
             cum = np.concatenate([[0], np.cumsum(lens[chosen])])
             for k, s, e in zip(chosen, cum[:-1], cum[1:], strict=True):
                 match[base[k] : base[k + 1]] = got[s:e]
-        docs, starts, ends = [], [], []
-        ids = table.column("doc_id").to_pylist()
-        offsets = places.offsets.to_numpy()
-        spots = places.values.to_numpy()
+        keys = np.stack([table.column(k).to_numpy() for k in KEY])
+        offsets, spots = places.offsets.to_numpy(), places.values.to_numpy()
         runs, loose, known = {}, {}, []
         for k in range(len(lead)):
             w = lens[k] - length + 1
@@ -278,29 +290,31 @@ def _index(length: int, buckets: int):
         if known:  # windows matched here may stand unmatched in another part
             h = np.unique(np.concatenate(known))
             windows.append((h, np.zeros(len(h), np.int64), np.full(len(h), -1)))
+        rows, starts, ends = [np.repeat(np.arange(len(of_text)), n_places)], [spots], [spots]
         for i, k in enumerate(of_text):
             s, e = runs[k]
             for at in spots[offsets[i] : offsets[i + 1]]:
-                docs.append(np.full(len(s), ids[i]))
+                rows.append(np.full(len(s), i))
                 starts.append(at + s)
                 ends.append(at + e)
                 if k in loose:
                     p, h = loose[k]
-                    windows.append((h, np.full(len(p), ids[i]), at + p))
-        docs, starts, ends = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (docs, starts, ends))
+                    windows.append((h, np.full(len(p), i), at + p))
+        rows, starts, ends = (np.concatenate(x).astype(np.int64) for x in (rows, starts, ends))
         packed, blobs = np.empty(0, np.int64), []
         if windows:
-            h, doc, start = (np.concatenate([x[k] for x in windows]) for k in range(3))
+            h, row, start = (np.concatenate([x[k] for x in windows]) for k in range(3))
             bucket = (h % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             packed = bucket[order][cuts]
-            blobs = [b"".join(x[order[a:b]].tobytes() for x in (h, doc.astype(np.int64), start.astype(np.int64))) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-        n, m = len(docs), len(blobs)
+            whole = np.stack([h.view(np.int64), *keys[:, row], start.astype(np.int64)])[:, order]
+            blobs = [whole[:, a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+        n, m = len(rows), len(blobs)
         none = pa.nulls(m, pa.int64())
-        columns = [pa.concat_arrays([pa.array(x), none]) for x in (docs, starts, ends)]
+        columns = [pa.concat_arrays([pa.array(x), none]) for x in (*keys[:, rows], starts, ends)]
         columns += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(packed)]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())])]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "bucket", "windows"])
+        return pa.RecordBatch.from_arrays(columns, [*KEY, "start", "end", "bucket", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -329,11 +343,10 @@ def _across(length: int):
     """The loose windows whose hash some other part has too. Rows come sorted by bucket."""
 
     def matched(blobs: list[bytes]) -> pa.RecordBatch:
-        parts = [np.frombuffer(b, np.int64).reshape(3, -1) for b in blobs]
-        h, doc, start = np.concatenate(parts, axis=1)
+        h, key, digest, start = np.concatenate([np.frombuffer(b, np.int64).reshape(4, -1) for b in blobs], axis=1)
         _, of, count = np.unique(h, return_inverse=True, return_counts=True)
         k = np.flatnonzero((count[of] > 1) & (start >= 0))
-        return pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(start[k]), pa.array(start[k] + length)], ["doc_id", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[k], digest[k], start[k], start[k] + length)], [*KEY, "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -350,42 +363,67 @@ def _across(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_index: int = PER_INDEX) -> DataFrame:
-    """(doc_id, spans): of each document with bytes inside a repeated string, its merged spans (start, end) in bytes.
-
-    A string of length bytes is repeated if it starts at another place too, in the same document or another one;
-    strings end with their document. Texts that are null, empty or shorter have none. Rows without an id take no
-    part. Rows that share an id are documents of their own for the search; their spans are joined under the id.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    gram = min(GRAM, length)
-    runs = saved(texts.mapInArrow(_anchors(length, gram), "doc_id long, lo long, hi long, anchor long"), "anchors")
-    often = runs.groupBy("anchor").count().where("count > 1").select("anchor", F.ceil(F.col("count") / per_index).cast("int").alias("parts"))
-    wanted = runs.join(often, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi", "anchor", "parts")).alias("runs"))
-    contexts = texts.join(wanted, "doc_id").select("doc_id", "text", "runs")
-    contexts = contexts.mapInArrow(_contexts(length), "doc_id long, anchor long, part int, parts int, same long, places array<long>, context binary")
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's sorted spans with overlapping ones made one, and how many empty ones it has."""
+    for batch in batches:
+        lists = batch.column("s")
+        row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+        start, end = (lists.flatten().field(k).to_numpy() for k in range(2))
+        looked_at = np.bincount(row[start == end], minlength=len(lists))
+        row, start, end = (x[start < end] for x in (row, start, end))
+        # sorted by row and start: a span that begins after all before it have ended opens a new one
+        far = np.maximum.accumulate(end + row * (1 << 32)) - row * (1 << 32) if len(row) else end
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > far[:-1])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(row))[: len(at)] - 1
+        spans = pa.StructArray.from_arrays([pa.array(start[at]), pa.array(far[last])], ["start", "end"])
+        bounds = np.searchsorted(row[at], np.arange(len(lists) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.ListArray.from_arrays(pa.array(bounds), spans), pa.array(looked_at.astype(np.int64))], [*KEY, "spans", "n_candidates"])
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *others: Column) -> DataFrame:
+    """(key, digest, text, ...): rows with one id and one text share their key, and what is found for them."""
+    own, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(F.coalesce(own, F.lit(0).cast("long")).alias("key"), F.xxhash64(text, own.isNull()).alias("digest"), text.alias("text"), *others)
+
+
+def _spans(texts: DataFrame, length: int, per_index: int) -> DataFrame:
+    """(key, digest, spans, n_candidates) of the texts(key, digest, text) with runs whose anchor stands elsewhere too."""
+    spark = texts.sparkSession
+    small_batches(spark)
+    texts = texts.where(F.octet_length("text") >= length)
+    runs = saved(texts.mapInArrow(_anchors(length, min(GRAM, length)), "key long, digest long, lo int, hi int, anchor long"), "anchors")
+    often = saved(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "n", F.ceil(F.col("n") / per_index).cast("int").alias("parts")), "often")
+    hot = F.broadcast(often.where(F.col("n") * HOT_SHARE > runs.count()).select("anchor", "parts"))  # HOT_SHARE rows at most
+    cold = often.join(hot, "anchor", "left_anti").select("anchor", "parts")
+    repeated = runs.join(hot, "anchor").unionByName(runs.join(hot, "anchor", "left_anti").join(cold, "anchor"))
+    wanted = repeated.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi", "anchor", "parts")).alias("runs"))
+    contexts = texts.join(wanted, KEY).select(*KEY, "text", "runs")
+    contexts = contexts.mapInArrow(_contexts(length), "key long, digest long, anchor long, part int, parts int, same long, places array<long>, context binary")
     grouped = contexts.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "same")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = saved(grouped.mapInArrow(_index(length, buckets), "doc_id long, start long, end long, bucket long, windows binary"), "repeats")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = saved(grouped.mapInArrow(_index(length, buckets), "key long, digest long, start long, end long, bucket long, windows binary"), "repeats")
     forget(runs)
+    forget(often)
     loose = found.where("bucket is not null").select("bucket", "windows").repartition("bucket").sortWithinPartitions("bucket")
-    across = loose.mapInArrow(_across(length), "doc_id long, start long, end long")
-    spans = found.where("bucket is null").select("doc_id", "start", "end").unionByName(across)
-    # merge overlapping spans: sorted, a span that begins after all before it have ended opens a new one
-    ordered = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
-    empty = F.expr("named_struct('done', array_repeat(named_struct('start', 0L, 'end', 0L), 0), 'start', -1L, 'end', -1L)")
+    across = loose.mapInArrow(_across(length), "key long, digest long, start long, end long")
+    spans = found.where("bucket is null").select(*KEY, "start", "end").unionByName(across)
+    ordered = spans.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
+    return ordered.mapInArrow(_merged, "key long, digest long, spans array<struct<start:long,end:long>>, n_candidates long")
+
 
-    def grow(acc, x):
-        closed = F.when(acc["start"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))))
-        apart = (x["start"] > acc["end"]) | (acc["start"] < 0)
-        return F.struct(
-            F.when(apart, closed).otherwise(acc["done"]).alias("done"),
-            F.when(apart, x["start"]).otherwise(acc["start"]).alias("start"),
-            F.when(apart, x["end"]).otherwise(F.greatest(acc["end"], x["end"])).alias("end"),
-        )
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_index: int = PER_INDEX) -> DataFrame:
+    """(doc_id, digest, spans): of each text with bytes inside a repeated string, its merged spans (start, end) in bytes.
 
-    last = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))
-    return ordered.select("doc_id", F.aggregate("s", empty, grow, last).alias("spans"))
+    A string of length bytes is repeated if it starts at another place too, in the same document or another one;
+    strings end with their document. Texts that are null, empty or shorter have none. Each row is a document of its
+    own, whether its id is null or shared; rows with one id and one text, which repeat each other, give one row.
+    digest is the hash of the text and of whether there is an id, which tells rows that share an id apart; rows without
+    an id have doc_id 0.
+    """
+    found = _spans(_keyed(docs, id_col, text_col), length, per_index).where(F.size("spans") > 0)
+    return found.select(F.col("key").alias("doc_id"), "digest", "spans")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,18 +450,31 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rest"), text], ["rest", "text"])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_columns: bool = False) -> DataFrame:
-    """Each row of docs as (doc_id, n_bytes, n_removed, n_spans, kept): kept has the bytes that no repeat covers.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_index: int = PER_INDEX) -> DataFrame:
+    """Each row of docs as (doc_id, n_bytes, n_removed, n_spans, n_candidates, kept): kept has the bytes that no repeat covers.
+
+    n_candidates counts the runs of windows whose anchor stands at another place too, each of which the indexes decide.
+    Null texts are empty. One row comes back for each row of docs, with its own text, also if ids are null or shared.
+    An empty table gives an empty one. Other columns are ignored, whatever their names.
+    """
+    texts = _keyed(docs, id_col, text_col, F.col(id_col).cast("long").alias("doc_id"))
+    both = texts.join(_spans(texts.select(*KEY, "text"), length, per_index), KEY, "left")
+    zero = F.lit(0).cast("long")
+    both = both.select(
+        "doc_id", F.coalesce(F.octet_length("text"), zero).cast("long").alias("n_bytes"), F.greatest(F.coalesce(F.size("spans"), zero), zero).cast("long").alias("n_spans"),
+        F.coalesce("n_candidates", zero).alias("n_candidates"), "text", "spans",
+    )
+    made = both.mapInArrow(_cut, "doc_id long, n_bytes long, n_spans long, n_candidates long, kept binary, n_removed long")
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_candidates", "kept")
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_index: int = PER_INDEX) -> DataFrame:
+    """The rows of docs with all columns, their text without repeated strings; a character that is cut goes whole.
 
-    With keep_columns the columns of docs instead, with the text cut. Null texts are empty. Rows without an id are
-    kept whole. One row comes back for each row of docs.
+    Null texts become empty. Rows, null or shared ids and empty tables are treated as by without_repeats().
     """
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([rest.alias("rest")] if keep_columns else []))
-    both = texts.join(repeated_spans(docs, id_col, text_col, length), "doc_id", "left")
-    if keep_columns:
-        cut = both.select("rest", "text", "spans").mapInArrow(_cut_text, f"rest {texts.schema['rest'].dataType.simpleString()}, text string")
-        return cut.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
-    both = both.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), "text", "spans")
-    both = both.withColumn("n_spans", F.greatest("n_spans", F.lit(0).cast("long")))
-    return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_spans long, kept binary, n_removed long").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    texts = _keyed(docs, id_col, text_col, rest.alias("rest"))
+    both = texts.join(_spans(texts.select(*KEY, "text"), length, per_index), KEY, "left")
+    cut = both.select("rest", "text", "spans").mapInArrow(_cut_text, StructType([texts.schema["rest"], StructField("text", StringType())]))
+    return cut.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

@@ -10,7 +10,7 @@ from quotalab.llm.decontaminate import contamination, decontaminated, judged
 from quotalab.llm.minhash_dedup import near_duplicates
 from quotalab.llm.quality_rules import cleaned, quality
 from quotalab.llm.store import saved
-from quotalab.llm.suffix_dedup import repeated_spans, without_repeats
+from quotalab.llm.suffix_dedup import cut_repeats, repeated_spans, without_repeats
 
 SCHEMA = "doc_id long, text string, source string, rest string, `key` string, component long"
 
@@ -59,9 +59,52 @@ def test_without_repeats_keeps_rows_and_columns(spark):
     docs = docs_of(spark, [(1, None), (2, "é" * 300 + "x"), (3, "é" * 300 + "y"), (None, "z")])
     rows = {r["doc_id"]: r for r in without_repeats(docs).collect()}
     assert len(rows) == 4 and rows[1]["n_bytes"] == 0 and rows[2]["kept"] == b"x" and rows[3]["n_spans"] == 1
-    kept = without_repeats(docs, keep_columns=True)
+    kept = cut_repeats(docs)
     assert kept.columns == docs.columns and {r["doc_id"]: r["text"] for r in kept.collect()} == {1: "", 2: "x", 3: "y", None: "z"}
-    assert without_repeats(docs.limit(0)).count() == 0
+    assert without_repeats(docs.limit(0)).count() == 0 == cut_repeats(docs.limit(0)).count()
+
+
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    r = random.Random(4)
+    text = lambda: " ".join("w%d" % r.randrange(10**6) for _ in range(120))
+    x, y, z = text(), text(), text()
+    rows = [(1, x), (1, y), (2, x), (1, "short"), (None, y[:100]), (None, z), (None, z), (0, z + " more"), (7, y[300:] + " tail")]
+    docs = docs_of(spark, rows)
+    got = sorted((str(i["doc_id"]), i["n_bytes"], i["kept"].decode()) for i in without_repeats(docs).collect())
+    cut = lambda t: t.replace(y[300:], "") if y[300:] in t and len(y) - 300 >= 400 else t
+    want = [(i, t, "" if t in (x, z) else " more" if t.startswith(z) else cut(t)) for i, t in rows]
+    assert got == sorted((str(i), len(t), k) for i, t, k in want)
+    assert sorted((str(i["doc_id"]), i["text"]) for i in cut_repeats(docs).collect()) == sorted((str(i), k) for i, _, k in want)
+
+
+def test_long_texts_go_by_chunks():
+    import numpy as np
+
+    from quotalab.llm import suffix_dedup as S
+
+    r = np.random.default_rng(2)
+    sizes = [5, 900, 0, 400, 2500, 39, 40]
+    data, offs = r.integers(97, 99, sum(sizes)).astype(np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+    windows = lambda found: {(int(i), p): int(h) for row, lo, hi, h in found for i, a, b, h in zip(row, lo, hi, h) for p in range(a, b + 1)}
+    whole = windows([S._window_anchors(data, offs, 40, 12)])
+    assert len(whole) == sum(max(0, n - 39) for n in sizes)
+    for chunk in (1, 7, 64, 1000):
+        assert windows(S._chunked_anchors(data, offs, 40, 12, chunk)) == whole
+
+
+def test_a_common_passage_over_many_indexes_and_partitions(spark):
+    r = random.Random(9)
+    word = lambda: "w%d" % r.randrange(10**6)
+    passage = " ".join(word() for _ in range(80))
+    texts = [(k, " ".join([*(word() for _ in range(60)), passage, *(word() for _ in range(60))])) for k in range(300)] + [(900, passage[:399]), (901, passage[5:404])]
+    texts += [(1000 + k, " ".join(word() for _ in range(150))) for k in range(50)]
+    docs = docs_of(spark, texts).repartition(40)
+    for per_index in (2048, 7):
+        rows = {x["doc_id"]: x for x in without_repeats(docs, per_index=per_index).collect()}
+        for i, t in texts[:300]:
+            # by chance some neighbours have the same characters beside the passage
+            assert passage not in rows[i]["kept"].decode() and len(passage) <= rows[i]["n_removed"] <= len(passage) + 16, i
+        assert all(rows[i]["n_removed"] == 0 for i, _ in texts[300:])
 
 
 def shingle_set(text):

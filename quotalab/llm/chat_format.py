@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import saved, small_batches
 
 #: A turn is written as OPEN role NAME text CLOSE. The marks inside roles and texts get a backslash before them.
 OPEN, NAME, CLOSE = "### ", ": ", "</turn>\n"
@@ -150,6 +150,7 @@ def format_records(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS, i
     A record that is null, no JSON object, or of a layout without a mapping has a null text, n_turns and loss, and its
     fingerprint tells which layout to add. Rows that repeat are formatted each.
     """
+    small_batches(records.sparkSession)
     picked = records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(seq_col).cast("long").alias("seq"), F.col(record_col).cast("string").alias("record"))
     return picked.mapInArrow(_formatted(layouts), "conv_id long, seq long, fingerprint string, n_turns long, text string, loss array<struct<start:long,end:long>>")
 

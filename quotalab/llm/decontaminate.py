@@ -15,13 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .hashing import ALNUM_WORDS, LOWER, buffers, lower_words, slices, words
-from .store import saved
+from .store import saved, small_batches
 
 WINDOW = 13  # consecutive words of an item that count as its occurrence
-#: Words of the items in one automaton. A larger item table is dealt over several automata, one after the other.
-BLOCK_WORDS = 500_000
+#: Words of the items in one automaton, at most twice as many states of some 300 bytes: 60 MB in a worker. A larger
+#: item table is dealt over several automata; the driver builds them one by one and a task holds one at a time.
+BLOCK_WORDS = 100_000
 
 
 @dataclass
@@ -170,6 +172,10 @@ def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, np.ndarray
     yield block
 
 
+def _parse(schema: str) -> StructType:
+    return StructType.fromDDL(schema)
+
+
 def _match(spark: SparkSession, texts: DataFrame, block: list, window: int, keep: bool) -> DataFrame:
     shared = spark.sparkContext.broadcast(build(block, window))  # bounded by BLOCK_WORDS
 
@@ -199,8 +205,8 @@ def _match(spark: SparkSession, texts: DataFrame, block: list, window: int, keep
                     [*(x for x in batch.schema.names if keep or x != "text"), "n_words", "spans", "items"],
                 )
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.schema if keep or f.name != "text")
-    return texts.mapInArrow(run, schema + "n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, items array<long>")
+    own = [f for f in texts.schema if keep or f.name != "text"]
+    return texts.mapInArrow(run, StructType([*own, *_parse("n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, items array<long>")]))
 
 
 def contamination(
@@ -220,6 +226,7 @@ def contamination(
 
 def _contamination(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int, keep_text: bool) -> DataFrame:
     """texts(doc_id, text, ...): further columns come through."""
+    small_batches(texts.sparkSession)
     rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks = _blocks(rows, block_words)
     first, second = next(blocks), next(blocks, None)
@@ -281,9 +288,13 @@ def decontaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """The rows of docs that are not contaminated, all columns, their text without the spans that match an item."""
+    """The rows of docs that are not contaminated, all columns, their text without the spans that match an item.
+
+    Null and empty texts stay as they are; rows are judged one by one, whether ids are null or shared; an empty table
+    gives an empty one.
+    """
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
     found = judged(_contamination(texts, items, item_col, item_text_col, window, block_words, True)).where(~F.col("contaminated"))
-    cut = found.select("rest", "text", "spans").mapInArrow(_without_spans, f"rest {texts.schema['rest'].dataType.simpleString()}, text string")
+    cut = found.select("rest", "text", "spans").mapInArrow(_without_spans, StructType([texts.schema["rest"], StructField("text", StringType())]))
     return cut.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, encode, of_arrays, read_arrays, write_arrays
 from .hashing import SPACE_WORDS, U64, lower_words, mix, slices
-from .store import new_path, posix_path
+from .store import posix_path, scratch_path, small_batches
 
 ALPHA = 0.1
 PRIOR_2 = 4.0
@@ -33,6 +33,11 @@ END = U64(0x9AE16A3B2F90404F)  # stands for the hash of the end of a text
 SLICE = 3 << 20  # bytes of text scored at once
 HELD = 3_000_000  # counted rows that a task holds before it sends them on
 
+#: Training tokens whose pairs and triples go to one shard, which a task builds in memory; at least as many shards as
+#: spark.sql.shuffle.partitions, and at most as 16 bits can name.
+SHARD_TOKENS = 4_000_000
+MOST_SHARDS = 65_535
+
 _open: dict[str, Trie] = {}
 
 
@@ -146,6 +151,7 @@ class Trie:
             self.size, self.tokens, self.texts = self.size + n, self.tokens + tokens, self.texts + ends
         self._counts = counts
         self._firsts = np.array([first for _, first in self.words.values()], np.int64)
+        self.pair_shards = min(max(shards, -(-self.tokens // SHARD_TOKENS)), MOST_SHARDS)
         self.begin, self.none = self.size, self.size + 1
         if self.none >= 1 << 32:
             raise ValueError("more than 2**32 - 2 distinct words")
@@ -211,23 +217,22 @@ class Grams:
     seq: np.ndarray  # ranks of all texts
     row: np.ndarray
     place: np.ndarray  # of the first token of each pair
-    key: np.ndarray  # distinct: three ranks of BITS each
-    gram: np.ndarray | None  # index into key for each pair
-    repeats: np.ndarray  # how often each distinct key stands there
+    pair: np.ndarray  # distinct, with third: two ranks of 32 bits each
+    third: np.ndarray
+    gram: np.ndarray | None  # index into them for each pair
+    repeats: np.ndarray  # how often each distinct one stands there
 
 
-BITS = U64(21)
-LOW = (U64(1) << BITS) - U64(1)
+#: Three ranks of so many bits make one number to sort by; a text of more distinct words has its pairs numbered first.
+BITS = 21
 
 
-def _grams(batch: pa.RecordBatch, trie: Trie, places: bool) -> Grams:
+def _grams(batch: pa.RecordBatch, trie: Trie, places: bool, bits: int = BITS) -> Grams:
     rows = batch.num_rows
     found = lower_words(batch.column("text"), SPACE_WORDS)
     own, inverse = np.unique(np.append(found.hash, END), return_inverse=True)
     number = np.append(trie.numbers(own), [trie.begin, trie.none])
     begin, none = len(own), len(own) + 1
-    if none > int(LOW):
-        raise ValueError("too many words in one slice")
     first = found.first[:-1] + 2 * np.arange(rows)
     last = found.first[1:] + 2 * np.arange(rows) + 1
     seq = np.empty(len(found.hash) + 2 * rows, np.int64)
@@ -238,7 +243,13 @@ def _grams(batch: pa.RecordBatch, trie: Trie, places: bool) -> Grams:
     third = np.full(len(seq), none, np.int64)
     third[:-2] = np.where(row[:-2] == row[2:], seq[2:], none)
     place = np.flatnonzero(row[:-1] == row[1:])
-    key = (((seq[place] << 21) | seq[place + 1]) << 21 | third[place]).astype(U64)
+    pair, third = (seq[place].astype(U64) << U64(32)) | seq[place + 1].astype(U64), third[place].astype(U64)
+    if none < 1 << bits:
+        low = U64(2 * bits), U64(bits), U64((1 << bits) - 1)
+        key = ((pair >> U64(32)) << low[0]) | ((pair & U64(0xFFFFFFFF)) << low[1]) | third
+    else:
+        distinct, key = np.unique(pair, return_inverse=True)
+        key = (key.astype(U64) << U64(32)) | third
     gram = None
     if places:
         order = np.argsort(key)
@@ -250,7 +261,12 @@ def _grams(batch: pa.RecordBatch, trie: Trie, places: bool) -> Grams:
     if places:
         gram = np.empty(len(key), np.int64)
         gram[order] = np.cumsum(new) - 1
-    return Grams(number, trie.counts(number), seq, row, place, key[at], gram, np.diff(np.append(at, len(key))))
+    repeats, key = np.diff(np.append(at, len(key))), key[at]
+    if none < 1 << bits:
+        pair, third = ((key >> low[0]) << U64(32)) | ((key >> low[1]) & low[2]), key & low[2]
+    else:
+        pair, third = distinct[(key >> U64(32)).astype(np.int64)], key & U64(0xFFFFFFFF)
+    return Grams(number, trie.counts(number), seq, row, place, pair, third.astype(np.int64), gram, repeats)
 
 
 def _count_triples(folder: str, shards: int, stats: list):
@@ -260,8 +276,8 @@ def _count_triples(folder: str, shards: int, stats: list):
             for batch in slices(whole, "text", SLICE):
                 g = _grams(batch, trie, False)
                 number = g.number.astype(U64)
-                pair = (number[(g.key >> (BITS + BITS)).astype(np.int64)] << U64(32)) | number[((g.key >> BITS) & LOW).astype(np.int64)]
-                yield _by_shard(_pair_shard(pair, shards), pair, number[(g.key & LOW).astype(np.int64)], g.repeats)
+                pair = (number[(g.pair >> U64(32)).astype(np.int64)] << U64(32)) | number[(g.pair & U64(0xFFFFFFFF)).astype(np.int64)]
+                yield _by_shard(_pair_shard(pair, trie.pair_shards), pair, number[g.third], g.repeats)
 
     return run
 
@@ -355,18 +371,18 @@ def _distinct(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def token_scores(trie: Trie, g: Grams) -> np.ndarray:
     """p of the second token of each pair of the batch, by place."""
-    heads, pair_of = _distinct(g.key >> BITS)
-    pair = g.key[heads] >> BITS
-    u, v = (pair >> BITS).astype(np.int64), (pair & LOW).astype(np.int64)
-    w = g.number[(g.key & LOW).astype(np.int64)]
+    heads, pair_of = _distinct(g.pair)
+    pair = g.pair[heads]
+    u, v = (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
+    w = g.number[g.third]
     nu, nv = g.number[u], g.number[v]
     p2 = (PRIOR_2 / (g.count + PRIOR_2))[u] * trie.base(g.count)[v]
-    back, part = np.ones(len(pair)), np.zeros(len(g.key))
+    back, part = np.ones(len(pair)), np.zeros(len(g.pair))
     known = np.flatnonzero((nu >= 0) & (nv >= 0))
-    shard = _pair_shard((nu[known].astype(U64) << U64(32)) | nv[known].astype(U64), trie.shards)
+    shard = _pair_shard((nu[known].astype(U64) << U64(32)) | nv[known].astype(U64), trie.pair_shards)
     order = np.argsort(shard.astype(np.uint16), kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(trie.shards + 1))
-    ends = np.append(heads[1:], len(g.key))
+    cuts = np.searchsorted(shard[order], np.arange(trie.pair_shards + 1))
+    ends = np.append(heads[1:], len(g.pair))
     for s in np.flatnonzero(np.diff(cuts)):
         level = trie.pairs(int(s))
         if level is None:
@@ -426,18 +442,21 @@ def is_held_out(id_col: str = "doc_id", parts: int = 10) -> Column:
 def build_trie(docs: DataFrame, text_col: str = "text") -> tuple[str, int, list]:
     """(folder, shards, sizes of the word shards): the levels of all texts of docs, under the shared folder.
 
-    As many shards as spark.sql.shuffle.partitions. Null texts are empty: an end alone. An empty table gives a trie
+    Word shards are as many as spark.sql.shuffle.partitions, shards of pairs by the counted tokens. Null texts are empty: an end alone. An empty table gives a trie
     without words, under which every probability is that of the one unknown word, 1.
     """
     spark = docs.sparkSession
-    shards = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 65535)
-    folder = posix_path(new_path(spark, "trie"))
+    small_batches(spark)
+    shards = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_SHARDS)
+    path = scratch_path(spark, "trie")
+    folder = posix_path(path)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    grouped = lambda df: df.repartition(shards, "shard").sortWithinPartitions("shard")
-    words = grouped(texts.mapInArrow(_count_words(shards), "shard int, blob binary"))
+    grouped = lambda df, n: df.repartition(n, "shard").sortWithinPartitions("shard")
+    words = grouped(texts.mapInArrow(_count_words(shards), "shard int, blob binary"), shards)
     stats = [tuple(r) for r in words.mapInArrow(_build_words(folder, shards), "shard long, n long, tokens long, ends long").collect()]  # a row for each shard
     if stats:
-        triples = grouped(texts.mapInArrow(_count_triples(folder, shards, stats), "shard int, blob binary"))
+        tokens = sum(t for _, _, t, _ in stats)
+        triples = grouped(texts.mapInArrow(_count_triples(folder, shards, stats), "shard int, blob binary"), min(max(shards, -(-tokens // SHARD_TOKENS)), MOST_SHARDS))
         triples.mapInArrow(_build_pairs(folder, shards, stats), "shard long, pairs long, triples long").collect()
     return folder, shards, stats
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U64, buffers, prefix_hash, slices, span_hash
+from .store import small_batches
 
 N_BEST = 4
 SLICE = 1 << 20
@@ -352,6 +353,7 @@ def encode_texts(docs: DataFrame, path: str, n: int = N_BEST, id_col: str = "doc
     Fewer than n paths give fewer entries. Null and empty texts have no ids and one path of score 0. Ties go to the
     longest piece, from the end of a segment, then to the first place. Rows that share an id are separate texts.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,8 +382,10 @@ def piece_digests(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
     """What encode_texts() finds, as digests: doc_id, n_ids, ids_sha256 (of little-endian uint32), n_paths, score, scores, paths_sha256, decoded.
 
     scores has the n best scores; paths_sha256 covers all n id sequences, one after the other; decoded tells whether
-    the best path's ids decode to the text.
+    the best path's ids decode to the text. Null texts are empty; rows that share an id are separate texts; an empty
+    table gives an empty one; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import SPACE_WORDS, U64, Words, buffers, shingles, slices, words
-from .store import saved
+from .store import saved, small_batches
 
 #: Labelled rows that the model is fitted on, by the hash of their id: the bound of the training sample.
 TRAIN_ROWS = 20_000
@@ -217,6 +217,7 @@ def _featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "x"])
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return saved(texts.mapInArrow(run, "doc_id long, x array<double>").withColumn("held_out", is_held_out("doc_id")), "features")
 

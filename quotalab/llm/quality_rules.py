@@ -76,13 +76,13 @@ def frequent_lines(
     rows = d.select("doc_id", "host", F.xxhash64("t").alias("doc"), F.explode(F.split("t", "\n")).alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     rows = saved(rows.select("doc_id", "host", "doc", line_hash(F.col("line")).alias("line"), F.regexp_count("line", F.lit(WORD)).alias("w")), "lines")
     sizes = rows.groupBy("host", "doc").agg(F.min("doc_id").alias("x")).groupBy("host").agg(F.count("*").alias("docs"))
-    each = rows.groupBy("host", "line", "doc").agg(F.min("doc_id").alias("first"))
-    often = each.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") > min_docs)
-    often = often.join(sizes, "host").where(100 * F.col("n") > share_percent * F.col("docs")).select("host", "line", "first", "n")
+    each = rows.groupBy("host", "line", "doc").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    often = each.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.sum("copies").alias("copies")).where(F.col("n") > min_docs)
+    often = often.join(sizes, "host").where(100 * F.col("n") > share_percent * F.col("docs")).select("host", "line", "first", "copies")
     # lines with more than this share of all rows are few enough to broadcast, so that none meets in one task
     often, total = saved(often, "often"), rows.count()
-    often = often.withColumn("hot", F.col("n") * HOT_SHARE > total)
-    hot, cold = F.broadcast(often.where("hot").drop("hot", "n")), often.where("not hot").drop("hot", "n")
+    often = often.withColumn("hot", F.col("copies") * HOT_SHARE > total)
+    hot, cold = F.broadcast(often.where("hot").drop("hot", "copies")), often.where("not hot").drop("hot", "copies")
     hits = rows.join(hot, ["host", "line"]).unionByName(rows.join(hot, ["host", "line"], "left_anti").join(cold, ["host", "line"])).where("doc_id <> first")
     return hits.groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.sum("w").cast("long").alias("removed_words"))
 

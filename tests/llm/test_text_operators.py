@@ -147,6 +147,27 @@ def test_trie_equals_counts(spark):
     assert ngram_trie.score_texts(docs.limit(0)).count() == 0
 
 
+def test_grams_of_many_distinct_words(spark):
+    import pyarrow as pa
+
+    class Known:
+        begin, none = 1000, 1001
+
+        def numbers(self, h):
+            return np.arange(len(h))
+
+        def counts(self, number):
+            return number
+
+    r = random.Random(7)
+    texts = [" ".join(f"w{r.randrange(60)}" for _ in range(r.randrange(50))) for _ in range(30)] + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for places in (True, False):
+        one, other = (ngram_trie._grams(batch, Known(), places, bits) for bits in (ngram_trie.BITS, 3))
+        for name in ("number", "seq", "row", "place", "pair", "third", "repeats", *(["gram"] if places else [])):
+            assert (getattr(one, name) == getattr(other, name)).all(), name
+
+
 def test_piece_lattice_equals_all_paths(spark, docs):
     path = tokenizer_path("piece_bpe_32k.model")
     model = piece_lattice.pieces(path)

@@ -259,8 +259,12 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID, id_col: s
 
     If they are too few to train on it is empty, and frames are plain zstandard."""
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null")
-    picked = picked.withColumn("text", F.substring("text", 1, DICT_DOC_CHARS))
-    rows = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(DICT_DOCS).collect()
+    picked = picked.select("doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DICT_DOC_CHARS).alias("text"))
+    # ids alone are ranked, so that no task sends more than a few bytes for each of them
+    last = picked.select("h", "doc_id").orderBy("h", "doc_id").limit(DICT_DOCS).agg(F.max(F.struct("h", "doc_id")).alias("last")).first()["last"]
+    if last is None:
+        return b""
+    rows = picked.where((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("doc_id") <= last["doc_id"]))).orderBy("h", "doc_id", "text").limit(DICT_DOCS).collect()
     samples = encode_rows([r["text"] for r in rows], path, end_id)
     try:
         return zstandard.train_dictionary(DICT_BYTES, sorted(samples)).as_bytes()

@@ -3,15 +3,34 @@
 from __future__ import annotations
 
 import argparse
+import logging
+import sys
+from dataclasses import asdict
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .config import SEED, Settings
+from .operators.history import HISTORY
+
 from .plans.allocation import run_allocation
 from .plans.forecast import run_forecast
 from .shipping import ship
 from .sources.ledger import write_csv
 
 
+def logged_to(folder: str) -> list[logging.Handler]:
+    """The console and folder/pipeline.log, written anew; folder is one of the driver's."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    handlers = [logging.FileHandler(Path(folder) / "pipeline.log", mode="w", encoding="utf-8"), logging.StreamHandler(sys.stdout)]
+    log = logging.getLogger("quotalab")
+    log.setLevel(logging.INFO)
+    for handler in handlers:
+        handler.setFormatter(logging.Formatter("%(asctime)s | %(levelname)s | %(message)s"))
+        log.addHandler(handler)
+    return handlers
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--input", required=True)
@@ -22,12 +41,22 @@ def main(args: list[str] | None = None) -> None:
     given = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     ship(spark)
-    made = run_allocation(spark, given.input, given.output, anonymous=given.anonimizar)
-    if given.ml:
-        learnt = run_forecast(spark, made.painel, made.metricas, made.dominancia, given.data_dir or f"{given.output}/data")
-        write_csv(learnt.previsoes, f"{given.output}/05_previsoes")
-        write_csv(learnt.backtest, f"{given.output}/06_backtest_walkforward")
-        write_csv(learnt.dominancia_ml, f"{given.output}/04_dominancia_ml")
+    log, handlers = logging.getLogger("quotalab"), logged_to(given.output)
+    try:
+        log.info("Início: seed %d, %s", SEED, asdict(Settings()))
+        made = run_allocation(spark, given.input, given.output, anonymous=given.anonimizar)
+        if given.ml:
+            learnt = run_forecast(spark, made.painel, made.metricas, made.dominancia, given.data_dir or f"{given.output}/data")
+            write_csv(learnt.previsoes.orderBy("unidade", "produto"), f"{given.output}/05_previsoes")
+            if learnt.backtest is not None:  # without a tested month there is no such table
+                write_csv(learnt.backtest.orderBy("modelo", "fold", "unidade", "produto"), f"{given.output}/06_backtest_walkforward")
+            write_csv(learnt.dominancia_ml.orderBy("unidade", "produto"), f"{given.output}/04_dominancia_ml")
+            write_csv(learnt.historico.select(*HISTORY).orderBy("unidade", "produto", "mes"), f"{given.output}/historico_mensal")
+        log.info("Fim")
+    finally:
+        for handler in handlers:
+            log.removeHandler(handler)
+            handler.close()
 
 
 if __name__ == "__main__":

@@ -27,8 +27,8 @@ def or_zero(x: Column) -> Column:
 
 
 def first_match(default: object, *cases: tuple[Column, object]) -> Column:
-    """The value of the first true case."""
+    """The value of the first true case; without cases the default."""
     out = None
     for test, value in cases:
         out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(default)
+    return F.lit(default) if out is None else out.otherwise(default)

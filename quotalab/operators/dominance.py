@@ -61,25 +61,40 @@ def grid_point(low: Column, high: Column, i: Column, points: int) -> Column:
     return F.when(i == points - 1, high).otherwise(i * ((high - low) / (points - 1)) + low)
 
 
+def grid_places(x: Column, low: Column, high: Column, points: int) -> Column:
+    """Of each cost the first grid point that is not below it: by the step's width, then checked on the grid itself."""
+
+    def place(v: Column) -> Column:
+        near = F.ceil(F.try_divide(v - low, (high - low) / (points - 1)))  # null where all costs are one
+        reached = lambda i: (i >= 0) & (grid_point(low, high, i, points) >= v)
+        return F.least(F.when(reached(near - 1), near - 1).when(reached(near), near).otherwise(near + 1), F.lit(points - 1)).cast("int")
+
+    return F.transform(x, place)
+
+
+def place_gaps(a: Column, b: Column, points: int) -> Column:
+    """By how much the cumulated counts of a exceed those of b, at each grid point before a count grows and at the last.
+
+    Cumulated counts grow linearly between these points, so they decide for the whole grid.
+    """
+    levels = F.filter(F.array_union(F.transform(F.array_union(a, b), lambda i: i - 1), F.array(F.lit(points - 1))), lambda i: i >= 0)
+    total = lambda x, i: F.aggregate(x, F.lit(0), lambda s, k: s + F.greatest(i - k + 1, F.lit(0)))
+    return F.transform(levels, lambda i: total(a, i) - total(b, i))
+
+
+def winner(gaps: Column) -> Column:
+    less, more = F.exists(gaps, lambda d: d < 0), F.exists(gaps, lambda d: d > 0)
+    return F.when(less & ~more, "A").when(more & ~less, "B").otherwise("nenhuma")
+
+
 def dominance(a: Column, b: Column, points: int = 200) -> Column:
     """A if the cumulated distribution of costs a never exceeds that of b and once is less; B the other way; else nenhuma.
 
     Cumulated on a grid by counts, so that there are no rounding ties. Larger costs have the smaller distribution:
     this orientation marks the policy with the larger costs; cheaper() is the right way round.
     """
-    low = F.least(F.array_min(a), F.array_min(b))
-    high = F.greatest(F.array_max(a), F.array_max(b))
-    start = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(False).alias("less"), F.lit(False).alias("more"))
-
-    def step(acc: Column, i: Column) -> Column:
-        z = grid_point(low, high, i, points)
-        below = lambda x: F.size(F.filter(x, lambda v: v <= z))
-        # sizes of both series agree: counts compare as shares do
-        na, nb = acc["a"] + below(a), acc["b"] + below(b)
-        return F.struct(na.alias("a"), nb.alias("b"), (acc["less"] | (na < nb)).alias("less"), (acc["more"] | (na > nb)).alias("more"))
-
-    end = F.aggregate(F.sequence(F.lit(0), F.lit(points - 1)), start, step, lambda acc: F.when(acc["less"] & ~acc["more"], "A").when(acc["more"] & ~acc["less"], "B").otherwise("nenhuma"))
-    return F.when(low == high, "nenhuma").otherwise(end)
+    low, high = F.least(F.array_min(a), F.array_min(b)), F.greatest(F.array_max(a), F.array_max(b))
+    return F.when(low == high, "nenhuma").otherwise(winner(place_gaps(grid_places(a, low, high, points), grid_places(b, low, high, points), points)))
 
 
 def cheaper(a: Column, b: Column) -> Column:
@@ -96,8 +111,16 @@ def cheaper(a: Column, b: Column) -> Column:
 
 def dominated(rows: DataFrame, settings: Settings = Settings(), mode: str = "reference") -> DataFrame:
     """Adds the three comparisons of policies; mode is 'reference' (dominance) or 'cost' (cheaper)."""
-    test = (lambda a, b: dominance(a, b, settings.grid)) if mode == "reference" else cheaper
-    return rows.withColumns({name: test(F.col(f"c_{a}"), F.col(f"c_{b}")) for name, a, b in COMPARED})
+    if mode != "reference":
+        return rows.withColumns({name: cheaper(F.col(f"c_{a}"), F.col(f"c_{b}")) for name, a, b in COMPARED})
+    c, points, each = F.col, settings.grid, range(len(COMPARED))
+    # bounds, places and gaps are columns of their own, so that each is computed once
+    out, sides = rows, [(f"c_{a}", f"c_{b}") for _, a, b in COMPARED]
+    out = out.withColumns({f"__lo{k}": F.least(*(F.array_min(x) for x in sides[k])) for k in each} | {f"__hi{k}": F.greatest(*(F.array_max(x) for x in sides[k])) for k in each})
+    out = out.withColumns({f"__{s}{k}": grid_places(c(x), c(f"__lo{k}"), c(f"__hi{k}"), points) for k in each for s, x in zip("ab", sides[k], strict=True)})
+    out = out.withColumns({f"__gaps{k}": place_gaps(c(f"__a{k}"), c(f"__b{k}"), points) for k in each})
+    found = {name: F.when(c(f"__lo{k}") == c(f"__hi{k}"), "nenhuma").otherwise(winner(c(f"__gaps{k}"))) for k, (name, _, _) in enumerate(COMPARED)}
+    return out.withColumns(found).select(*rows.columns, *found)
 
 
 def cdf_grid(rows: DataFrame, a: str = "conservadora", b: str = "atual", points: int = 200) -> DataFrame:

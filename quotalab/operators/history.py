@@ -12,21 +12,27 @@ from .features import KEY, baseline, temporal
 HISTORY = ["unidade", "produto", "categoria", "mes", "consumo_total", "consumo_reg", "consumo_extra", "demanda_total"]
 
 
-def upserted(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ("unidade", "produto", "mes")) -> DataFrame:
-    """Both tables with one row for each key: the new table's, if it has one. Of a table's own repeats the largest stays."""
+def upserted(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ("unidade", "produto", "mes"), order: str | None = None) -> DataFrame:
+    """Both tables with one row for each key: the new table's, if it has one.
+
+    Of a table's own repeats the last by the column order stays (it is dropped), or the largest where none is given.
+    """
     rows = old.withColumn("src", F.lit(0)).unionByName(new.withColumn("src", F.lit(1)), allowMissingColumns=True)
-    others = [c for c in rows.columns if c not in (*key, "src")]
+    others = [c for c in rows.columns if c not in (*key, "src", order)]
+    if order:
+        best = rows.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct("src", order, *others)).alias("r"))
+        return best.select(*key, *(F.col(f"r.{c}").alias(c) for c in others)).select(*[c for c in rows.columns if c not in ("src", order)])
     best = rows.groupBy(*key).agg(F.max(F.struct("src", *others)).alias("r"))
     return best.select(*key, *(F.col(f"r.{c}").alias(c) for c in others)).select(*[c for c in rows.columns if c != "src"])
 
 
-def walk_forward(history: DataFrame, settings: ForecastSettings = ForecastSettings()) -> DataFrame:
+def walk_forward(history: DataFrame, settings: ForecastSettings = ForecastSettings(), short_history: str = "zero") -> DataFrame:
     """The baseline's errors in every month after the first least_training ones, from the months before: one window.
 
     A pair's first row has no months before it and gives no error.
     """
     months = history.select("mes").distinct().withColumn("fold", F.dense_rank().over(Window.orderBy("mes")) - 1)  # as many rows as months
-    rows = temporal(history, settings).withColumn("predicted", baseline()).join(F.broadcast(months), "mes")
+    rows = temporal(history, settings).withColumn("predicted", baseline(short_history=short_history)).join(F.broadcast(months), "mes")
     rows = rows.where((F.col("fold") >= settings.least_training) & (F.col("trend_idx") >= 1))
     off = F.abs(F.col("consumo_total") - F.col("predicted"))
     return rows.select(
@@ -35,6 +41,12 @@ def walk_forward(history: DataFrame, settings: ForecastSettings = ForecastSettin
     )
 
 
+def newest_fold(backtest: DataFrame) -> DataFrame:
+    """The errors of the last month that was tested."""
+    last = backtest.agg(F.max("fold").alias("last"))  # one row
+    return backtest.join(F.broadcast(last), F.col("fold") == F.col("last"), "left_semi")
+
+
 def error_metrics(backtest: DataFrame, *by: str) -> DataFrame:
     """mae, rmse, mape (of the errors that have a share) and how many."""
     return backtest.groupBy(*by).agg(F.avg("abs_error").alias("mae"), F.sqrt(F.avg("sq_error")).alias("rmse"), F.avg("pct_error").alias("mape"), F.count("*").alias("n_obs"))

@@ -222,7 +222,7 @@ _BODIES: dict[str, tuple[str, str]] = {
     ),
     "walk_forward_baseline": (_WALK, f"select fold, mes_test, unidade, produto, {_round('actual', 'predicted', 'abs_error', 'sq_error', 'pct_error')} from backtest"),
     "backtest_metrics": (_WALK, "select fold, mes_test, round(avg(abs_error), 6) as mae, round(sqrt(avg(sq_error)), 6) as rmse, round(avg(pct_error), 6) as mape, count(*) as n_obs from backtest group by all"),
-    "drift_zscore_rows": (f"{_WALK},\n    e as (select abs_error as v, unidade, produto from backtest where mes_test = '2001-07'),{_DRIFT.format(order='unidade desc, produto desc')}", ""),
+    "drift_zscore_rows": (f"{_WALK},\n    e as (select abs_error as v, unidade, produto from backtest where fold = (select max(fold) from backtest)),{_DRIFT.format(order='unidade desc, produto desc')}", ""),
     "drift_zscore_months": (f"{_WALK},\n    e as (select avg(abs_error) as v, mes_test from backtest group by mes_test),{_DRIFT.format(order='mes_test desc')}", ""),
     "registry_promotion": (
         f"""{_WALK},
@@ -232,10 +232,121 @@ _BODIES: dict[str, tuple[str, str]] = {
     ),
     "close_cycle": (
         f"{_COSTS},{_NEXT.removeprefix(_MONTHLY + ',')}",
-        f"select p.unidade, p.produto, p.categoria, politica_preferida, round(f.previsao, 6) as demanda_prevista, case when f.previsao is not null then 'ml_prevista' else 'empirica' end as fonte_demanda, "
-        "coalesce(f.conf, 'insuficiente') as confiabilidade_ml, f.modelo as modelo_ml from preferidas p left join (select *, 'operacional' as conf, 'baseline_mmp' as modelo from previstos where is_future and cast(regexp_extract(produto, '(\\d+)', 1) as int) % 2 = 0) f on p.unidade = f.unidade and p.produto = f.produto",
+        """select p.unidade, p.produto, p.categoria, politica_preferida, round(f.previsao, 6) as demanda_prevista, case when f.previsao is not null then 'ml_prevista' else 'empirica' end as fonte_demanda,
+            coalesce(f.conf, 'insuficiente') as confiabilidade_ml, f.modelo as modelo_ml
+        from preferidas p left join (
+            select *, case when (select count(distinct mes) from historico) < 18 then 'preliminar' else 'operacional' end as conf, 'baseline_mmp' as modelo from previstos
+            where is_future and (select count(distinct mes) from historico) >= 8) f on p.unidade = f.unidade and p.produto = f.produto""",
     ),
     "pareto_units": (_LEDGER, "select unidade, n_pedidos, (row_number() over w)::int as ordem, round(sum(n_pedidos) over w / sum(n_pedidos) over (), 6) as acumulado from (select unidade, count(*) as n_pedidos from pedidos group by unidade) window w as (order by n_pedidos desc, unidade)"),
+    "ledger_from_text": (
+        f"""{_LEDGER},
+    n as (select *, qtd_solic::bigint % 7 as n from pedidos),
+    t as (
+        select unidade, mes, data_solic, trim(replace(upper(case n when 0 then ' ' || lower(categoria) || ' ' when 1 then replace(categoria, 'CATEGORIA', 'CATEGÓRIA') else categoria end), 'Ó', 'O')) as categoria,
+            case when n = 2 then 0.0::double else qtd_solic end as qtd_solic, case when n = 3 then 0.0::double else trunc(qtd_env) end as qtd_env, case when n = 4 then 0.0::double else trunc(qtd_rec) end as qtd_rec,
+            case when n = 5 then null else pedido_extra end as pedido_extra
+        from n)""",
+        "select unidade, categoria, mes, pedido_extra, count(*) as n, sum(qtd_solic) as qtd_solic, sum(qtd_env) as qtd_env, sum(qtd_rec) as qtd_rec, date_trunc('day', max(data_solic))::timestamp as ate from t group by unidade, categoria, mes, pedido_extra",
+    ),
+    "ledger_summary": (
+        _LEDGER,
+        "select count(*) as linhas, count(distinct unidade) as unidades, count(distinct produto) as produtos, min(mes) as de, max(mes) as ate, round(sum(qtd_consumo), 6) as consumo, count(*) filter (where f1) as n_env_maior_solic, "
+        "count(*) filter (where f2) as n_rec_maior_env, count(*) filter (where f3) as n_fin_sem_rec, count(*) filter (where f1 or f2 or f3) as n_qualquer_erro, round(avg((f1 or f2 or f3)::int::double), 6) as taxa from consolidado",
+    ),
+    "audit_counts": (
+        f"""{_COSTS},
+    k as (
+        select (select count(*) from consolidado where mes between '2001-04' and '2001-07') as a, (select count(*) from painel) as b, (select count(*) from metricas) as c, (select count(*) from politicas) as d,
+            (select count(*) from esperados) as e)""",
+        "select etapa, i as linhas_entrada, o as linhas_saida, o - i as delta from (select unnest(['2.1_agregacao_mensal', '2.2_metricas_por_par', '3_politica_cota', '4_dominancia_estocastica']) as etapa, unnest([a, b, c, d]) as i, unnest([b, c, d, e]) as o from k)",
+    ),
+    "history_months": (_HISTORY, "select mes, (row_number() over (order by mes))::int as ordem, strftime(strptime(max(mes) over (), '%Y-%m') + interval 1 month, '%Y-%m') as proximo from (select distinct mes from historico)"),
+    "forecast_reliability": (
+        f"{_NEXT},\n    r as (select quantile_cont(consumo_total - previsao, 0.05) as lo, quantile_cont(consumo_total - previsao, 0.95) as hi from previstos where not is_future),\n    g as (select count(distinct mes) as t from historico)",
+        f"""select {_KEY}, mes as mes_previsao, {", ".join(f"round_even(({x}) * 100.0::double, 0) / 100.0::double as {name}" for name, x in (("previsao", "previsao"), ("intervalo_inferior_90", "greatest(previsao + lo, 0.0::double)"), ("intervalo_superior_90", "greatest(previsao + hi, 0.0::double)")))},
+            case when t < 8 then 'insuficiente' when t < 18 then 'preliminar' else 'operacional' end as confiabilidade, 'baseline_mmp' as modelo_usado, t >= 8 as previsao_substitui_c4
+        from previstos cross join r cross join g where is_future""",
+    ),
+    "backtest_union": (
+        f"""{_TEMP},
+    dobras as (select mes, (dense_rank() over (order by mes) - 1)::int as fold from (select distinct mes from historico)),
+    soma as (
+        select *, 0.1::double * lag_4 + 0.2::double * lag_3 + 0.3::double * lag_2 + 0.4::double * lag_1 as s,
+            0.1::double * lag_4_disp + 0.2::double * lag_3_disp + 0.3::double * lag_2_disp + 0.4::double * lag_1_disp as parte
+        from temporal join dobras using (mes) where fold >= 3 and trend_idx >= 1),
+    ambos as (
+        select 'baseline_mmp' as modelo, mes, consumo_total as v, greatest(s, 0.0::double) as p from soma union all
+        select 'baseline_media', mes, consumo_total, greatest(case when parte > 0 then s / parte else 0.0::double end, 0.0::double) from soma)""",
+        "select modelo, mes as mes_test, round(avg(abs(v - p)), 6) as mae, round(sqrt(avg((v - p) * (v - p))), 6) as rmse, round(avg(case when v > 0 then abs(v - p) / v end), 6) as mape, count(*) as n_obs from ambos group by modelo, mes",
+    ),
 }
 
+
+def _uniform(*parts: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', {', '.join(parts)}, '20260501')), 1, 10))::bigint + 0.5::double) / 1099511627776.0::double)"
+
+
+_DRAW = lambda name: _uniform(f"'{name}'", "unidade", "produto", "k")
+_OWN = lambda name: _uniform(f"'{name}'", "unidade", "produto", "k", "extra")
+_NETWORK = f"""
+    unidades as (
+        select printf('Unidade_%02d', row_number() over (order by fator desc)) as unidade, fator from (select 0.35::double + (2.6::double - 0.35::double) * {_uniform("'unit'", "i")} as fator from range(1, 16) t(i))),
+    produtos as (
+        select printf('Produto_%03d', i) as produto, case when i <= 40 then 'CATEGORIA_A' when i <= 85 then 'CATEGORIA_B' else 'CATEGORIA_C' end as categoria, 3.0::double + (20.0::double - 3.0::double) * {_uniform("'product'", "i")} as taxa
+        from range(1, 111) t(i)),
+    pares as (
+        select unidade, fator, produto, categoria, taxa, case when n <= 197 then 'X' when n <= 435 then 'Y' else 'Z' end as perfil
+        from (select *, row_number() over (order by {_uniform("'pair'", "unidade", "produto")}, unidade, produto) as n from unidades cross join produtos) where n <= 600)"""
+_SYNTHETIC = f"""{_NETWORK},
+    meses_s(mes, de, dias, peso, mes_ref, k) as (values
+        ('2026-01', date '2026-01-03', 29, 0.65::double, 'Janeiro/2026', 0), ('2026-02', date '2026-02-01', 28, 1.0::double, 'Fevereiro/2026', 1), ('2026-03', date '2026-03-01', 31, 1.0::double, 'Março/2026', 2),
+        ('2026-04', date '2026-04-01', 30, 1.0::double, 'Abril/2026', 3), ('2026-05', date '2026-05-02', 11, 0.35::double, 'Maio/2026', 4)),
+    usual as (
+        select *, case perfil when 'X' then greatest(taxa * fator, 40.0::double) when 'Y' then least(greatest(taxa * fator, 4.0::double), 6.0::double) else least(greatest(taxa * fator, 3.0::double), 9.0::double) end as usual
+        from pares cross join meses_s),
+    medias as (
+        select *, greatest(usual * case when perfil = 'Z' then 3.0::double + 2.0::double * {_DRAW("burst")} else 1.0::double end * peso, 0.5::double) as media, {_DRAW("demand")} as u, {_DRAW("zero")} as z,
+            case when {_uniform("'zeros'", "unidade", "produto", "case when k < 4 then 'true' else 'false' end")} < 0.5 then 2 else 3 end as zeros
+        from usual),
+    passos as (
+        with recursive p(unidade, produto, k, media, u, i, p, c) as (
+            select unidade, produto, k, media, u, 0, exp(-media), exp(-media) from medias union all
+            select unidade, produto, k, media, u, i + 1, p * media / (i + 1), c + p * media / (i + 1) from p where c < u and i < 200)
+        select unidade, produto, k, max(i)::double as q from p group by all),
+    demanda as (
+        select m.*, case when perfil <> 'Z' then q when case when m.k < 4 then row_number() over (partition by m.unidade, m.produto, m.k < 4 order by z, m.k) <= zeros else z < zeros / 4.0::double end then 0.0::double else greatest(q, 2.0::double) end as demanda,
+            floor(usual * case when perfil = 'Z' then 4.0::double else 1.0::double end * 0.79::double) as cota
+        from medias m join passos using (unidade, produto, k)),
+    ordens as (
+        select *, 'Não' as extra, case when cota > 0 then least(cota, demanda) else demanda end as q from demanda union all select *, 'Sim', greatest(demanda - cota, 0.0::double) from demanda),
+    sorteio as (
+        select *, ['Finalizado', 'Finalizado', 'Finalizado', 'Finalizado', 'Finalizado', 'Finalizado', 'Finalizado', 'Recebimento Confirmado', 'Recebimento Confirmado', 'Enviada', 'Enviada', 'Pendente', 'Aprovado', 'Aguardando Gerente'][1 + floor({_OWN("status")} * 14)::int] as status
+        from ordens where q > 0),
+    sintetico as (
+        select unidade, strftime(de + floor({_OWN("day")} * dias)::int, '%Y-%m-%d') as data_solic, produto, categoria, q, status, extra, mes_ref,
+            case when status in ('Finalizado', 'Recebimento Confirmado', 'Enviada') then q else 0.0::double end as env,
+            case when status in ('Finalizado', 'Recebimento Confirmado') and {_OWN("receipt")} >= 0.09::double then q else 0.0::double end as rec
+        from sorteio)"""
+_BODIES |= {
+    "synthetic_network": (_NETWORK, "select unidade, round(fator, 6) as fator, produto, categoria, round(taxa, 6) as taxa, perfil from pares"),
+    "synthetic_orders": (_SYNTHETIC, "select unidade, data_solic, produto, categoria, q::bigint::varchar as qtd_solic, env::bigint::varchar as qtd_env, rec::bigint::varchar as qtd_rec, status, extra as pedido_extra, mes_ref from sintetico"),
+    "calibration_report": (
+        f"""{_SYNTHETIC},
+    completos as (select *, substr(data_solic, 1, 7) as mes from sintetico where data_solic < '2026-05'),
+    grade as (select unidade, produto, mes from (select distinct unidade, produto from completos) cross join (select distinct mes from completos)),
+    somas as (select unidade, produto, mes, coalesce(sum(q), 0.0::double) as s from grade left join completos using (unidade, produto, mes) group by all),
+    medidas as (select avg(s) as m, stddev_samp(s) as d from somas group by unidade, produto),
+    classes as (select case when m < 1 then 'baixa_rot' when d / m < 0.3::double then 'X' when d / m < 0.7::double then 'Y' else 'Z' end as c from medidas where m >= 0.5::double),
+    r as (
+        select (select count(*) from sintetico) as n_pedidos, (select count(distinct unidade) from sintetico) as n_unidades, (select count(distinct produto) from sintetico) as n_produtos,
+            (select sum(q) filter (where extra = 'Sim') / sum(q) from completos) as pct_extra, (select count(*) from classes) as pares_materiais,
+            (select avg((c = 'X')::int) from classes) as pct_x, (select avg((c = 'Y')::int) from classes) as pct_y, (select avg((c = 'Z')::int) from classes) as pct_z)""",
+        f"""select n_pedidos, n_unidades, n_produtos, {_round("pct_extra")}, pares_materiais, {_round("pct_x", "pct_y", "pct_z")},
+            abs(pct_extra - 0.21::double) <= 0.05::double and pares_materiais between 580 and 640 and abs(pct_x - 0.4::double) <= 0.05::double and abs(pct_z - 0.3::double) <= 0.05::double as no_alvo
+        from r""",
+    ),
+    "champion_row": (_BODIES["registry_promotion"][0], f"select * from ({_BODIES['registry_promotion'][1]}) where promovido order by versao desc limit 1"),
+}
+
 ORACLES: dict[str, str] = {name: f"with {ctes}\n{body}" for name, (ctes, body) in _BODIES.items()}

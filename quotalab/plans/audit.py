@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,9 +14,9 @@ class AuditTrail:
     def __init__(self) -> None:
         self.steps: list[tuple[str, str, Observation, Observation, str]] = []
 
-    def watched(self, df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    def watched(self, df: DataFrame, name: str, *more: Column) -> tuple[DataFrame, Observation]:
         seen = Observation(name)
-        return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"), *more), seen
 
     def log(self, step: str, seen_in: Observation, seen_out: Observation, why: str) -> None:
         self.steps.append((datetime.now(timezone.utc).isoformat(), step, seen_in, seen_out, why))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import ForecastSettings
+from ..functions.numbers import first_match, or_zero
 from ..operators.features import baseline
 
 
@@ -48,45 +53,100 @@ class _Learnt:
         return self.model.transform(rows).withColumn("previsao", F.greatest(F.col("prediction"), F.lit(0.0))).drop(*other)
 
 
+def ordered_folds(n: int, most: int = 3) -> list[tuple[int, int]]:
+    """(first, last + 1) of the rows that each fold is tested on, trained on all before: equal parts at the end.
+
+    As many folds as min(most, max(2, n // 10)); none if a fold would have no rows.
+    """
+    folds = min(most, max(2, n // 10))
+    size = n // (folds + 1)
+    return [(n - k * size, n - (k - 1) * size) for k in range(folds, 0, -1)] if size else []
+
+
+def _moments(features: list[str], mean: np.ndarray, spread: np.ndarray):
+    """By part: the sums of products of (1, standardised features, y), a row for each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features], axis=1)
+            z = np.column_stack([np.ones(len(x)), (x - mean) / spread, batch.column("y").to_numpy(zero_copy_only=False)])
+            part = batch.column("part").to_numpy()
+            for k in np.unique(part).tolist():
+                own = z[part == k]
+                sums[k] = sums.get(k, 0.0) + own.T @ own
+        for k, m in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(m), pa.int32()), pa.array(range(len(m)), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], ["part", "i", "v"])
+
+    return run
+
+
+def solved(m: np.ndarray, alpha: float) -> np.ndarray:
+    """Intercept and coefficients of ridge regression from the sums of products; the intercept bears no penalty."""
+    n = m[0, 0]
+    centre = m[0, 1:-1] / n
+    a = m[1:-1, 1:-1] - n * np.outer(centre, centre)
+    b = m[1:-1, -1] - m[0, -1] * centre
+    beta = np.linalg.solve(a + alpha * np.eye(len(a)), b)
+    return np.concatenate([[m[0, -1] / n - centre @ beta], beta])
+
+
+def determination(m: np.ndarray, beta: np.ndarray) -> float:
+    """R squared of a solution on the rows behind the sums; of a constant target 1 if it is met, else 0."""
+    w = np.concatenate([-beta, [1.0]])
+    error, spread = max(float(w @ m @ w), 0.0), max(float(m[-1, -1] - m[0, -1] ** 2 / m[0, 0]), 0.0)
+    return 1 - error / spread if spread > 0 else float(error == 0)
+
+
 class Ridge(_Learnt):
-    """Ridge regression on standardised features; the penalty by ordered folds, as rows come by pair and month."""
+    """Ridge regression on standardised features; the penalty of best mean R squared over ordered folds.
+
+    Rows are ordered by pair and month. One pass over range-partitioned rows sums the products of each fold's rows;
+    all penalties and folds are solved from these sums, which have a row for each feature. Missing values count as 0.
+    With too few rows for a fold the first penalty is taken.
+    """
 
     name = "ridge"
 
     def __init__(self, settings: ForecastSettings = ForecastSettings()) -> None:
         self.alphas = settings.alphas
 
-    def _fitted(self, rows: DataFrame, features: list[str], alpha: float) -> PipelineModel:
-        # one aggregation; the solver divides its penalty by rows and scales it with the target
-        n, spread = rows.agg(F.count("*"), F.stddev_pop("y")).first()
-        scale = ((n - 1) / n) ** 0.5 if n > 1 else 1.0  # the scaler divides by the sample deviation
-        stages = [
-            VectorAssembler(inputCols=features, outputCol="features"),
-            StandardScaler(inputCol="features", outputCol="x", withMean=True, withStd=True),
-            LinearRegression(
-                featuresCol="x", labelCol="y", solver="normal", elasticNetParam=0.0, standardization=False, regParam=alpha / max(n, 1) * (spread or 1.0) * scale**2
-            ),
-        ]
-        return Pipeline(stages=stages).fit(rows)
-
     def fit(self, rows: DataFrame, features: list[str]) -> Ridge:
-        rows = self._target(rows)
-        order = rows.withColumn("part", F.ntile(4).over(Window.partitionBy(F.lit(0)).orderBy("unidade", "produto", "mes"))) if rows.limit(40).count() == 40 else None
-        best = self.alphas[0]
-        if order is not None:
-            order = order.persist()
-            errors = []
-            for alpha in self.alphas:
-                total = 0.0
-                for fold in (2, 3, 4):
-                    tested = self._fitted(order.where(F.col("part") < fold), features, alpha).transform(order.where(F.col("part") == fold))
-                    total += tested.agg(F.avg((F.col("prediction") - F.col("y")) ** 2)).first()[0] or 0.0
-                errors.append((total, alpha))
-            best = min(errors)[1]
-            order.unpersist()
-        self.alpha, self.model = best, self._fitted(rows, features, best)
+        order = ["unidade", "produto", "mes"]
+        rows = self._target(rows).select(*order, or_zero(F.col("y")).alias("y"), *(F.nanvl(or_zero(F.col(f).cast("double")), F.lit(0.0)).alias(f) for f in features))
+        stats = rows.agg(F.count("*"), *(F.avg(f) for f in features), *(F.stddev_pop(f) for f in features)).first()
+        n, d = stats[0], len(features)
+        self.features, self.alpha = features, self.alphas[0]
+        self.mean = np.array([x or 0.0 for x in stats[1 : d + 1]])
+        self.spread = np.array([x or 1.0 for x in stats[d + 1 :]])  # a constant feature stays as it is
+        if not n:
+            self.beta = np.zeros(d + 1)
+            return self
+        placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+        partition, inside = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+        counts = sorted(placed.groupBy(partition.alias("p")).count().collect())  # a row for each partition
+        offsets = rows.sparkSession.createDataFrame([(p, sum(c for _, c in counts[:k])) for k, (p, _) in enumerate(counts)], "p long, before long")
+        folds = ordered_folds(n)
+        part = first_match(0, *((F.col("before") + inside >= start, k + 1) for k, (start, _) in reversed([*enumerate(folds)])))
+        parts = placed.join(F.broadcast(offsets), partition == F.col("p")).withColumn("part", part).select("part", "y", *features)
+        made = parts.mapInArrow(_moments(features, self.mean, self.spread), "part int, i int, v array<double>")
+        made = made.select("part", "i", F.posexplode("v").alias("j", "v")).groupBy("part", "i", "j").agg(F.sum("v").alias("v")).collect()  # products of features
+        m = np.zeros((len(folds) + 1, d + 2, d + 2))
+        for r in made:
+            m[r["part"], r["i"], r["j"]] = r["v"]
+        placed.unpersist()
+        if folds:
+            scores = [np.mean([determination(m[k], solved(m[:k].sum(0), alpha)) for k in range(1, len(m))]) for alpha in self.alphas]
+            self.alpha = self.alphas[int(np.argmax(scores))]
+        self.beta = solved(m.sum(0), self.alpha)
         return self
 
+    def predict(self, rows: DataFrame) -> DataFrame:
+        there = set(rows.columns)
+        value = lambda f: F.nanvl(or_zero(F.col(f).cast("double")), F.lit(0.0)) if f in there else F.lit(0.0)
+        terms = [(value(f) - float(m)) * float(b / s) for f, m, s, b in zip(self.features, self.mean, self.spread, self.beta[1:], strict=True)]
+        return rows.withColumn("previsao", F.greatest(sum(terms, F.lit(float(self.beta[0]))), F.lit(0.0)))
+
 
 class Boosted(_Learnt):
     """Gradient boosted trees for the absolute error."""
@@ -116,7 +176,7 @@ class Poisson(_Learnt):
         glm = GeneralizedLinearRegression(labelCol="y", family="poisson", link="log", regParam=1e-6, maxIter=50)
         try:
             self.model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), glm]).fit(rows)
-        except Exception as why:  # the solver may not converge
+        except IllegalArgumentException as why:  # a target without any demand, or features that cannot be solved
             self.failure = str(why)
         return self
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions.numbers import round_even
+from .functions.text import next_month
 from .operators import dominance as D
 from .operators import features as X
 from .operators import history as H
@@ -16,9 +17,10 @@ from .operators import orders as O
 from .operators import panel as P
 from .operators import policy as Q
 from .oracles import ORACLES as ORACLES
+from .plans.allocation import layers
 from .plans.forecast import feature_table
 from .plans.models import MODELS
-from .sources.synthetic import calibration, synthetic_ledger
+from .sources.synthetic import calibration, pairs, synthetic_ledger
 from .sources.warehouse import MONTHS, ledger
 
 SETTINGS = Settings(months=MONTHS)
@@ -229,12 +231,9 @@ def backtest_metrics(spark, folder):
     return rounded(H.error_metrics(H.walk_forward(_history(spark, folder)), "fold", "mes_test"))
 
 
-def _newest(spark, folder):
-    return H.walk_forward(_history(spark, folder, None)).where("mes_test = '2001-07'")
-
-
 def drift_zscore_rows(spark, folder):
-    return rounded(H.drift(_newest(spark, folder), ["unidade", "produto"]))
+    """The errors of the newest fold, ordered by pair."""
+    return rounded(H.drift(H.newest_fold(H.walk_forward(_history(spark, folder))), ["unidade", "produto"]))
 
 
 def drift_zscore_months(spark, folder):
@@ -286,11 +285,89 @@ def _modelled(name: str) -> Query:
     return query
 
 
+def ledger_from_text(spark, folder):
+    """The ledger as ten string columns, some of them malformed, read as orders."""
+    c = F.col
+    rows = ledger(spark, folder)
+    n = F.pmod(c("qtd_solic").cast("long"), F.lit(7))  # which of the odd spellings a row has
+    spelt = rows.select(
+        "unidade", F.date_format("data_solic", "yyyy-MM-dd").alias("data_solic"), "produto",
+        F.when(n == 0, F.concat(F.lit(" "), F.lower("categoria"), F.lit("\t"))).when(n == 1, F.regexp_replace("categoria", "CATEGORIA", "CATEGÓRIA")).otherwise(c("categoria")).alias("categoria"),
+        F.when(n == 2, "x").otherwise(c("qtd_solic").cast("long").cast("string")).alias("qtd_solic"), F.when(n == 3, "").otherwise(c("qtd_env").cast("long").cast("string")).alias("qtd_env"),
+        F.when(n == 4, "NaN").otherwise(c("qtd_rec").cast("long").cast("string")).alias("qtd_rec"), "status",
+        F.when(n == 5, "talvez").when(c("pedido_extra"), "Sim").otherwise("Não").alias("pedido_extra"), F.lit(None).cast("string").alias("mes_ref"),
+    )
+    orders = O.normalised(spelt)
+    return orders.groupBy("unidade", "categoria", "mes", "pedido_extra").agg(F.count("*").alias("n"), *(F.sum(q).alias(q) for q in ("qtd_solic", "qtd_env", "qtd_rec")), F.max("data_solic").alias("ate"))
+
+
+def ledger_summary(spark, folder):
+    """One row: what the log tells of the ledger."""
+    rows = _orders(spark, folder)
+    flags = ("flag_env_maior_solic", "flag_rec_maior_env", "flag_fin_sem_rec", "flag_qualquer_erro")
+    out = rows.agg(
+        F.count("*").alias("linhas"), F.countDistinct("unidade").alias("unidades"), F.countDistinct("produto").alias("produtos"), F.min("mes").alias("de"), F.max("mes").alias("ate"),
+        F.sum("qtd_consumo").alias("consumo"), *(F.count_if(f).alias(f"n_{f[5:]}") for f in flags), F.avg(F.col(flags[-1]).cast("double")).alias("taxa"),
+    )
+    return rounded(out)
+
+
+def audit_counts(spark, folder):
+    """Rows in and out of each layer, as the audit trail records them."""
+    made = layers(_orders(spark, folder, MONTHS), SETTINGS)
+    names = [("2.1_agregacao_mensal", "consolidado", "painel"), ("2.2_metricas_por_par", "painel", "metricas"), ("3_politica_cota", "metricas", "politicas"), ("4_dominancia_estocastica", "politicas", "dominancia")]
+    out = None
+    for step, before, after in names:
+        n, m = (getattr(made, x).agg(F.count("*").alias("n")) for x in (before, after))
+        row = n.withColumnRenamed("n", "linhas_entrada").crossJoin(m.withColumnRenamed("n", "linhas_saida"))  # one row each
+        row = row.select(F.lit(step).alias("etapa"), "linhas_entrada", "linhas_saida", (F.col("linhas_saida") - F.col("linhas_entrada")).alias("delta"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def history_months(spark, folder):
+    """The months of the history in order, with their places and the month after the last."""
+    from pyspark.sql import Window
+
+    months = _history(spark, folder).select("mes").distinct()
+    return months.withColumn("ordem", F.row_number().over(Window.orderBy("mes"))).withColumn("proximo", next_month(F.max("mes").over(Window.partitionBy(F.lit(0)))))  # as many rows as months
+
+
+def forecast_reliability(spark, folder):
+    """Forecast rows as layer 5 returns them: rounded, with the gate's word and whether they are active."""
+    past = _history(spark, folder)
+    trusted = X.gate_table(past).select("confiabilidade")
+    out = X.forecast(_future(spark, folder)).crossJoin(F.broadcast(trusted))  # one row
+    money = [round_even(F.col(x), 2).alias(x) for x in ("previsao", "intervalo_inferior_90", "intervalo_superior_90")]
+    return out.select(*X.KEY, "categoria", "mes_previsao", *money, "confiabilidade", F.lit("baseline_mmp").alias("modelo_usado"), (F.col("confiabilidade") != "insuficiente").alias("previsao_substitui_c4"))
+
+
+def champion_row(spark, folder):
+    """The last promoted version of the backtest's registry."""
+    return registry_promotion(spark, folder).where("promovido").orderBy(F.desc("versao")).limit(1)
+
+
+def backtest_union(spark, folder):
+    """Errors of the baseline and of its variant for short histories, one under the other, by model and month."""
+    past = _history(spark, folder)
+    whole = H.walk_forward(past).withColumn("modelo", F.lit("baseline_mmp"))
+    other = H.walk_forward(past, short_history="mean").withColumn("modelo", F.lit("baseline_media"))
+    return rounded(H.error_metrics(whole.unionByName(other), "modelo", "mes_test"))
+
+
+def synthetic_network(spark, folder):
+    """The sampled pairs of the synthetic network with their factors, rates and profiles."""
+    return rounded(pairs(spark))
+
+
+def synthetic_orders(spark, folder):
+    """All orders of the synthetic ledger, in its order."""
+    return synthetic_ledger(spark).orderBy("data_solic", "unidade", "produto", "pedido_extra")
+
+
 def calibration_report(spark, folder):
-    settings = Settings()
-    rows = O.consolidated(O.normalised(synthetic_ledger(spark)), settings)
-    months = P.balanced(P.monthly(rows), settings.months)
-    return calibration(P.metrics(months, settings.months, settings), months)
+    """Whether the synthetic ledger has the wanted shape."""
+    return rounded(calibration(O.normalised(synthetic_ledger(spark))))
 
 
 QUERIES: dict[str, Query] = {
@@ -301,6 +378,7 @@ QUERIES: dict[str, Query] = {
         policy_costs, expected_cost, preferred_policy, preferred_distribution, cost_cdf_grid, ssd_reference, ssd_cost_mode, bootstrap_seeded_costs,
         month_gate, feat_lags, feat_rolling, feat_trend_month, feat_regime, feat_onehot, feat_next_period, forecast_baseline, forecast_interval_exact,
         history_upsert, walk_forward_baseline, backtest_metrics, drift_zscore_rows, drift_zscore_months, registry_promotion, close_cycle, pareto_units, calibration_report,
+        ledger_from_text, ledger_summary, audit_counts, history_months, forecast_reliability, champion_row, backtest_union, synthetic_network, synthetic_orders,
     )
 }
 QUERIES |= {"balanced_panel": _panel, "forecast_ridge": _modelled("ridge"), "forecast_poisson": _modelled("poisson"), "forecast_gbt": _modelled("lgbm")}

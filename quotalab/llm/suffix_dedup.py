@@ -236,9 +236,9 @@ def _common(a: np.ndarray, b: np.ndarray, ranks: list[tuple[int, np.ndarray]], b
 
 
 def _index(length: int, buckets: int):
-    """Rows of one anchor part follow each other. Gives (key, digest, start, end) of repeated bytes, and an empty span at
-    each run that is looked at; for divided anchors also, packed by bucket of their hash, the windows that nothing has
-    matched yet and those that are matched here."""
+    """Rows of one anchor part follow each other. Gives (key, digest, start, end) of repeated bytes, and the number of runs
+    that are looked at; for divided anchors also, packed by bucket of their hash, the windows that nothing has matched
+    yet and those that are matched here."""
 
     def flush(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
@@ -290,7 +290,7 @@ def _index(length: int, buckets: int):
         if known:  # windows matched here may stand unmatched in another part
             h = np.unique(np.concatenate(known))
             windows.append((h, np.zeros(len(h), np.int64), np.full(len(h), -1)))
-        rows, starts, ends = [np.repeat(np.arange(len(of_text)), n_places)], [spots], [spots]
+        rows, starts, ends = [], [], []
         for i, k in enumerate(of_text):
             s, e = runs[k]
             for at in spots[offsets[i] : offsets[i + 1]]:
@@ -300,7 +300,7 @@ def _index(length: int, buckets: int):
                 if k in loose:
                     p, h = loose[k]
                     windows.append((h, np.full(len(p), i), at + p))
-        rows, starts, ends = (np.concatenate(x).astype(np.int64) for x in (rows, starts, ends))
+        rows, starts, ends = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (rows, starts, ends))
         packed, blobs = np.empty(0, np.int64), []
         if windows:
             h, row, start = (np.concatenate([x[k] for x in windows]) for k in range(3))
@@ -310,11 +310,15 @@ def _index(length: int, buckets: int):
             packed = bucket[order][cuts]
             whole = np.stack([h.view(np.int64), *keys[:, row], start.astype(np.int64)])[:, order]
             blobs = [whole[:, a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-        n, m = len(rows), len(blobs)
-        none = pa.nulls(m, pa.int64())
-        columns = [pa.concat_arrays([pa.array(x), none]) for x in (*keys[:, rows], starts, ends)]
-        columns += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(packed)]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())])]
-        return pa.RecordBatch.from_arrays(columns, [*KEY, "start", "end", "bucket", "windows"])
+        # spans, then a row for each text with the number of its runs, then the packed windows
+        own, which = np.unique(keys, axis=1, return_inverse=True)
+        looked_at = np.bincount(which, weights=n_places).astype(np.int64)
+        n, k, m = len(rows), own.shape[1], len(blobs)
+        none = lambda size: pa.nulls(size, pa.int64())
+        columns = [pa.concat_arrays([pa.array(x), pa.array(y), none(m)]) for x, y in zip(keys[:, rows], own, strict=True)]
+        columns += [pa.concat_arrays([pa.array(x), none(k + m)]) for x in (starts, ends)]
+        columns += [pa.concat_arrays([none(n), pa.array(looked_at), none(m)]), pa.concat_arrays([none(n + k), pa.array(packed)]), pa.concat_arrays([pa.nulls(n + k, pa.binary()), pa.array(blobs, pa.binary())])]
+        return pa.RecordBatch.from_arrays(columns, [*KEY, "start", "end", "runs", "bucket", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -364,14 +368,12 @@ def _across(length: int):
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's sorted spans with overlapping ones made one, and how many empty ones it has."""
+    """Each row's sorted spans with overlapping ones made one."""
     for batch in batches:
         lists = batch.column("s")
         row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
         start, end = (lists.flatten().field(k).to_numpy() for k in range(2))
-        looked_at = np.bincount(row[start == end], minlength=len(lists))
-        row, start, end = (x[start < end] for x in (row, start, end))
-        # sorted by row and start: a span that begins after all before it have ended opens a new one
+        # a span that begins after all before it have ended opens a new one
         far = np.maximum.accumulate(end + row * (1 << 32)) - row * (1 << 32) if len(row) else end
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (start[1:] > far[:-1])
@@ -379,7 +381,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.append(at[1:], len(row))[: len(at)] - 1
         spans = pa.StructArray.from_arrays([pa.array(start[at]), pa.array(far[last])], ["start", "end"])
         bounds = np.searchsorted(row[at], np.arange(len(lists) + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.ListArray.from_arrays(pa.array(bounds), spans), pa.array(looked_at.astype(np.int64))], [*KEY, "spans", "n_candidates"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.ListArray.from_arrays(pa.array(bounds), spans), batch.column("n_candidates")], [*KEY, "spans", "n_candidates"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *others: Column) -> DataFrame:
@@ -403,13 +405,14 @@ def _spans(texts: DataFrame, length: int, per_index: int) -> DataFrame:
     contexts = contexts.mapInArrow(_contexts(length), "key long, digest long, anchor long, part int, parts int, same long, places array<long>, context binary")
     grouped = contexts.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "same")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = saved(grouped.mapInArrow(_index(length, buckets), "key long, digest long, start long, end long, bucket long, windows binary"), "repeats")
+    found = saved(grouped.mapInArrow(_index(length, buckets), "key long, digest long, start long, end long, runs long, bucket long, windows binary"), "repeats")
     forget(runs)
     forget(often)
     loose = found.where("bucket is not null").select("bucket", "windows").repartition("bucket").sortWithinPartitions("bucket")
     across = loose.mapInArrow(_across(length), "key long, digest long, start long, end long")
-    spans = found.where("bucket is null").select(*KEY, "start", "end").unionByName(across)
-    ordered = spans.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
+    spans = found.where("bucket is null").select(*KEY, "start", "end", "runs").unionByName(across, allowMissingColumns=True)
+    span = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
+    ordered = spans.groupBy(*KEY).agg(F.sort_array(F.collect_set(span)).alias("s"), F.coalesce(F.sum("runs"), F.lit(0).cast("long")).alias("n_candidates"))
     return ordered.mapInArrow(_merged, "key long, digest long, spans array<struct<start:long,end:long>>, n_candidates long")
 
 

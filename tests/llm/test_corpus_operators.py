@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotalab.llm.decontaminate import contamination, decontaminated, judged
-from quotalab.llm.minhash_dedup import near_duplicates
+from quotalab.llm.minhash_dedup import near_duplicates, without_copies
 from quotalab.llm.quality_rules import cleaned, quality
 from quotalab.llm.store import saved
 from quotalab.llm.suffix_dedup import cut_repeats, repeated_spans, without_repeats
@@ -77,6 +77,17 @@ def test_rows_that_share_an_id_keep_their_own_text(spark):
     assert sorted((str(i["doc_id"]), i["text"]) for i in cut_repeats(docs).collect()) == sorted((str(i), k) for i, _, k in want)
 
 
+def test_candidates_are_counted(spark):
+    r = random.Random(6)
+    text = lambda n: " ".join("w%d" % r.randrange(10**6) for _ in range(n))
+    shared = text(48)  # shorter than a window, long enough for common anchors
+    docs = docs_of(spark, [(k, f"{text(60)} {shared} {text(60)}") for k in range(20)] + [(100 + k, text(150)) for k in range(20)] + [(200, None)])
+    rows = {x["doc_id"]: x for x in without_repeats(docs).collect()}
+    assert len(shared) < 400 and not any(x["n_removed"] for x in rows.values())
+    assert sum(rows[k]["n_candidates"] > 0 for k in range(20)) > 10 and not any(rows[100 + k]["n_candidates"] for k in range(20)) and rows[200]["n_candidates"] == 0
+    assert all(len(x["text"]) < 1500 for x in cut_repeats(docs, length=240).where("doc_id < 20").collect())
+
+
 def test_long_texts_go_by_chunks():
     import numpy as np
 
@@ -144,6 +155,57 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_copies_under_shared_and_missing_ids(spark):
+    r = random.Random(12)
+    text = lambda: " ".join("t%d" % r.randrange(10**6) for _ in range(80))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, a), (7, None), (7, None), (8, ""), (9, b + " more"), (2, c)]
+    docs = docs_of(spark, rows)
+    found = near_duplicates(docs).collect()
+    assert len(found) == len(rows)
+    assert sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"]), x["kept"]) for x in found) == sorted(
+        (str(i), len(shingle_set(t)), str({(5, a): 1, (9, b + " more"): 5}.get((i, t), i)), (i, t) not in ((5, a), (9, b + " more"))) for i, t in rows
+    )
+    kept = sorted((str(x["doc_id"]), str(x["text"])) for x in without_copies(docs).collect())
+    assert kept == sorted((str(i), str(t)) for i, t in [(1, a), (5, b), (None, a), (None, a), (7, None), (8, ""), (2, c)])
+    assert without_copies(docs).columns == docs.columns and without_copies(docs.limit(0)).count() == 0
+
+
+def test_whole_table_has_the_components_of_brute_force(spark):
+    """Every pair at the similarity or above, found by an index of all shingles, whatever the signatures say."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    of, first = {}, {}
+    for i, t in sorted(texts.items()):
+        s = frozenset(hash(x) for x in shingle_set(t))
+        of[i] = first.setdefault(s, i) if s else i
+    sets = {i: s for s, i in first.items() if s}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, s in sets.items():
+        common = {}
+        for x in s:
+            for j in holders[x] if len(holders[x]) > 1 else ():
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, n in common.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
+    assert sum(got[i] != find(of[i]) for i in texts) == 0
+
+
 def test_contamination_equals_brute_force(spark):
     texts = random_texts(5, words=80)
     r = random.Random(1)
@@ -218,6 +280,28 @@ def test_cleaned_keeps_each_row_by_its_own_verdict(spark):
     assert len(out) == 62 and (5, f"{good[0]} 5") in out and (5, good[1]) in out and (None, f"{good[2]}\n{shared}") in out
 
 
+def test_pipeline_on_odd_rows(spark):
+    """Nulls, empty and repeated rows, and an empty table, through all stages."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    r = random.Random(3)
+    good = [" ".join("g%d" % r.randrange(10**6) for _ in range(60)) for _ in range(4)]
+    texts = [(None, good[0]), (None, good[0]), (1, good[1]), (1, good[1]), (1, good[2]), (2, None), (3, ""), (None, None), (4, good[1]), (5, " ".join("l%d" % r.randrange(10**6) for _ in range(40_000)))]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in texts], table.schema)
+    for start in (docs, docs.limit(0)):
+        now = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = saved(stage(spark, now, folder), "stage")
+            assert now.columns == docs.columns
+        done = corpus_pipeline.STAGES[-1][1](spark, now, folder).collect()
+        # the copies without an id stay through the second stage, and the third removes the bytes they repeat
+        want = [] if start is not docs else [(None, ""), (None, ""), (1, good[1]), (1, good[2]), (5, texts[-1][1])]
+        assert sorted(map(str, ((x["doc_id"], x["text"]) for x in now.collect()))) == sorted(map(str, want)) and len(done) == len(want)
+        assert all(x["decoded"] for x in done)
+
+
 def test_pipeline_stages_chain(spark):
     import corpus_pipeline
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .hashing import ALNUM_WORDS, LOWER, buffers, lower_words, slices, words
+from .hashing import ALNUM_WORDS, LOWER, buffers, lower_words, slices, tidy, words
 from .store import saved, small_batches
 
 WINDOW = 13  # consecutive words of an item that count as its occurrence
@@ -206,7 +206,7 @@ def _match(spark: SparkSession, texts: DataFrame, block: list, window: int, keep
                 )
 
     own = [f for f in texts.schema if keep or f.name != "text"]
-    return texts.mapInArrow(run, StructType([*own, *_parse("n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, items array<long>")]))
+    return texts.mapInArrow(tidy(run), StructType([*own, *_parse("n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, items array<long>")]))
 
 
 def contamination(
@@ -296,5 +296,5 @@ def decontaminated(
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
     found = judged(_contamination(texts, items, item_col, item_text_col, window, block_words, True)).where(~F.col("contaminated"))
-    cut = found.select("rest", "text", "spans").mapInArrow(_without_spans, StructType([texts.schema["rest"], StructField("text", StringType())]))
+    cut = found.select("rest", "text", "spans").mapInArrow(tidy(_without_spans), StructType([texts.schema["rest"], StructField("text", StringType())]))
     return cut.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

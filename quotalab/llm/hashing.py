@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,6 +67,22 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+def tidy(run: Callable) -> Callable:
+    """run for mapInArrow(), giving freed memory back to the system at the end of each partition.
+
+    Workers stay for the stages that follow, where memory that their allocator keeps would add up.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other libraries have none
+        if trim:
+            trim(0)
+
+    return inner
+
+
 def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about limit bytes of the named column, and of a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(name).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .hashing import SPACE_WORDS, U64, lower_words, mix, shingles, slices
+from .hashing import SPACE_WORDS, U64, lower_words, mix, shingles, slices, tidy
 from .store import forget, saved, small_batches
 
 WORDS = 5  # words in a shingle
@@ -124,10 +124,10 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs(a, b) that are links."""
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(_near, "a long, b long")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(tidy(_near), "a long, b long")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return saved(both.mapInArrow(_confirm, "a long, b long").distinct(), "near-links")
+    return saved(both.mapInArrow(tidy(_confirm), "a long, b long").distinct(), "near-links")
 
 
 class _Roots(dict):
@@ -233,7 +233,7 @@ def _rest(lefts: DataFrame, reps: DataFrame, texts: DataFrame, comps: DataFrame)
         (F.col("own") <= F.col("other")).alias("lower"), (F.col("own") >= F.col("other")).alias("upper"),
     )
     cells = cells.join(reps.select("doc_id", "n_shingles", "sig", "groups"), "doc_id").join(texts, "doc_id")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "a long, b long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +253,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """near_duplicates() with digest, the xxhash64 of the text."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
-    sk = saved(texts.mapInArrow(_sketch, "doc_id long, digest long, n_shingles long, low long, high long, groups array<long>, sig binary"), "sketches")
+    sk = saved(texts.mapInArrow(tidy(_sketch), "doc_id long, digest long, n_shingles long, low long, high long, groups array<long>, sig binary"), "sketches")
     same = ["low", "high", "n_shingles"]
     # a node for each distinct set, numbered once and written; its rows all have the same groups, and any text will do
     classes = sk.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "digest")).alias("r"))

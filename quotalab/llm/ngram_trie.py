@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, encode, of_arrays, read_arrays, write_arrays
-from .hashing import SPACE_WORDS, U64, lower_words, mix, slices
+from .hashing import SPACE_WORDS, U64, lower_words, mix, slices, tidy
 from .store import posix_path, scratch_path, small_batches
 
 ALPHA = 0.1
@@ -452,12 +452,12 @@ def build_trie(docs: DataFrame, text_col: str = "text") -> tuple[str, int, list]
     folder = posix_path(path)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     grouped = lambda df, n: df.repartition(n, "shard").sortWithinPartitions("shard")
-    words = grouped(texts.mapInArrow(_count_words(shards), "shard int, blob binary"), shards)
+    words = grouped(texts.mapInArrow(tidy(_count_words(shards)), "shard int, blob binary"), shards)
     stats = [tuple(r) for r in words.mapInArrow(_build_words(folder, shards), "shard long, n long, tokens long, ends long").collect()]  # a row for each shard
     if stats:
         tokens = sum(t for _, _, t, _ in stats)
-        triples = grouped(texts.mapInArrow(_count_triples(folder, shards, stats), "shard int, blob binary"), min(max(shards, -(-tokens // SHARD_TOKENS)), MOST_SHARDS))
-        triples.mapInArrow(_build_pairs(folder, shards, stats), "shard long, pairs long, triples long").collect()
+        triples = grouped(texts.mapInArrow(tidy(_count_triples(folder, shards, stats)), "shard int, blob binary"), min(max(shards, -(-tokens // SHARD_TOKENS)), MOST_SHARDS))
+        triples.mapInArrow(tidy(_build_pairs(folder, shards, stats)), "shard long, pairs long, triples long").collect()
     return folder, shards, stats
 
 
@@ -470,5 +470,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     folder, shards, stats = build_trie(docs.where(~is_held_out(id_col, parts)), text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.mapInArrow(_score(folder, shards, stats), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = texts.mapInArrow(tidy(_score(folder, shards, stats)), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return found.select("doc_id", is_held_out("doc_id", parts).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import U64, buffers, prefix_hash, slices, span_hash
+from .hashing import U64, buffers, prefix_hash, slices, span_hash, tidy
 from .store import small_batches
 
 N_BEST = 4
@@ -364,7 +364,7 @@ def encode_texts(docs: DataFrame, path: str, n: int = N_BEST, id_col: str = "doc
                 best = pa.array([[{"score": s, "edits": [{"place": p, "count": c, "ids": x} for p, c, x in e]} for s, e in r] for r in rows], _EDITS_ARROW)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, best], ["doc_id", "ids", "best"])
 
-    return texts.mapInArrow(run, f"doc_id long, ids array<int>, best {_EDITS}")
+    return texts.mapInArrow(tidy(run), f"doc_id long, ids array<int>, best {_EDITS}")
 
 
 def decode_texts(encoded: DataFrame, path: str) -> DataFrame:
@@ -375,7 +375,7 @@ def decode_texts(encoded: DataFrame, path: str) -> DataFrame:
             out = [decode_ids(path, np.array(x, np.int64))[1:].decode() for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def piece_digests(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
@@ -421,4 +421,4 @@ def piece_digests(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_sha256", "n_paths", "score", "scores", "paths_sha256", "decoded"])
 
-    return texts.mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, n_paths long, score double, scores array<double>, paths_sha256 string, decoded boolean")
+    return texts.mapInArrow(tidy(run), "doc_id long, n_ids long, ids_sha256 string, n_paths long, score double, scores array<double>, paths_sha256 string, decoded boolean")

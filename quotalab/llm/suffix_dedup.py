@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .hashing import U64, buffers, mix, prefix_hash, slices, span_hash
+from .hashing import U64, buffers, mix, prefix_hash, slices, span_hash, tidy
 from .store import forget, saved, small_batches
 
 LENGTH = 400  # bytes of a repeated string
@@ -395,21 +395,21 @@ def _spans(texts: DataFrame, length: int, per_index: int) -> DataFrame:
     spark = texts.sparkSession
     small_batches(spark)
     texts = texts.where(F.octet_length("text") >= length)
-    runs = saved(texts.mapInArrow(_anchors(length, min(GRAM, length)), "key long, digest long, lo int, hi int, anchor long"), "anchors")
+    runs = saved(texts.mapInArrow(tidy(_anchors(length, min(GRAM, length))), "key long, digest long, lo int, hi int, anchor long"), "anchors")
     often = saved(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "n", F.ceil(F.col("n") / per_index).cast("int").alias("parts")), "often")
     hot = F.broadcast(often.where(F.col("n") * HOT_SHARE > runs.count()).select("anchor", "parts"))  # HOT_SHARE rows at most
     cold = often.join(hot, "anchor", "left_anti").select("anchor", "parts")
     repeated = runs.join(hot, "anchor").unionByName(runs.join(hot, "anchor", "left_anti").join(cold, "anchor"))
     wanted = repeated.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi", "anchor", "parts")).alias("runs"))
     contexts = texts.join(wanted, KEY).select(*KEY, "text", "runs")
-    contexts = contexts.mapInArrow(_contexts(length), "key long, digest long, anchor long, part int, parts int, same long, places array<long>, context binary")
+    contexts = contexts.mapInArrow(tidy(_contexts(length)), "key long, digest long, anchor long, part int, parts int, same long, places array<long>, context binary")
     grouped = contexts.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "same")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = saved(grouped.mapInArrow(_index(length, buckets), "key long, digest long, start long, end long, runs long, bucket long, windows binary"), "repeats")
+    found = saved(grouped.mapInArrow(tidy(_index(length, buckets)), "key long, digest long, start long, end long, runs long, bucket long, windows binary"), "repeats")
     forget(runs)
     forget(often)
     loose = found.where("bucket is not null").select("bucket", "windows").repartition("bucket").sortWithinPartitions("bucket")
-    across = loose.mapInArrow(_across(length), "key long, digest long, start long, end long")
+    across = loose.mapInArrow(tidy(_across(length)), "key long, digest long, start long, end long")
     spans = found.where("bucket is null").select(*KEY, "start", "end", "runs").unionByName(across, allowMissingColumns=True)
     span = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
     ordered = spans.groupBy(*KEY).agg(F.sort_array(F.collect_set(span)).alias("s"), F.coalesce(F.sum("runs"), F.lit(0).cast("long")).alias("n_candidates"))
@@ -467,7 +467,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.coalesce(F.octet_length("text"), zero).cast("long").alias("n_bytes"), F.greatest(F.coalesce(F.size("spans"), zero), zero).cast("long").alias("n_spans"),
         F.coalesce("n_candidates", zero).alias("n_candidates"), "text", "spans",
     )
-    made = both.mapInArrow(_cut, "doc_id long, n_bytes long, n_spans long, n_candidates long, kept binary, n_removed long")
+    made = both.mapInArrow(tidy(_cut), "doc_id long, n_bytes long, n_spans long, n_candidates long, kept binary, n_removed long")
     return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_candidates", "kept")
 
 
@@ -479,5 +479,5 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
     texts = _keyed(docs, id_col, text_col, rest.alias("rest"))
     both = texts.join(_spans(texts.select(*KEY, "text"), length, per_index), KEY, "left")
-    cut = both.select("rest", "text", "spans").mapInArrow(_cut_text, StructType([texts.schema["rest"], StructField("text", StringType())]))
+    cut = both.select("rest", "text", "spans").mapInArrow(tidy(_cut_text), StructType([texts.schema["rest"], StructField("text", StringType())]))
     return cut.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

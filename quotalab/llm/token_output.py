@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import LOWER, U64, buffers, prefix_hash, slices, span_hash
+from .hashing import LOWER, U64, buffers, prefix_hash, slices, span_hash, tidy
 from .store import forget, saved, scratch_path, small_batches
 
 END_ID = 2
@@ -284,7 +284,7 @@ def write_tokens(docs: DataFrame, path: str, target: str, end_id: int = END_ID,
     dictionary = train_dictionary(texts, path, end_id)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(dict_hash, bytearray(dictionary), end_id)], "dict_hash string, dictionary binary, end_id int").coalesce(1).write.parquet(f"{target}/dictionary")
-    frames = saved(texts.mapInArrow(_frames(path, dictionary, end_id), "doc_id long, n_tokens long, frame binary"), "frames")
+    frames = saved(texts.mapInArrow(tidy(_frames(path, dictionary, end_id)), "doc_id long, n_tokens long, frame binary"), "frames")
     ordered = frames.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
     ordered.mapInArrow(_blocks(dict_hash), _BLOCK_SCHEMA).write.parquet(f"{target}/blocks")
     forget(frames)

@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -91,6 +92,86 @@ def test_classifier_on_held_out_rows(spark):
     assert {r["score"] for r in none} == {0.5} and len(none) == 3
 
 
+def test_scores_are_sums_of_table_entries(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    featured = quality_gam._featured(docs, "doc_id", "text")
+    model = quality_gam.train(featured, labels)
+    assert model.pairs and len(model.tables) == len(quality_gam.FEATURES)
+    x = {r["doc_id"]: list(r["x"]) for r in featured.collect()}
+    for r in quality_gam.classified(docs, labels).collect():
+        total, own = model.start, x[r["doc_id"]]
+        for k, cuts in enumerate(model.cuts):
+            total += model.tables[k][sum(own[k] >= c for c in cuts)]
+        for i, j, a, b, table in model.pairs:
+            total += table[sum(own[i] >= c for c in a)][sum(own[j] >= c for c in b)]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total))) and r["predicted"] == int(r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_learning_never_sees_held_out_labels(spark):
+    docs = spark.createDataFrame([(k, " ".join(["word"] * (k % 9 + 1)), "y", 0) for k in range(200)], "doc_id long, text string, quality string, x int")
+    kept = [(k, k % 2) for k in range(200)]
+    other = [(k, 1 - q if zlib.crc32(str(k).encode()) % 4 == 2 else q) for k, q in kept] + [(None, 1), (5, None)]
+    frames = [spark.createDataFrame(x, "doc_id long, quality int") for x in (kept, other)]
+    one, two = ({r["doc_id"]: r["score"] for r in quality_gam.classified(docs, labels).collect()} for labels in frames)
+    assert one == two and quality_gam.classified(docs.limit(0), frames[0]).count() == 0
+
+
+def plain_page(html):
+    """A page's text and links by walking its characters."""
+    out, links, at = [], [], 0
+    while at < len(html):
+        if html.startswith("<!--", at):
+            end = html.find("-->", at)
+            out.append(" ")
+            at = len(html) if end < 0 else end + 3
+        elif html[at] == "<" and re.match(r"[a-zA-Z/!?]", html[at + 1 : at + 2]):
+            end = html.find(">", at)
+            end = len(html) if end < 0 else end
+            tag = html[at : end + 1]
+            name = re.match(r"</?([a-zA-Z0-9]*)", tag)[1].lower()
+            if name == "script" and not tag.startswith("</"):
+                close = re.search(r"(?i)</script\s*>", html[at:])
+                at = len(html) if close is None else at + close.end()
+                out.append(" ")
+                continue
+            if name == "a" and (href := re.search(r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", tag)):
+                links.append(next(x for x in href.groups() if x is not None))
+            out.append("\n" if name in ("p", "br", "div", "td", "h1") else "")
+            at = end + 1
+        else:
+            out.append(html[at])
+            at += 1
+    lines = [" ".join(x.split()) for x in "".join(out).split("\n")]
+    return "\n".join(x for x in lines if x), links
+
+
+def test_pages_equal_a_plain_walk(spark):
+    r = random.Random(4)
+    parts = ["<p>", "</p>", "<br/>", "<a href='/x'>", '<a class="k" href="y z">', "<a href=bare>", "<a>", "</a>", "<b>", "</b>", "<!-- c > d -->", "<script>if (a<b) {}</script>", "word", " ", "\n", "3 < 4", "é", "\t", "<td>", "<h1>", "<DIV >"]
+    for _ in range(500):
+        html = "".join(r.choice(parts) for _ in range(r.randrange(25))) + r.choice(["", "", "<p", "<!-- open", "<script>", "<a href=end"])
+        text, links = plain_page(html)
+        assert warc_derivatives.page_text(html) == text, html
+        assert list(warc_derivatives._addresses(html)) == links, html
+    for mark in ("<a ", "<title ", "<title>", "<script", '<a href="', "<!--", "</script "):
+        began = time.time()
+        html = mark * (1_000_000 // len(mark))
+        warc_derivatives.page_text(html), warc_derivatives.page_links(html, ""), warc_derivatives.page_title(html)
+        assert time.time() - began < 5, mark
+
+
+def test_derivatives_of_odd_rows(spark):
+    schema = "page_id long, url string, html string, target string, body string"
+    rows = [(1, "http://e.org/", "<p>a</p>", "t", "b"), (1, "http://e.org/", "<p>a</p>", "t", "b"), (None, None, None, None, None), (2, "", "", "t", "b"), (3, "u", "<p>" + "long " * 200_000, "t", "b")]
+    pages = spark.createDataFrame(rows, schema)
+    found = warc_derivatives.derivatives(warc_derivatives.responses_of(pages).withColumn("type", F.lit("clash"))).collect()
+    assert len(found) == 2 * len(rows) and len({bytes(x["record"]) for x in found if x["page_id"] == 1}) == 2
+    assert {bytes(x["block"]) for x in found if x["type"] == "conversion"} == {b"a", b"", ("long " * 200_000).strip().encode()}
+    assert warc_derivatives.derivatives(warc_derivatives.responses_of(pages.limit(0))).count() == 0
+
+
 def test_warc_records(spark):
     html = '<title>A &amp; B</title><script>x</script><!-- c --><p>One<br>two <b>t</b>hree</p><a href="/q?a=1&amp;b=2">l</a>'
     rows = warc_derivatives.derivatives(warc_derivatives.responses_of(spark.createDataFrame([(1, "http://e.org/d/", html), (2, None, None)], "page_id long, url string, html string"))).collect()

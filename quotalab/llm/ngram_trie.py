@@ -30,7 +30,7 @@ PRIOR_2 = 4.0
 PRIOR_3 = 2.0
 STEPS = 4096  # quantisation steps to a power of ten
 END = U64(0x9AE16A3B2F90404F)  # stands for the hash of the end of a text
-SLICE = 3 << 20  # bytes of text scored at once
+SLICE = 5 << 20  # bytes of text scored at once: a whole Arrow batch, which has 4 MB
 HELD = 3_000_000  # counted rows that a task holds before it sends them on
 
 #: Training tokens whose pairs and triples go to one shard, which a task builds in memory; at least as many shards as

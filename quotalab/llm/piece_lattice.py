@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -112,34 +114,45 @@ def _edges(model: Pieces, segment: bytes, start: int) -> list[tuple[int, int]]:
 
 @dataclass
 class Forward:
-    """Of each place the best score, the second best, and the longest last piece of a best path."""
+    """Of each place the best score, the second best, the bytes of a best path's last piece (of ties the longest), and
+    the sizes of all pieces that end there, as bits from that of one byte on.
 
-    best: list[float]
-    second: list[float]
-    back: list[tuple[int, int]]
-    into: list[list[tuple[int, int]]]  # (start, piece) by end
+    Flat arrays, 28 bytes for each byte of a segment, which can be a whole text without blanks.
+    """
+
+    best: array
+    second: array
+    back: array
+    into: array | list
 
 
 def forward(model: Pieces, segment: bytes) -> Forward:
     n = len(segment)
-    f = Forward([0.0] + [-np.inf] * n, [-np.inf] * (n + 1), [(0, -1)] * (n + 1), [[] for _ in range(n + 1)])
+    none = array("d", [-np.inf])
+    into = array("Q", [0]) if max(model.longest, 4) <= 64 else [0]
+    f = Forward(none * (n + 1), none * (n + 1), array("i", [0]) * (n + 1), into * (n + 1))
+    f.best[0] = 0.0
     for start in range(n):
         if f.best[start] == -np.inf:
             continue
         for end, piece in _edges(model, segment, start):
-            f.into[end].append((start, piece))
+            f.into[end] |= 1 << (end - start - 1)
             score = float(model.scores[piece])
             one, two = f.best[start] + score, f.second[start] + score
             if one > f.best[end]:
                 f.second[end] = max(f.best[end], two)
-                f.best[end], f.back[end] = one, (start, piece)
+                f.best[end], f.back[end] = one, end - start
             else:
                 f.second[end] = max(f.second[end], one)
     return f
 
 
 def n_best(model: Pieces, segment: bytes, n: int) -> list[tuple[float, list[int]]]:
-    """The n best (score, piece numbers) of a segment, by backward A* search."""
+    """The n best (score, piece numbers) of a segment, by backward A* search.
+
+    The bound of an entry is the loss of a whole path, as forward scores are exact, and no two entries share a path:
+    of the agenda only as many of the best are kept as paths are still wanted.
+    """
     f = forward(model, segment)
     out: list[tuple[float, list[int]]] = []
     # (loss bound, order, place, score behind the place, pieces behind the place); of equals the last pushed goes first
@@ -156,18 +169,26 @@ def n_best(model: Pieces, segment: bytes, n: int) -> list[tuple[float, list[int]
                 end += size
             out.append((-bound, path))
             continue
-        for start, piece in reversed(f.into[place]):  # the longest piece last
+        sizes = f.into[place]
+        while sizes:  # the longest piece last
+            start = place - (sizes & -sizes).bit_length()
+            sizes &= sizes - 1
+            piece = model.by_text.get(segment[start:place], model.unknown)
             ticket -= 1
             score = behind + float(model.scores[piece])
-            heapq.heappush(agenda, (-(f.best[start] + score), ticket, start, score, ((piece, place - start), chain)))
+            agenda.append((-(f.best[start] + score), ticket, start, score, ((piece, place - start), chain)))
+        agenda = heapq.nsmallest(n - len(out), agenda)  # sorted, so a heap
     return out
 
 
-@lru_cache(4096)
-def _remembered(path: str, segment: bytes, n: int) -> tuple:
+def _ways(path: str, segment: bytes, n: int) -> tuple:
     return tuple(n_best(pieces(path), segment, n))
 
 
+#: _ways() of short segments, which come again.
+_remembered = lru_cache(4096)(_ways)
+
+
 @dataclass
 class Segments:
     """Best path and losses of distinct segments: ids[first[k]:first[k + 1]], score and second best score of each."""
@@ -254,7 +275,7 @@ def segment_paths(model: Pieces, buf: np.ndarray, start: np.ndarray, size: np.nd
     long = order[: int(np.searchsorted(-size[order], -SHORT, "left"))]
     short = order[len(long) :]
     cuts = np.searchsorted(np.cumsum(size[short]), np.arange(CHUNK, int(size[short].sum()) + CHUNK, CHUNK), "right")
-    for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True):
+    for lo, hi in pairwise([0, *cuts]):  # none if all segments are long
         k = short[lo:hi]
         if len(k):
             own = buf[_gather(start[k], size[k])]
@@ -266,7 +287,8 @@ def segment_paths(model: Pieces, buf: np.ndarray, start: np.ndarray, size: np.nd
         f = forward(model, text)
         path, end = [], len(text)
         while end:
-            begin, piece = f.back[end]
+            begin = end - f.back[end]
+            piece = model.by_text.get(text[begin:end], model.unknown)
             path.append([piece] if piece != model.unknown else model.byte[list(text[begin:end])].tolist())
             end = begin
         path = np.array([x for part in reversed(path) for x in part], np.int32)
@@ -321,7 +343,7 @@ def encode_slice(path: str, batch: pa.RecordBatch, n: int) -> tuple[np.ndarray,
             below, equal = np.flatnonzero(own < most), np.flatnonzero(own == most)
             least = np.sort(np.concatenate([below, equal[: n - 1 - len(below)]]))
         least = [a + int(k) for k in least if own[k] < np.inf] if n > 1 else []
-        ways = [_remembered(path, data[start[k] : end[k]].tobytes(), n) for k in least]
+        ways = [(_remembered if end[k] - start[k] <= SHORT else _ways)(path, data[start[k] : end[k]].tobytes(), n) for k in least]
         total = float(totals[r])
         combined = [(0.0, ())]
         for w in ways:  # n best of the places so far

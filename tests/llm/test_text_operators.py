@@ -276,3 +276,23 @@ def test_piece_lattice_equals_all_paths(spark, docs):
     assert {r["doc_id"]: r["text"] for r in piece_lattice.decode_texts(encoded, path).collect()} == {i * 7: t or "" for i, t in enumerate(TEXTS)}
     assert piece_lattice.piece_digests(docs, path).agg(F.bool_and("decoded")).first()[0]
     assert piece_lattice.piece_digests(docs.limit(0), path).count() == 0
+
+
+def test_a_long_text_without_blanks():
+    """Some 60 KB in one segment: flat arrays in the forward pass, and never more agenda entries than wanted paths."""
+    model = piece_lattice.pieces(tokenizer_path("piece_bpe_32k.model"))
+    segment = ("的一是不了人我在有他" * 1_000 + "abcdef" * 5_000).encode()
+    own = piece_lattice.segment_paths(model, np.frombuffer(segment, np.uint8), np.array([0]), np.array([len(segment)]))
+    got = piece_lattice.n_best(model, segment, 4)
+    assert got[0][0] == own.best[0] and got[1][0] == own.second[0] and len({tuple(p) for _, p in got}) == 4
+    for score, ids in got:
+        assert b"".join(model.text[i] for i in ids) == segment
+
+
+@pytest.mark.parametrize("texts", [["", None], [None], ["的一是不了人我在有他" * 20], ["", "a" * 100]])
+def test_slices_of_empty_texts_or_long_segments_alone(spark, texts):
+    path = tokenizer_path("piece_bpe_32k.model")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r for r in piece_lattice.piece_digests(rows, path).collect()}
+    assert all(found[i]["decoded"] and (found[i]["n_ids"] > 0) == bool(t) for i, t in enumerate(texts)) and len(found) == len(texts)
+    assert {r["doc_id"]: r["text"] for r in piece_lattice.decode_texts(piece_lattice.encode_texts(rows, path), path).collect()} == {i: t or "" for i, t in enumerate(texts)}

@@ -345,7 +345,9 @@ class Ranges:
 
 def _ranges(to: EliasFano, words: EliasFano, parent: np.ndarray) -> Ranges:
     begin, end = to.pair(parent)
-    value, after = words.pair(np.clip(begin - 1, 0, max(words.n - 1, 0)))
+    if not words.n:  # no parent has a successor
+        return Ranges(begin, end, np.zeros_like(begin), np.zeros_like(begin))
+    value, after = words.pair(np.maximum(begin - 1, 0))
     return Ranges(begin, end, np.where(begin > 0, value, 0), np.where(begin > 0, after, value))
 
 

@@ -199,9 +199,12 @@ def test_elias_fano_equals_search():
         assert (place[same] == np.searchsorted(values, asked)[same]).all() and (same == np.isin(asked, values)).all()
 
 
-def test_trie_equals_counts(spark):
-    r = random.Random(2)
-    texts = [" ".join(r.choice(["the", "Of", "and", "é", "rare%d" % r.randrange(40)]) for _ in range(r.randrange(25))) for _ in range(80)] + [None, ""]
+_ANY = random.Random(2)
+_MANY = [" ".join(_ANY.choice(["the", "Of", "and", "é", "rare%d" % _ANY.randrange(40)]) for _ in range(_ANY.randrange(25))) for _ in range(80)] + [None, ""]
+
+
+@pytest.mark.parametrize("texts", [_MANY, [None, "", " \n "], ["ab" * 50_000, "x y"], ["one"] * 30], ids=["many", "empty", "long word", "same"])
+def test_trie_equals_counts(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0

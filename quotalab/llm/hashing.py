@@ -166,3 +166,17 @@ def shingles(found: Words, rows: int, size: int = 5) -> tuple[np.ndarray, np.nda
         order = np.argsort(rows_of, kind="stable")
         out, rows_of = out[order], rows_of[order]
     return out, rows_of
+
+
+def joined(data: np.ndarray, found: Words, keep: np.ndarray, rows: int) -> pa.Array:
+    """Of each row the words that keep marks, joined by one space."""
+    start, end, row = found.start[keep], found.end[keep], found.row[keep]
+    inner = np.zeros(len(start), bool)
+    inner[:-1] = row[1:] == row[:-1]
+    size = end - start + inner  # a word with the space after it
+    at = np.cumsum(size) - size
+    source = np.arange(int(size.sum())) + np.repeat(start - at, size)
+    out = data[np.minimum(source, max(len(data) - 1, 0))]
+    out[(at + size - 1)[inner]] = 0x20
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(row, weights=size, minlength=rows))]).astype(np.int32)
+    return pa.StringArray.from_buffers(rows, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(out)))

@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import clustered
 from .chat_format import conversation_digests
 from .decontaminate import contamination, judged
 from .minhash_dedup import near_duplicates
 from .ngram_trie import score_texts
+from .periodic_runs import periodic_runs
 from .piece_lattice import piece_digests
 from .quality_gam import classified
 from .quality_rules import quality
@@ -91,6 +93,33 @@ def op10_nbest_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids of all embeddings after ten rounds."""
+    return clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """The documents of which every tenth by the hash of its id repeats words up to its end, by the query's contract."""
+    d = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    d = d.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    d = d.withColumn("a", F.expr("case when size(w) > 0 then h div 10 % size(w) end")).withColumn("p", F.expr("1 + (size(w) - a) div (3 + h div 10 % 8)"))
+    tail = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, element_at(w, cast(a + (i - a) % p + 1 as int)))), ' ')")
+    return d.select("doc_id", F.when(F.col("a").isNotNull(), tail).otherwise(F.col("text")).alias("text"))
+
+
+def op13_midpoint_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, every tenth with a periodic tail."""
+    out = periodic_runs(periodic_tails(_table(spark, sf_dir, "documents")))
+    # runs come by start and period: of equal exponents the first one stays
+    higher = "case when b is null or r.length * b.period > b.length * r.period then r else b end"
+    best = F.expr(f"aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (b, r) -> {higher})")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_schema_fingerprint": op2_schema_fingerprint,
@@ -102,8 +131,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_elias_fano_trie": op8_elias_fano_trie,
     "op9_minhash_tensored": op9_minhash_tensored,
     "op10_nbest_lattice": op10_nbest_lattice,
+    "op11_partial_distance": op11_partial_distance,
+    "op13_midpoint_runs": op13_midpoint_runs,
 }
 
+
+
+def _centroid_sql(rounds: int = 10) -> str:
+    """The rounds of op 11 one after the other; x is a component's number and y its integer."""
+    assign = """{name} as materialized (
+            select vec_id, cluster, distance from (
+                select vec_id, cluster, distance, row_number() over (partition by vec_id order by distance, cluster) as place from (
+                    select v.vec_id, c.cluster, sum((v.y - c.y) * (v.y - c.y)) as distance from v join {centroids} c using (x) group by v.vec_id, c.cluster))
+            where place = 1)"""
+    move = """{name} as materialized (
+            select c.cluster, c.x, coalesce(m.y, c.y) as y from {centroids} c left join (
+                select cluster, x, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) as y from v join {assigned} using (vec_id) group by cluster, x) m
+            using (cluster, x))"""
+    steps = []
+    for k in range(rounds):
+        steps += [assign.format(name=f"a{k}", centroids=f"c{k}"), move.format(name=f"c{k + 1}", centroids=f"c{k}", assigned=f"a{k}")]
+    steps.append(assign.format(name="last", centroids=f"c{rounds}"))
+    return f"""
+        with e as (select vec_id, embedding from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = 64),
+        v as materialized (select vec_id, unnest(range(1, 65)) as x, unnest(list_transform(embedding, lambda c: floor(1024 * c::double)::hugeint)) as y from e),
+        first as (select vec_id, row_number() over (order by sha256('3:' || vec_id)) - 1 as cluster from e qualify cluster < 8),
+        c0 as materialized (select cluster, x, y from v join first using (vec_id)),
+        {", ".join(steps)},
+        d as (select cluster, sha256(string_agg(y::varchar, ',' order by x)) as centroid_sha256 from c{rounds} group by cluster)
+        select vec_id, cluster::int as cluster, distance::bigint as distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+            (sum(distance) over ())::bigint as inertia, centroid_sha256
+        from last join d using (cluster)
+    """
+
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op1_line_frequency": r"""
@@ -155,4 +216,5 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(ids, '')) as items_sha256, coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(w) as contaminated
         from d left join hit using (doc_id) left join its using (doc_id)
     """,
+    "op11_partial_distance": _centroid_sql(),
 }

@@ -17,6 +17,7 @@ from .periodic_runs import periodic_runs
 from .piece_lattice import piece_digests
 from .quality_gam import classified
 from .quality_rules import quality
+from .relative_lz import without_windows
 from .suffix_dedup import without_repeats
 from .token_output import token_digests
 from .warc_derivatives import derivatives, responses_of
@@ -98,6 +99,12 @@ def op11_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_reference_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that no window of 20 words that stood earlier covers."""
+    out = without_windows(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def periodic_tails(docs: DataFrame) -> DataFrame:
     """The documents of which every tenth by the hash of its id repeats words up to its end, by the query's contract."""
     d = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
@@ -132,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_tensored": op9_minhash_tensored,
     "op10_nbest_lattice": op10_nbest_lattice,
     "op11_partial_distance": op11_partial_distance,
+    "op12_reference_blocks": op12_reference_blocks,
     "op13_midpoint_runs": op13_midpoint_runs,
 }
 
@@ -217,4 +225,15 @@ ORACLES: dict[str, str] = {
         from d left join hit using (doc_id) left join its using (doc_id)
     """,
     "op11_partial_distance": _centroid_sql(),
+    "op12_reference_blocks": r"""
+        with d as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        g as materialized (select doc_id, p, list_slice(w, p, p + 19) as win from (select doc_id, w, unnest(range(1, len(w) - 18)) as p from d)),
+        least as (select win, min((doc_id, p)) as place from g group by win having count(*) > 1),
+        gone as (select distinct doc_id, p + k as i from (select g.doc_id, g.p, unnest(range(0, 20)) as k from g join least using (win) where (g.doc_id, g.p) <> place)),
+        words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+        kept as (select doc_id, string_agg(word, ' ' order by i) as t from words anti join gone using (doc_id, i) group by doc_id),
+        n as (select doc_id, count(*) as n from gone group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from d left join kept using (doc_id) left join n using (doc_id)
+    """,
 }

@@ -67,7 +67,7 @@ def _window_anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int)
     return r, first - offs[r], last - offs[r], grams[anchor[first]]
 
 
-def _chunked_anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int, chunk: int) -> Iterator[tuple[np.ndarray, ...]]:
+def chunked_anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int, chunk: int) -> Iterator[tuple[np.ndarray, ...]]:
     """_window_anchors() of chunk windows at a time, so that a text of any length takes bounded memory."""
     for at in range(0, max(len(data) - length + 1, 0), chunk):
         to = min(at + chunk + length - 1, len(data))
@@ -81,7 +81,7 @@ def _anchors(length: int, gram: int, chunk: int = CHUNK):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                for row, lo, hi, h in _chunked_anchors(*buffers(batch.column("text")), length, gram, chunk):
+                for row, lo, hi, h in chunked_anchors(*buffers(batch.column("text")), length, gram, chunk):
                     keys = [batch.column(k).take(pa.array(row)) for k in KEY]
                     yield pa.RecordBatch.from_arrays([*keys, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(h.view(np.int64))], [*KEY, "lo", "hi", "anchor"])
 

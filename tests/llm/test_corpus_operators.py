@@ -100,7 +100,7 @@ def test_long_texts_go_by_chunks():
     whole = windows([S._window_anchors(data, offs, 40, 12)])
     assert len(whole) == sum(max(0, n - 39) for n in sizes)
     for chunk in (1, 7, 64, 1000):
-        assert windows(S._chunked_anchors(data, offs, 40, 12, chunk)) == whole
+        assert windows(S.chunked_anchors(data, offs, 40, 12, chunk)) == whole
 
 
 def test_a_common_passage_over_many_indexes_and_partitions(spark):

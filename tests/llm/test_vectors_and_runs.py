@@ -6,9 +6,11 @@ import random
 
 import numpy as np
 import pytest
+import pytest
 
 from quotalab.llm.centroids import cluster_vectors, clustered, nearest
 from quotalab.llm.periodic_runs import find_runs, periodic_runs
+from quotalab.llm.relative_lz import without_windows
 
 NARROW_SCHEMA = "vec_id long, embedding array<double>, v string, wide int, cluster string, `ve.c` int"
 
@@ -131,3 +133,74 @@ def test_a_long_text_with_runs(spark):
     row = periodic_runs(spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")).first()
     assert [tuple(x) for x in row["runs"]] == [(1000, 250_000, 50_000), (260_000, 100, 1)]
     assert row["collapsed"] == " ".join(w[:51_000] + w[251_000:260_001] + w[260_100:])
+
+
+def plain_windows(rows, length):
+    """(id, words, removed, kept) of each row: windows that start earlier, text by text in the order of the ids."""
+    digest = {}
+    order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
+    seen = set()
+    for i, t in order:
+        w, hit = t.split(), set()
+        for p in range(len(w) - length + 1):
+            if (x := tuple(w[p : p + length])) in seen:
+                hit.update(range(p, p + length))
+            seen.add(x)
+        digest[i, t] = (len(w), len(hit), " ".join(x for k, x in enumerate(w) if k not in hit))
+    return [(i, *digest.get((i, t), (0, 0, ""))) for i, t in rows]
+
+
+def windowed_texts(seed, n=80):
+    r = random.Random(seed)
+    few = ["w%d" % k for k in range(12)] + ["É", "日本"]
+    passages = [[r.choice(few) for _ in range(r.randrange(4, 40))] for _ in range(8)]
+    texts = []
+    for _ in range(n):
+        w = []
+        for _ in range(r.randrange(6)):
+            w += r.choice(passages) if r.random() < 0.5 else [r.choice([*few, "x%d" % r.randrange(10**6)]) for _ in range(r.randrange(12))]
+        texts.append(w)
+    texts += [passages[0] * 6, ["a"] * 70, ["a", "b"] * 30, [], texts[3], texts[3]]
+    return [(k, " ".join(w)) for k, w in enumerate(texts)]
+
+
+@pytest.mark.parametrize("length,gram,per_block", [(6, 3, 2048), (6, 2, 3), (12, 4, 2), (20, 6, 2048), (5, 5, 1)])
+def test_windows_equal_brute_force(spark, length, gram, per_block):
+    rows = windowed_texts(length) + [(2000, None), (2001, " \n"), (2002, "b  a\t" * 20)]
+    rows += [rows[5], rows[5], (None, "one more " * 12), (None, "one more " * 12)]
+    docs = spark.createDataFrame([(i, t, 1, 2, "c", 3) for i, t in rows], "doc_id long, text string, key int, digest int, spans string, `first` int").repartition(7)
+    got = [tuple(x) for x in without_windows(docs, length=length, gram=gram, per_block=per_block).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, plain_windows(rows, length)))
+    assert without_windows(docs.limit(0)).count() == 0
+
+
+def test_windows_of_rows_that_share_an_id(spark):
+    one, two = " ".join(f"p{k}" for k in range(30)), " ".join(f"p{k}" for k in range(40))
+    rows = [(1, one), (1, two), (2, two + " tail")]
+    got = sorted(map(tuple, without_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    # of the two texts of id 1 one is the earlier; what they have in common stays once
+    assert sorted(x[2] for x in got) == [0, 30, 40]
+    assert got[-1] == (2, 41, 40, "tail")
+
+
+def test_a_hot_passage_and_a_hot_anchor(spark, monkeypatch):
+    from quotalab.llm import anchored
+
+    monkeypatch.setattr(anchored, "HOT_SHARE", 20)  # a twentieth of all runs
+    r = random.Random(4)
+    word = lambda: "w%d" % r.randrange(10**6)
+    passage, phrase = [word() for _ in range(26)], ["a"] * 8
+    rows = [(k, " ".join([word() for _ in range(9)] + passage + [word() for _ in range(9)] + phrase + [r.choice("bc") for _ in range(14)])) for k in range(200)]
+    rows += [(500 + k, rows[7][1]) for k in range(100)]
+    for per_block in (2048, 9):
+        got = [tuple(x) for x in without_windows(spark.createDataFrame(rows, "doc_id long, text string"), per_block=per_block).collect()]
+        assert sorted(got) == sorted(plain_windows(rows, 20))
+
+
+def test_a_long_text_with_windows(spark):
+    r = random.Random(3)
+    w = ["w%d" % r.randrange(10**9) for _ in range(400_000)]
+    w[300_000:350_000] = w[100_000:150_000]
+    rows = without_windows(spark.createDataFrame([(2, " ".join(w)), (1, " ".join(w[:1000]))], "doc_id long, text string")).collect()
+    got = {x["doc_id"]: x for x in rows}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 51_000 and got[2]["kept"] == " ".join(w[1000:300_000] + w[350_000:])

@@ -1,12 +1,12 @@
 """Removal of long repeated strings by run-length Burrows-Wheeler indexes.
 
-1. Every window of LENGTH bytes has an anchor, the least gram inside it; equal windows have equal anchors at equal
-   places. Windows of a document that follow each other and share an anchor form a run.
-2. Anchors that stand once in the corpus cannot hold a repeat. The text of the other runs goes to its anchor's task.
-3. There an index is built over the distinct texts: the run-compressed BWT with the text positions sampled at both
-   ends of each run and the irreducible longest-common-prefix values there. Streaming over the text, the samples
-   give each position's longest match elsewhere; positions with LENGTH or more start a repeated string.
-4. An anchor with more texts than one index may hold is dealt over several; the windows that no index has matched
+1. The windows of LENGTH bytes of each text are cut into runs that share an anchor (see anchored.py).
+2. Runs with equal contexts repeat each other whole; they are counted, and their texts need not meet. Anchors that
+   stand once hold no repeat. The distinct contexts of every other anchor go to its task, each of them once.
+3. There an index is built over them: the run-compressed BWT with the text positions sampled at both ends of each run
+   and the irreducible longest-common-prefix values there. Streaming over the text, the samples give each position's
+   longest match elsewhere; positions with LENGTH or more start a repeated string.
+4. An anchor with more contexts than one index may hold is dealt over several; the windows that no index has matched
    are then compared between these by their hash.
 """
 
@@ -17,22 +17,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .anchored import KEY, RUNS, factored, keyed, placed
 from .hashing import U64, buffers, mix, prefix_hash, slices, span_hash, tidy
-from .store import forget, saved, small_batches
+from .store import saved, small_batches
 
 LENGTH = 400  # bytes of a repeated string
 GRAM = 48  # bytes of an anchor gram
 INDEX_BYTES = 1 << 20  # text that goes into one index at least, before the next begins
-PER_INDEX = 2048  # occurrences of an anchor that one index takes; a text has up to 2 * LENGTH bytes
+PER_INDEX = 2048  # distinct contexts of an anchor that one index takes; each has up to 2 * LENGTH bytes
 CHUNK = 1 << 19  # windows of a text whose anchors are found at once
-#: An anchor with more than this share of all runs is hot: there are at most as many hot ones, small enough to broadcast.
-HOT_SHARE = 1000
 _POS_BITS = U64(28)  # places within a chunk
-KEY = ["key", "digest"]  # of a row: its id, 0 for none, and the hash of its text and whether it has an id
 
 
 def _window_anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -78,50 +76,37 @@ def chunked_anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int,
 
 
 def _anchors(length: int, gram: int, chunk: int = CHUNK):
+    """The runs of windows of all texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                for row, lo, hi, h in chunked_anchors(*buffers(batch.column("text")), length, gram, chunk):
+                data, offs = buffers(batch.column("text"))
+                text = memoryview(data)
+                for row, lo, hi, h in chunked_anchors(data, offs, length, gram, chunk):
+                    start, end = offs[row] + lo, offs[row] + hi + length
+                    same = np.fromiter((xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(start, end, strict=True)), U64, len(start))
                     keys = [batch.column(k).take(pa.array(row)) for k in KEY]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(h.view(np.int64))], [*KEY, "lo", "hi", "anchor"])
+                    columns = [*keys, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(same.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, [*KEY, "lo", "hi", "anchor", "same"])
 
     return run
 
 
 def _contexts(length: int):
-    """The texts of a document's runs, equal ones once with all their places."""
+    """The bytes of the runs that are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 data, offs = buffers(batch.column("text"))
-                if not len(data):
-                    continue
-                runs = batch.column("runs")
-                flat = runs.flatten()
-                row = np.repeat(np.arange(len(runs)), np.asarray(runs.value_lengths()))
-                lo, hi, anchor, parts = (flat.field(k).to_numpy().astype(np.int64) for k in range(4))
-                start, end = offs[row] + lo, offs[row] + hi + length
-                text = memoryview(data)
-                h = np.fromiter((xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(start, end, strict=True)), U64, len(start))
-                order = np.lexsort((lo, h, anchor, row))
-                cut = np.ones(len(order), bool)
-                a, b = order[1:], order[:-1]
-                cut[1:] = (row[a] != row[b]) | (anchor[a] != anchor[b]) | (h[a] != h[b])
-                heads = np.flatnonzero(cut)
-                one = order[heads]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(k).take(pa.array(row[one])) for k in KEY),
-                        pa.array(anchor[one]),
-                        pa.array((h[one] % np.maximum(parts[one], 1).astype(U64)).astype(np.int32)),
-                        pa.array(parts[one].astype(np.int32)),
-                        pa.array(h[one].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), pa.array(lo[order])),
-                        pa.array([bytes(text[s:e]) for s, e in zip(start[one], end[one], strict=True)], pa.binary()),
-                    ],
-                    [*KEY, "anchor", "part", "parts", "same", "places", "context"],
-                )
+                text, lists = memoryview(data), batch.column("runs")
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                lo, hi, anchor, part, parts, n = (lists.flatten().field(k) for k in range(6))
+                start, end = offs[row] + lo.to_numpy(), offs[row] + hi.to_numpy() + length
+                context = pa.array([bytes(text[s:e]) for s, e in zip(start, end, strict=True)], pa.binary())
+                keys = [batch.column(k).take(pa.array(row)) for k in KEY]
+                yield pa.RecordBatch.from_arrays([*keys, lo, anchor, part, parts, n, context], [*KEY, "lo", "anchor", "part", "parts", "n", "context"])
 
     return run
 
@@ -236,89 +221,53 @@ def _common(a: np.ndarray, b: np.ndarray, ranks: list[tuple[int, np.ndarray]], b
 
 
 def _index(length: int, buckets: int):
-    """Rows of one anchor part follow each other. Gives (key, digest, start, end) of repeated bytes, and the number of runs
-    that are looked at; for divided anchors also, packed by bucket of their hash, the windows that nothing has matched
-    yet and those that are matched here."""
+    """Rows of one anchor part follow each other. Gives (key, digest, start, end) of repeated bytes of contexts that stand
+    once; for divided anchors also, packed by bucket of their hash, the windows that nothing has matched yet and those
+    that are known to repeat."""
 
     def flush(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        anchor, part = table.column("anchor").to_numpy(), table.column("part").to_numpy()
-        same, parts = table.column("same").to_numpy(), table.column("parts").to_numpy()
-        places = table.column("places").combine_chunks()
-        n_places = np.asarray(places.value_lengths())
-        order = np.lexsort((same, part, anchor))
-        new = np.ones(len(order), bool)
-        x, y = order[1:], order[:-1]
-        new_group = np.ones(len(order), bool)
-        new_group[1:] = (anchor[x] != anchor[y]) | (part[x] != part[y])
-        new[1:] = new_group[1:] | (same[x] != same[y])
-        of_text = np.empty(len(order), np.int64)
-        of_text[order] = np.cumsum(new) - 1
-        lead = order[new]
-        counts = np.bincount(of_text, weights=n_places).astype(np.int64)
-        column = table.column("context").combine_chunks()
-        sizes = np.asarray(column.take(pa.array(lead)).to_pylist(), dtype=object)
-        lens = np.array([len(t) for t in sizes], np.int64)
-        group_of = (np.cumsum(new_group) - 1)[new]
-        alone = np.bincount(group_of)[group_of] == 1
-        # a text that is alone in its group has no neighbour to be indexed with, but may repeat within itself
-        indexed = ~alone | (lens >= length + 1)
-        match = np.zeros(int(lens.sum()), np.int64)
-        base = np.concatenate([[0], np.cumsum(lens)])
-        chosen = np.flatnonzero(indexed & (counts == 1) | ~alone)
-        if len(chosen):
-            got = run_length_matches([sizes[k] for k in chosen])
-            cum = np.concatenate([[0], np.cumsum(lens[chosen])])
-            for k, s, e in zip(chosen, cum[:-1], cum[1:], strict=True):
-                match[base[k] : base[k + 1]] = got[s:e]
+        anchor, part, parts, n, lo = (table.column(k).to_numpy() for k in ("anchor", "part", "parts", "n", "lo"))
         keys = np.stack([table.column(k).to_numpy() for k in KEY])
-        offsets, spots = places.offsets.to_numpy(), places.values.to_numpy()
-        runs, loose, known = {}, {}, []
-        for k in range(len(lead)):
-            w = lens[k] - length + 1
-            hit = match[base[k] : base[k] + w] >= length if counts[k] == 1 else np.ones(w, bool)
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            runs[k] = (edge[::2], edge[1::2] - 1 + length)
-            if parts[lead[k]] > 1:
+        again = np.zeros(len(anchor), bool)  # the same context of the same text, which rows that are equal send
+        again[1:] = (anchor[1:] == anchor[:-1]) & (part[1:] == part[:-1]) & (keys[:, 1:] == keys[:, :-1]).all(0) & (lo[1:] == lo[:-1])
+        kept = np.flatnonzero(~again)
+        texts = table.column("context").combine_chunks().take(pa.array(kept)).to_pylist()
+        match = run_length_matches(texts)
+        base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        rows, starts, ends, known, loose = [], [], [], [], []
+        for k, text, at in zip(kept.tolist(), texts, base[:-1].tolist(), strict=True):
+            w = len(text) - length + 1
+            hit = match[at : at + w] >= length
+            if n[k] == 1:
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+                rows.append(np.full(len(edge) // 2, k))
+                starts.append(lo[k] + edge[::2])
+                ends.append(lo[k] + edge[1::2] - 1 + length)
+            else:  # repeated whole, as its count says
+                hit[:] = True
+            if parts[k] > 1:
                 p = np.arange(w)
-                sums, down = prefix_hash(np.frombuffer(sizes[k], np.uint8))
-                h = mix(span_hash(sums, down, p, p + length) ^ U64(anchor[lead[k]] & 0x7FFFFFFFFFFFFFFF))
+                sums, down = prefix_hash(np.frombuffer(text, np.uint8))
+                h = mix(span_hash(sums, down, p, p + length) ^ U64(anchor[k] & 0x7FFFFFFFFFFFFFFF))
                 known.append(h[hit])
-                if not hit.all():
-                    loose[k] = (p[~hit], h[~hit])
-        windows = []
-        if known:  # windows matched here may stand unmatched in another part
-            h = np.unique(np.concatenate(known))
-            windows.append((h, np.zeros(len(h), np.int64), np.full(len(h), -1)))
-        rows, starts, ends = [], [], []
-        for i, k in enumerate(of_text):
-            s, e = runs[k]
-            for at in spots[offsets[i] : offsets[i + 1]]:
-                rows.append(np.full(len(s), i))
-                starts.append(at + s)
-                ends.append(at + e)
-                if k in loose:
-                    p, h = loose[k]
-                    windows.append((h, np.full(len(p), i), at + p))
+                loose.append((h[~hit], np.full(w - int(hit.sum()), k), lo[k] + p[~hit]))
         rows, starts, ends = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (rows, starts, ends))
         packed, blobs = np.empty(0, np.int64), []
-        if windows:
-            h, row, start = (np.concatenate([x[k] for x in windows]) for k in range(3))
+        if loose:  # windows that are known here may stand unmatched in another part
+            h = np.unique(np.concatenate(known))
+            loose.append((h, np.zeros(len(h), np.int64), np.full(len(h), -1)))
+            h, row, start = (np.concatenate([x[k] for x in loose]) for k in range(3))
             bucket = (h % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             packed = bucket[order][cuts]
             whole = np.stack([h.view(np.int64), *keys[:, row], start.astype(np.int64)])[:, order]
             blobs = [whole[:, a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-        # spans, then a row for each text with the number of its runs, then the packed windows
-        own, which = np.unique(keys, axis=1, return_inverse=True)
-        looked_at = np.bincount(which, weights=n_places).astype(np.int64)
-        n, k, m = len(rows), own.shape[1], len(blobs)
-        none = lambda size: pa.nulls(size, pa.int64())
-        columns = [pa.concat_arrays([pa.array(x), pa.array(y), none(m)]) for x, y in zip(keys[:, rows], own, strict=True)]
-        columns += [pa.concat_arrays([pa.array(x), none(k + m)]) for x in (starts, ends)]
-        columns += [pa.concat_arrays([none(n), pa.array(looked_at), none(m)]), pa.concat_arrays([none(n + k), pa.array(packed)]), pa.concat_arrays([pa.nulls(n + k, pa.binary()), pa.array(blobs, pa.binary())])]
-        return pa.RecordBatch.from_arrays(columns, [*KEY, "start", "end", "runs", "bucket", "windows"])
+        none = pa.nulls(len(blobs), pa.int64())
+        columns = [pa.concat_arrays([pa.array(x), none]) for x in (*keys[:, rows], starts, ends)]
+        columns += [pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(packed)]), pa.concat_arrays([pa.nulls(len(rows), pa.binary()), pa.array(blobs, pa.binary())])]
+        return pa.RecordBatch.from_arrays(columns, [*KEY, "start", "end", "bucket", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -384,35 +333,21 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.ListArray.from_arrays(pa.array(bounds), spans), batch.column("n_candidates")], [*KEY, "spans", "n_candidates"])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, *others: Column) -> DataFrame:
-    """(key, digest, text, ...): rows with one id and one text share their key, and what is found for them."""
-    own, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return docs.select(F.coalesce(own, F.lit(0).cast("long")).alias("key"), F.xxhash64(text, own.isNull()).alias("digest"), text.alias("text"), *others)
-
-
 def _spans(texts: DataFrame, length: int, per_index: int) -> DataFrame:
     """(key, digest, spans, n_candidates) of the texts(key, digest, text) with runs whose anchor stands elsewhere too."""
     spark = texts.sparkSession
     small_batches(spark)
     texts = texts.where(F.octet_length("text") >= length)
-    runs = saved(texts.mapInArrow(tidy(_anchors(length, min(GRAM, length))), "key long, digest long, lo int, hi int, anchor long"), "anchors")
-    often = saved(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "n", F.ceil(F.col("n") / per_index).cast("int").alias("parts")), "often")
-    hot = F.broadcast(often.where(F.col("n") * HOT_SHARE > runs.count()).select("anchor", "parts"))  # HOT_SHARE rows at most
-    cold = often.join(hot, "anchor", "left_anti").select("anchor", "parts")
-    repeated = runs.join(hot, "anchor").unionByName(runs.join(hot, "anchor", "left_anti").join(cold, "anchor"))
-    wanted = repeated.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi", "anchor", "parts")).alias("runs"))
-    contexts = texts.join(wanted, KEY).select(*KEY, "text", "runs")
-    contexts = contexts.mapInArrow(tidy(_contexts(length)), "key long, digest long, anchor long, part int, parts int, same long, places array<long>, context binary")
-    grouped = contexts.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "same")
+    runs = placed(texts.mapInArrow(tidy(_anchors(length, min(GRAM, length))), RUNS))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = saved(grouped.mapInArrow(tidy(_index(length, buckets)), "key long, digest long, start long, end long, runs long, bucket long, windows binary"), "repeats")
-    forget(runs)
-    forget(often)
+    found = factored(runs, texts, _contexts(length), _index(length, buckets), "key long, digest long, start long, end long, bucket long, windows binary", per_index)
+    found = saved(found, "repeats")
     loose = found.where("bucket is not null").select("bucket", "windows").repartition("bucket").sortWithinPartitions("bucket")
     across = loose.mapInArrow(tidy(_across(length)), "key long, digest long, start long, end long")
-    spans = found.where("bucket is null").select(*KEY, "start", "end", "runs").unionByName(across, allowMissingColumns=True)
-    span = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
-    ordered = spans.groupBy(*KEY).agg(F.sort_array(F.collect_set(span)).alias("s"), F.coalesce(F.sum("runs"), F.lit(0).cast("long")).alias("n_candidates"))
+    whole = runs.select(*KEY, "lo", F.when(F.col("n") > 1, F.struct(F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("end"))).alias("span"))
+    parts = found.where("bucket is null").select(*KEY, "start", "end").unionByName(across).select(*KEY, F.struct("start", "end").alias("span"))
+    spans = whole.unionByName(parts, allowMissingColumns=True)
+    ordered = spans.groupBy(*KEY).agg(F.sort_array(F.collect_set("span")).alias("s"), F.size(F.collect_set("lo")).cast("long").alias("n_candidates"))
     return ordered.mapInArrow(_merged, "key long, digest long, spans array<struct<start:long,end:long>>, n_candidates long")
 
 
@@ -425,7 +360,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     digest is the hash of the text and of whether there is an id, which tells rows that share an id apart; rows without
     an id have doc_id 0.
     """
-    found = _spans(_keyed(docs, id_col, text_col), length, per_index).where(F.size("spans") > 0)
+    found = _spans(keyed(docs, id_col, text_col), length, per_index).where(F.size("spans") > 0)
     return found.select(F.col("key").alias("doc_id"), "digest", "spans")
 
 
@@ -460,7 +395,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts are empty. One row comes back for each row of docs, with its own text, also if ids are null or shared.
     An empty table gives an empty one. Other columns are ignored, whatever their names.
     """
-    texts = _keyed(docs, id_col, text_col, F.col(id_col).cast("long").alias("doc_id"))
+    texts = keyed(docs, id_col, text_col, F.col(id_col).cast("long").alias("doc_id"))
     both = texts.join(_spans(texts.select(*KEY, "text"), length, per_index), KEY, "left")
     zero = F.lit(0).cast("long")
     both = both.select(
@@ -477,7 +412,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts become empty. Rows, null or shared ids and empty tables are treated as by without_repeats().
     """
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
-    texts = _keyed(docs, id_col, text_col, rest.alias("rest"))
+    texts = keyed(docs, id_col, text_col, rest.alias("rest"))
     both = texts.join(_spans(texts.select(*KEY, "text"), length, per_index), KEY, "left")
     cut = both.select("rest", "text", "spans").mapInArrow(tidy(_cut_text), StructType([texts.schema["rest"], StructField("text", StringType())]))
     return cut.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

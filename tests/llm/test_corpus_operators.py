@@ -6,6 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quotalab.llm import anchored, suffix_dedup
+from quotalab.llm.anchored import keyed
 from quotalab.llm.decontaminate import contamination, decontaminated, judged
 from quotalab.llm.minhash_dedup import near_duplicates, without_copies
 from quotalab.llm.quality_rules import cleaned, quality
@@ -32,8 +34,9 @@ def random_texts(seed, n=60, vocabulary=30, words=60):
     return [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "  \n ")]
 
 
-@pytest.mark.parametrize("length,per_index", [(12, 2048), (12, 3), (30, 5)])
-def test_repeated_spans_equal_brute_force(spark, length, per_index):
+@pytest.mark.parametrize("length,per_index,hot", [(12, 2048, 1000), (12, 3, 1), (30, 5, 30)])
+def test_repeated_spans_equal_brute_force(spark, monkeypatch, length, per_index, hot):
+    monkeypatch.setattr(anchored, "HOT_SHARE", hot)  # 1: no anchor is hot
     texts = random_texts(length)
     texts += [(950 + k, "common passage that all of them have " * 2 + str(k)) for k in range(9)] + [(990, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa")]
     seen = {}
@@ -103,6 +106,22 @@ def test_long_texts_go_by_chunks():
         assert windows(S.chunked_anchors(data, offs, 40, 12, chunk)) == whole
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_equal_texts_send_one_context(spark, monkeypatch, hot):
+    monkeypatch.setattr(anchored, "HOT_SHARE", hot)
+    r = random.Random(12)
+    text = lambda n: " ".join("w%d" % r.randrange(10**6) for _ in range(n))
+    page, tail = text(150), text(40)
+    rows = [(k, page) for k in range(12_000)] + [(20_000 + k, page[:500] + text(100)) for k in range(30)] + [(30_000, tail)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    found = suffix_dedup.placed(keyed(docs, "doc_id", "text").mapInArrow(suffix_dedup._anchors(400, 48), anchored.RUNS))
+    sent = found.where("first and m > 1").groupBy("anchor").count().agg({"count": "max"}).first()[0]
+    assert sent is None or sent <= 31  # distinct contexts, not the 12,000 copies
+    got = {x["doc_id"]: x["kept"].decode() for x in without_repeats(docs).collect()}
+    assert not any(got[k] for k in range(12_000)) and got[30_000] == tail
+    assert all(t[500:].endswith(got[i]) and len(t) - 510 < len(got[i]) for i, t in rows[12_000:12_030])  # by chance some go on alike
+
+
 def test_a_common_passage_over_many_indexes_and_partitions(spark):
     r = random.Random(9)
     word = lambda: "w%d" % r.randrange(10**6)

@@ -30,10 +30,12 @@ DICT_BYTES = 64 << 10
 #: Documents whose arrays train the dictionary, by the hash of their id, and the characters of each that are taken.
 DICT_DOCS = 1000
 DICT_DOC_CHARS = 8 << 10
-#: Slots of a worker's table of encoded units, filled up to three quarters, and the ids it holds; then it begins anew.
-#: 12 bytes a slot, 12 bytes an entry and 4 an id: 50 MB at most.
+#: Slots of a worker's table of encoded units, filled up to three quarters, and the ids it keeps; then it begins anew.
+#: 12 bytes a slot, 12 bytes an entry and 4 an id: 50 MB at most between two steps.
 MEMO_SLOTS = 1 << 20
 MEMO_IDS = 1 << 22
+#: Units of a text that are looked up and encoded in one step, far fewer than the table has slots.
+STEP_UNITS = 1 << 18
 
 #: What cutting texts into units rests on: a tokenizer file that differs in any of this has its texts encoded whole.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -132,18 +134,30 @@ class _Coder:
         start, end, row, folded, plain = _units(data, offs)
         h = span_hash(*prefix_hash(folded), start, end)
         h[h == 0] = U64(1)
+        raw, ids, counts = memoryview(folded), [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for at in range(0, len(h), STEP_UNITS):
+            k = slice(at, at + STEP_UNITS)
+            ids_of, count = self._step(raw, start[k], end[k], h[k], plain[k])
+            ids.append(ids_of)
+            counts.append(count)
+        return np.concatenate(ids), np.bincount(row, weights=np.concatenate(counts), minlength=rows).astype(np.int64)
+
+    def _step(self, raw: memoryview, start: np.ndarray, end: np.ndarray, h: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, how many each unit has) of at most STEP_UNITS units."""
         entry = self.find(h)
         if (entry < 0).any():
             new, one = np.unique(h[entry < 0], return_index=True)
             one = np.flatnonzero(entry < 0)[one]
-            if len(self.first) + len(new) > MEMO_SLOTS * 3 // 4 or len(self.ids) > MEMO_IDS:
+            if len(self.first) + len(new) > MEMO_SLOTS * 3 // 4:
                 self.clear()
                 new, one = np.unique(h, return_index=True)
-            raw = folded.tobytes()
-            self.add(new, *self.encoded([raw[a:b].decode() for a, b in zip(start[one], end[one], strict=True)], plain[one]))
+            self.add(new, *self.encoded([bytes(raw[a:b]).decode() for a, b in zip(start[one], end[one], strict=True)], plain[one]))
             entry = self.find(h)
         count = self.count[entry].astype(np.int64)
-        return self.ids[_gather(self.first[entry], count)], np.bincount(row, weights=count, minlength=rows).astype(np.int64)
+        found = self.ids[_gather(self.first[entry], count)]
+        if len(self.ids) > MEMO_IDS:
+            self.clear()
+        return found, count
 
 
 def _units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:

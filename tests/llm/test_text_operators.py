@@ -70,6 +70,22 @@ def test_token_files_round_trip(spark, docs):
     assert token_output.token_digests(docs.limit(0), path).count() == 0
 
 
+def test_a_text_of_more_units_than_the_table_holds(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    letters = np.array([97 + np.arange(1_100_000) // 26**k % 26 for k in range(5)], np.uint8).T
+    text = " ".join(np.concatenate([letters, np.full((len(letters), 1), 32, np.uint8)], axis=1).tobytes().decode().split())
+    coder = token_output._Coder(path)
+    for _ in range(2):  # the table is full, then empty again
+        ids, counts = coder.texts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert len(coder.first) <= token_output.MEMO_SLOTS * 3 // 4 and len(coder.ids) <= token_output.MEMO_IDS and counts.tolist() == [len(ids)]
+    want = np.array(Tokenizer.from_file(path).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    assert np.array_equal(ids, want)
+    row = token_output.token_digests(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).first()
+    assert row["n_tokens"] == len(want) + 1 and row["ids_crc32"] == zlib.crc32(np.append(want, 2).astype("<u4").tobytes())
+
+
 def test_control_strings_in_any_case(spark):
     from tokenizers import Tokenizer
 

@@ -21,20 +21,31 @@ DEPLETED_PERCENT = 50
 HOT_SHARE = 1000
 
 
-def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed), a row for each row of docs.
+#: Of a row: its id, 0 for none, and the hash of its text, its host and whether it has an id.
+KEY = ["key", "digest"]
 
-    Null texts count as empty: every count is 0 and base_failed is true. The columns others come through.
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, host_col: str, *others: Column) -> DataFrame:
+    """(doc_id, key, digest, host, t, ...): rows with one key have one id, text and host, and one verdict."""
+    own, t, host = F.col(id_col), F.col(text_col).cast("string"), F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+    digest = F.xxhash64(t, host, own.isNull())
+    return docs.select(own.alias("doc_id"), F.coalesce(own.cast("long"), F.lit(0).cast("long")).alias("key"), digest.alias("digest"), host.alias("host"), t.alias("t"), *others)
+
+
+def base_counts(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, digest, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of rows(doc_id, key, digest, t).
+
+    Null texts count as empty: every count is 0 and base_failed is true.
     """
-    t = docs.select(*others, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    own = ("doc_id", *KEY)
+    t = rows.select(*own, F.coalesce("t", F.lit("")).alias("t"))
     t = t.withColumn("h", F.transform(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x)))
     n = F.size("h")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("h", i, WINDOW))))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     left = lambda pattern: F.length(F.regexp_replace("t", pattern, ""))
     t = t.select(
-        *others,
-        "doc_id",
+        *own,
         n.cast("long").alias("n_words"),
         (F.length("t") - left(WORD)).cast("long").alias("word_chars"),
         left(r"[^#*$%&|<>]+").cast("long").alias("n_symbols"),
@@ -50,7 +61,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
     cover = F.aggregate(at, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")), lambda a: a["n"])
     t = t.select(
-        *others, "doc_id", "n_words", "word_chars", "n_symbols",
+        *own, "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("twice"), cover).otherwise(0).cast("long").alias("n_repeat_words"),
     )
@@ -62,54 +73,58 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(F.lower(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))))
 
 
-def frequent_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT
-) -> DataFrame:
-    """(doc_id, lines, removed_words): of each document with lines above the limits of its host, their hashes and words.
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT) -> DataFrame:
+    """(key, digest, lines, removed_words): of each row with lines above the limits of its host, their hashes and words.
 
-    Documents with one text in one host count once. A line's first holder in a host, the smallest id, keeps it, so a
-    passage never vanishes. A null host is a host of its own together with the empty name. Rows without an id or text
-    are ignored.
+    Rows with one text in one host count once. A line's first holder in a host keeps it, so a passage never vanishes: the
+    row of smallest id, or where no holder has an id the one whose text has the smallest hash. A null host is a host of
+    its own together with the empty name. Rows without a text are ignored.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).cast("string").alias("t"))
-    d = d.where("doc_id is not null and t is not null")
-    rows = d.select("doc_id", "host", F.xxhash64("t").alias("doc"), F.explode(F.split("t", "\n")).alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    rows = saved(rows.select("doc_id", "host", "doc", line_hash(F.col("line")).alias("line"), F.regexp_count("line", F.lit(WORD)).alias("w")), "lines")
-    sizes = rows.groupBy("host", "doc").agg(F.min("doc_id").alias("x")).groupBy("host").agg(F.count("*").alias("docs"))
-    each = rows.groupBy("host", "line", "doc").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    often = each.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.sum("copies").alias("copies")).where(F.col("n") > min_docs)
-    often = often.join(sizes, "host").where(100 * F.col("n") > share_percent * F.col("docs")).select("host", "line", "first", "copies")
+    d = rows.where("t is not null").select("doc_id", *KEY, "host", F.xxhash64("t").alias("doc"), F.posexplode(F.split("t", "\n")).alias("at", "line"))
+    d = d.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    d = saved(d.select("doc_id", *KEY, "host", "doc", "at", line_hash(F.col("line")).alias("line"), F.regexp_count("line", F.lit(WORD)).alias("w")), "lines")
+    sizes = d.groupBy("host", "doc").agg(F.min("at").alias("x")).groupBy("host").agg(F.count("*").alias("docs"))
+    each = d.groupBy("host", "line", "doc").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    often = each.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.min("doc").alias("first_doc"), F.sum("copies").alias("copies")).where(F.col("n") > min_docs)
+    often = often.join(sizes, "host").where(100 * F.col("n") > share_percent * F.col("docs")).select("host", "line", "first", "first_doc", "copies")
     # lines with more than this share of all rows are few enough to broadcast, so that none meets in one task
-    often, total = saved(often, "often"), rows.count()
+    often, total = saved(often, "often"), d.count()
     often = often.withColumn("hot", F.col("copies") * HOT_SHARE > total)
     hot, cold = F.broadcast(often.where("hot").drop("hot", "copies")), often.where("not hot").drop("hot", "copies")
-    hits = rows.join(hot, ["host", "line"]).unionByName(rows.join(hot, ["host", "line"], "left_anti").join(cold, ["host", "line"])).where("doc_id <> first")
-    return hits.groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.sum("w").cast("long").alias("removed_words"))
-
+    hits = d.join(hot, ["host", "line"]).unionByName(d.join(hot, ["host", "line"], "left_anti").join(cold, ["host", "line"]))
+    hits = hits.where("case when first is null then doc <> first_doc else doc_id is null or doc_id <> first end")
+    hits = hits.select(*KEY, "at", "line", "w").distinct()  # rows with one key have the same lines
+    return hits.groupBy(*KEY).agg(F.collect_set("line").alias("lines"), F.sum("w").cast("long").alias("removed_words"))
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", depleted_percent: int = DEPLETED_PERCENT, others: tuple[str, ...] = (), **limits) -> DataFrame:
-    """base_counts() with removed_words, lines (hashes of the removed lines, null if none), depleted and kept.
 
-    kept is false for documents that fail the base rules or are depleted by the removal of lines above the limits.
-    One row comes back for each row of docs; rows that share an id share what is removed. An empty table gives none.
-    """
-    counts = base_counts(docs, id_col, text_col, others)
-    out = counts.join(frequent_lines(docs, id_col, text_col, host_col, **limits), "doc_id", "left")
+def _judged(rows: DataFrame, depleted_percent: int, limits: dict) -> DataFrame:
+    out = base_counts(rows).join(frequent_lines(rows, **limits), KEY, "left")
     removed = F.coalesce("removed_words", F.lit(0).cast("long"))
     out = out.withColumn("removed_words", removed).withColumn("depleted", 100 * F.col("removed_words") > depleted_percent * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", depleted_percent: int = DEPLETED_PERCENT, **limits) -> DataFrame:
+    """base_counts() with removed_words, lines (hashes of the removed lines, null if none), depleted and kept.
+
+    kept is false for documents that fail the base rules or are depleted by the removal of lines above the limits. One
+    row comes back for each row of docs and depends on its own id, text and host, also where ids are null or shared; rows
+    that agree in all three have one verdict. Null and empty texts fail. An empty table gives an empty one. Other columns
+    are ignored, whatever their names.
+    """
+    return _judged(_rows(docs, id_col, text_col, host_col), depleted_percent, limits).drop(*KEY)
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", depleted_percent: int = DEPLETED_PERCENT, **limits) -> DataFrame:
     """The rows of docs that quality() keeps, all columns, their text without the removed lines.
 
-    A row finds its verdict by id and text, on which alone it depends; null ids too, so that each row keeps its own.
+    Rows, null or shared ids, empty tables and columns of any name are treated as by quality(); all columns come through.
     """
-    digest = F.sha2(F.col(text_col).cast("string").cast("binary"), 256)
     # written first: a filter on kept would be pushed into the counts, which then are made again for each use
-    found = quality(docs.withColumn("__digest", digest), id_col, text_col, host_col, others=("__digest",), **limits)
-    verdict = saved(found.select(F.col("doc_id").alias("__id"), "__digest", F.col("lines").alias("__lines"), F.col("kept").alias("__kept")), "verdicts")
-    verdict = verdict.where("__kept").drop("__kept").dropDuplicates(["__id", "__digest"])
-    both = docs.join(verdict, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
-    own = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("__lines", line_hash(x))), "\n")
-    return both.withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(own)).select(*docs.columns)
+    verdict = saved(_judged(_rows(docs, id_col, text_col, host_col), depleted_percent, limits).select(*KEY, "lines", "kept"), "verdicts")
+    verdict = verdict.where("kept").drop("kept").dropDuplicates(KEY)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    both = _rows(docs, id_col, text_col, host_col, whole).join(verdict, KEY)
+    own = F.array_join(F.filter(F.split("t", "\n"), lambda x: ~F.array_contains("lines", line_hash(x))), "\n")
+    text = F.when(F.col("lines").isNull(), F.col(f"row.`{text_col}`")).otherwise(own)
+    return both.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -296,7 +296,21 @@ def test_cleaned_keeps_each_row_by_its_own_verdict(spark):
     shared = "shared boilerplate line"
     texts = [(k, f"{good[0]} {k}\n{shared}") for k in range(60)] + [(5, f"{good[1]}\n{shared}"), (5, "few words"), (None, f"{good[2]}\n{shared}")]
     out = [(r["doc_id"], r["text"]) for r in cleaned(docs_of(spark, texts), min_docs=50).collect()]
-    assert len(out) == 62 and (5, f"{good[0]} 5") in out and (5, good[1]) in out and (None, f"{good[2]}\n{shared}") in out
+    assert len(out) == 62 and (5, f"{good[0]} 5") in out and (5, good[1]) in out and (None, good[2]) in out
+
+
+def test_a_clean_row_is_not_judged_by_rows_of_its_id(spark):
+    shared = "a common line of eight words stands here"
+    clean = " ".join(f"c{k}" for k in range(25))
+    texts = [(k, " ".join(f"d{k}x{j}" for j in range(30)) + f"\n{shared}") for k in range(80)]
+    texts += [(900, " ".join(f"e{k}x{j}" for j in range(22)) + f"\n{shared}" * 3) for k in range(4)] + [(900, clean), (900, clean)]
+    rows = [x for x in quality(docs_of(spark, texts)).collect() if x["doc_id"] == 900]
+    assert sorted((x["n_words"], x["removed_words"], x["kept"]) for x in rows) == [(25, 0, True)] * 2 + [(46, 24, False)] * 4
+    out = [x["text"] for x in cleaned(docs_of(spark, texts)).collect() if x["doc_id"] == 900]
+    assert out == [clean, clean]
+    # where no holder has an id, one of the texts keeps the line
+    texts = [(None, " ".join(f"d{k}x{j}" for j in range(30)) + f"\n{shared}") for k in range(60)] + [(None, None)]
+    assert sorted(x["removed_words"] for x in quality(docs_of(spark, texts)).collect()) == [0, 0] + [8] * 59
 
 
 def test_pipeline_on_odd_rows(spark):

@@ -34,6 +34,8 @@ AGREE = 48
 #: Documents under a key that are compared at once; more are dealt as pairs of blocks, and beyond CROWD by right groups.
 BLOCK = 512
 CROWD = 4096
+#: A class of equal sets with more than this share of all rows is large: at most as many are, small enough to broadcast.
+HOT_SHARE = 1000
 HELD_BYTES = 16 << 20  # text that a comparing task gathers before it looks for whole cells
 
 _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=U64)) | U64(1)
@@ -256,8 +258,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sk = saved(texts.mapInArrow(tidy(_sketch), "doc_id long, digest long, n_shingles long, low long, high long, groups array<long>, sig binary"), "sketches")
     same = ["low", "high", "n_shingles"]
     # a node for each distinct set, numbered once and written; its rows all have the same groups, and any text will do
-    classes = sk.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "digest")).alias("r"))
-    classes = saved(classes.select(*same, F.col("r.doc_id").alias("rep"), F.col("r.digest").alias("digest"), F.monotonically_increasing_id().alias("node")), "classes")
+    classes = sk.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "digest")).alias("r"), F.count("*").alias("n"))
+    classes = saved(classes.select(*same, "n", F.col("r.doc_id").alias("rep"), F.col("r.digest").alias("digest"), F.monotonically_increasing_id().alias("node")), "classes")
     own = classes.select(F.col("rep").alias("doc_id"), "digest", "node")
     heads = saved(sk.join(own, ["doc_id", "digest"]).select("node", "n_shingles", "groups", "sig").dropDuplicates(["node"]), "heads")
 
@@ -287,16 +289,19 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for table in (lefts, reps, needed, stars):
         forget(table)
 
-    # rows to their node, nodes to the smallest id of their component
+    # rows to their node, nodes to the smallest id of their component; large classes are joined apart, so that none meets
+    # in one task, and rows without shingles, which are all alone, not at all
     linked = classes.join(comps, "node").select(*same, "component", "rep")
     least = linked.groupBy("component").agg(F.min("rep").alias("root"))
-    roots = classes.join(linked.join(least, "component").select(*same, "root"), same, "left").select(*same, F.coalesce("root", "rep").alias("root"))
-    out = sk.select("doc_id", "digest", *same).join(roots, same, "left").select(
-        "doc_id",
-        "digest",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
-    )
+    roots = classes.where("n > 1").select(*same, "n", "rep").join(linked.join(least, "component").select(*same, "root"), same, "full")
+    roots = saved(roots.select(*same, F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("root", "rep").alias("root")), "roots")
+    hot = F.col("n") * HOT_SHARE > sk.count()
+    large = F.broadcast(roots.where(hot).select(*same, F.col("root").alias("large")))
+    rows = sk.select("doc_id", "digest", *same).where("n_shingles > 0").join(large, same, "left")
+    rest = rows.where("large is null").drop("large").join(roots.where(~hot).drop("n"), same, "left")
+    alone = sk.where("n_shingles = 0").select("doc_id", "digest", "n_shingles", F.lit(None).cast("long").alias("root"))
+    every = rest.drop("low", "high").unionByName(rows.where("large is not null").select("doc_id", "digest", "n_shingles", F.col("large").alias("root"))).unionByName(alone)
+    out = every.select("doc_id", "digest", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -309,9 +314,12 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of docs, all columns, of which one document of each near-duplicate group stays: that of smallest id.
 
     Rows that share an id are judged by their own texts; of rows with one id and one text any one stays. Null texts
-    and rows without an id are linked with nothing and stay. An empty table gives an empty one.
+    and rows without an id are linked with nothing and stay. An empty table gives an empty one. Columns come through,
+    whatever their names.
     """
-    gone = _groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    own, digest = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
-    rows = docs.withColumns({"__id": own, "__digest": digest, "__none": F.when(own.isNull(), F.monotonically_increasing_id())})
-    return rows.join(gone, ["__id", "__digest"], "left_anti").dropDuplicates(["__id", "__digest", "__none"]).select(*docs.columns)
+    gone = _groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id", "digest").distinct()
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), whole)
+    rows = rows.withColumn("own", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    rows = rows.join(gone, ["doc_id", "digest"], "left_anti").dropDuplicates(["doc_id", "digest", "own"])
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -1,4 +1,8 @@
-"""From raw documents to piece sequences: five stages, each written and read again before the next."""
+"""From raw documents to piece sequences: five stages, each written and read again before the next.
+
+All stages take tables with any other columns, whatever their names; all but the last return them as they are. Rows are
+judged by id and text, so that null and repeated ids keep rows of their own; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -20,31 +24,43 @@ PASSAGE_BYTES = 240
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """n_chars follows the text."""
-    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    """n_chars, if there is such a column, follows the text."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else docs
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are depleted go; the others lose lines above the limits."""
+    """Documents that fail the base rules or are depleted go; the others lose lines above the limits.
+
+    Null, empty and short texts fail. Of the holders of a line the first keeps it: the smallest id, else the smallest hash.
+    """
     return _measured(cleaned(docs))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each near-duplicate group stays; rows without text or id stay too."""
+    """The smallest document of each near-duplicate group stays; rows without text or id stay too.
+
+    Of rows with one id and one text any one stays, of texts that share the smallest id the one that stands for the group.
+    """
     ship(spark)
     return without_copies(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the bytes of repeated strings; a character that is cut goes whole."""
+    """All documents without the bytes of repeated strings, every copy of them; a character that is cut goes whole.
+
+    Null texts become empty, and so do texts that repeated rows or copies cover whole.
+    """
     ship(spark)
-    return _measured(cut_repeats(docs, length=PASSAGE_BYTES)).select(*docs.columns)
+    return _measured(cut_repeats(docs, length=PASSAGE_BYTES))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; the others lose the words inside benchmark windows."""
+    """Contaminated documents go; the others lose the words inside benchmark windows.
+
+    Null and empty texts stay, null and empty items have no windows, and repeated items count as one each.
+    """
     ship(spark)
-    return _measured(decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).select(*docs.columns)
+    return _measured(decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import tidy
-from .store import forget, saved
+from .store import saved
 
 KEY = ["key", "digest"]  # of a row: its id, and the hash of its text and whether it has an id
 RUNS = "key long, digest long, lo int, hi int, anchor long, same long"
@@ -38,22 +38,21 @@ def placed(runs: DataFrame) -> DataFrame:
     """
     runs = saved(runs, "runs")
     total = runs.count()
-    hot = F.broadcast(saved(runs.groupBy("anchor").count().where(F.col("count") * HOT_SHARE > total).select("anchor"), "hot"))
     same, place = ["anchor", "same"], [*KEY, "lo"]
-    in_order = Window.partitionBy(*same).orderBy(*place)
-    cold = runs.join(hot, "anchor", "left_anti")
-    cold = cold.withColumns({"n": F.count("*").over(Window.partitionBy(*same)), "first": F.rank().over(in_order) == 1, "lead": (F.row_number().over(in_order) == 1).cast("int")})
-    cold = cold.withColumns({"m": F.sum("lead").over(Window.partitionBy("anchor")), "all": F.count("*").over(Window.partitionBy("anchor"))}).where("all > 1").drop("lead", "all")
-    few = runs.join(hot, "anchor")
-    contexts = few.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("least"))
-    contexts = saved(contexts, "contexts")
-    contexts = contexts.join(F.broadcast(contexts.groupBy("anchor").agg(F.count("*").alias("m"))), "anchor")  # a row for each hot anchor
-    often = F.broadcast(contexts.where(F.col("n") * HOT_SHARE > total))
-    both = few.join(often, same).unionByName(few.join(often.select(*same), same, "left_anti").join(contexts.where(F.col("n") * HOT_SHARE <= total), same))
-    both = both.withColumn("first", F.struct(*place) == F.col("least")).drop("least")
-    out = saved(cold.unionByName(both), "placed")
-    forget(runs)
-    return out
+    hot = runs.groupBy("anchor").count().where(F.col("count") * HOT_SHARE > total).select("anchor").collect()  # HOT_SHARE at most
+    contexts = saved(runs.where(F.col("anchor").isin([r[0] for r in hot])).groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("least")), "contexts")
+    distinct = F.broadcast(contexts.groupBy("anchor").agg(F.count("*").alias("of_anchor")))  # a row for each hot anchor
+    often = F.broadcast(contexts.where(F.col("n") * HOT_SHARE > total).withColumnsRenamed({"n": "of_context"}))
+    runs = runs.join(distinct, "anchor", "left").join(often, same, "left")
+    # runs of a hot context are counted already and go anywhere, the others of a hot anchor by context, all else by anchor
+    dealt = F.when(F.col("of_context").isNotNull(), F.xxhash64(*place)).when(F.col("of_anchor").isNotNull(), F.xxhash64(*same)).otherwise(F.col("anchor"))
+    runs = runs.withColumn("dealt", dealt).repartition("dealt")
+    context = Window.partitionBy("dealt", *same)
+    in_order = context.orderBy(*place)
+    runs = runs.withColumns({"n": F.count("*").over(context), "rank": F.rank().over(in_order), "lead": (F.row_number().over(in_order) == 1).cast("long")})
+    runs = runs.withColumn("m", F.coalesce("of_anchor", F.sum("lead").over(Window.partitionBy("dealt", "anchor"))))
+    first = F.coalesce(F.struct(*place) == F.col("least"), F.col("rank") == 1)
+    return saved(runs.select(*KEY, "lo", "hi", *same, F.coalesce("of_context", "n").alias("n"), "m", first.alias("first")).where("n > 1 or m > 1"), "placed")
 
 
 def factored(found: DataFrame, texts: DataFrame, contexts: Callable, compare: Callable, schema: str, per_index: int) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import pytest
 
+from quotalab.llm import anchored
 from quotalab.llm.centroids import cluster_vectors, clustered, nearest
 from quotalab.llm.periodic_runs import find_runs, periodic_runs
 from quotalab.llm.relative_lz import without_windows
@@ -164,8 +165,9 @@ def windowed_texts(seed, n=80):
     return [(k, " ".join(w)) for k, w in enumerate(texts)]
 
 
-@pytest.mark.parametrize("length,gram,per_block", [(6, 3, 2048), (6, 2, 3), (12, 4, 2), (20, 6, 2048), (5, 5, 1)])
-def test_windows_equal_brute_force(spark, length, gram, per_block):
+@pytest.mark.parametrize("length,gram,per_block,hot", [(6, 3, 2048, 1), (6, 2, 3, 1000), (12, 4, 2, 1), (20, 6, 2048, 30), (5, 5, 1, 1)])
+def test_windows_equal_brute_force(spark, monkeypatch, length, gram, per_block, hot):
+    monkeypatch.setattr(anchored, "HOT_SHARE", hot)
     rows = windowed_texts(length) + [(2000, None), (2001, " \n"), (2002, "b  a\t" * 20)]
     rows += [rows[5], rows[5], (None, "one more " * 12), (None, "one more " * 12)]
     docs = spark.createDataFrame([(i, t, 1, 2, "c", 3) for i, t in rows], "doc_id long, text string, key int, digest int, spans string, `first` int").repartition(7)
@@ -184,8 +186,6 @@ def test_windows_of_rows_that_share_an_id(spark):
 
 
 def test_a_hot_passage_and_a_hot_anchor(spark, monkeypatch):
-    from quotalab.llm import anchored
-
     monkeypatch.setattr(anchored, "HOT_SHARE", 20)  # a twentieth of all runs
     r = random.Random(4)
     word = lambda: "w%d" % r.randrange(10**6)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# fixed value: the seed of the data model
 SEED = 20260501
 
 
@@ -35,6 +36,7 @@ class Settings:
 class ForecastSettings:
     """Gate, features, models and drift of layers 5 and 6."""
 
+    # fixed values: cuts, windows and penalties of the data model
     preliminary: int = 8
     operational: int = 18
     lags: int = 4
@@ -44,4 +46,5 @@ class ForecastSettings:
     drift_window: int = 3
     drift_z: float = 2.0
     percentiles: tuple[float, float] = (0.05, 0.95)
+    draws: int = 500
     seed: int = SEED

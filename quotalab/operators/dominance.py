@@ -72,14 +72,22 @@ def grid_places(x: Column, low: Column, high: Column, points: int) -> Column:
     return F.transform(x, place)
 
 
-def place_gaps(a: Column, b: Column, points: int) -> Column:
-    """By how much the cumulated counts of a exceed those of b, at each grid point before a count grows and at the last.
+def _levels(a: Column, b: Column, points: int) -> Column:
+    """The grid points before a count grows, and the last: between them cumulated counts grow linearly."""
+    return F.filter(F.array_union(F.transform(F.array_union(a, b), lambda i: i - 1), F.array(F.lit(points - 1))), lambda i: i >= 0)
 
-    Cumulated counts grow linearly between these points, so they decide for the whole grid.
-    """
-    levels = F.filter(F.array_union(F.transform(F.array_union(a, b), lambda i: i - 1), F.array(F.lit(points - 1))), lambda i: i >= 0)
+
+def place_gaps(a: Column, b: Column, points: int) -> Column:
+    """By how much the cumulated counts of a exceed those of b, at the points that decide for the whole grid."""
     total = lambda x, i: F.aggregate(x, F.lit(0), lambda s, k: s + F.greatest(i - k + 1, F.lit(0)))
-    return F.transform(levels, lambda i: total(a, i) - total(b, i))
+    return F.transform(_levels(a, b, points), lambda i: total(a, i) - total(b, i))
+
+
+def weighted_gaps(a: Column, wa: Column, b: Column, wb: Column, points: int) -> Column:
+    """place_gaps() where each place of a counts as often as wa says, and of b as wb says."""
+    part = lambda x, w, i: F.zip_with(x, w, lambda k, n: n * F.greatest(i - k + 1, F.lit(0)))
+    total = lambda x, w, i: F.aggregate(part(x, w, i), F.lit(0).cast("long"), lambda s, v: s + v)
+    return F.transform(_levels(a, b, points), lambda i: total(a, wa, i) - total(b, wb, i))
 
 
 def winner(gaps: Column) -> Column:
@@ -139,11 +147,60 @@ def draw(pair: list[str], policy: Column, replica: Column, size: Column, seed: i
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % size).cast("int")
 
 
-def seeded_costs(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Expected costs of resampled demand: settings.replicas independent draws for each pair and policy."""
+def _draws(rows: DataFrame, settings: Settings) -> DataFrame:
+    """(pair, politica, q, s, i): settings.replicas independent draws i of a month for each pair and policy."""
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *PAIR)  # few rows, which become many
     each = rows.withColumn("p", F.explode(F.array(*(F.struct(F.lit(p).alias("name"), F.col(f"q_{p}").alias("q")) for p in POLICIES))))
     each = each.select(*PAIR, "s", F.col("p.name").alias("politica"), F.col("p.q").alias("q")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(settings.replicas - 1))))
-    demand = F.get("s", draw(PAIR, F.col("politica"), F.col("r"), F.size("s"), settings.seed))
-    each = each.select(*PAIR, "politica", F.greatest(demand - F.col("q"), F.lit(0.0)).alias("short"), F.greatest(F.col("q") - demand, F.lit(0.0)).alias("over"))
+    return each.select(*PAIR, "politica", "q", "s", draw(PAIR, F.col("politica"), F.col("r"), F.size("s"), settings.seed).alias("i"))
+
+
+def seeded_costs(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Expected costs of resampled demand."""
+    demand = F.get("s", F.col("i"))
+    each = _draws(rows, settings).select(*PAIR, "politica", F.greatest(demand - F.col("q"), F.lit(0.0)).alias("short"), F.greatest(F.col("q") - demand, F.lit(0.0)).alias("over"))
     total = settings.shortage_cost * F.sum("short") + settings.excess_cost * F.sum("over")
     return each.groupBy(*PAIR, "politica").agg((total / F.count("*")).alias("custo_esperado"))
+
+
+def drawn(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """costs() rows with h_<policy>: how often each month's cost was drawn, for the months that were.
+
+    The draws of a policy are a histogram over the months, counted before anything is shuffled; they are never kept
+    one by one. c_<policy> then has the costs of the drawn months alone, in the order of h_<policy>.
+    """
+    counts = _draws(rows.select(*PAIR, "s", *(f"q_{p}" for p in POLICIES)), settings).groupBy(*PAIR, "politica", "i").agg(F.count("*").alias("n"))
+    lists = [F.sort_array(F.collect_list(F.when(F.col("politica") == p, F.struct("i", "n")))).alias(f"d_{p}") for p in POLICIES]  # a row for each month
+    out = rows.join(counts.groupBy(*PAIR).agg(*lists), PAIR)
+    cost_of = lambda p: F.transform(f"d_{p}", lambda x: F.get(F.col(f"c_{p}"), x["i"]))
+    made = {f"c_{p}": cost_of(p) for p in POLICIES}
+    return out.withColumns(made | {f"h_{p}": F.transform(f"d_{p}", lambda x: x["n"]) for p in POLICIES}).select(*rows.columns, *(f"h_{p}" for p in POLICIES))
+
+
+def _weighted_sum(x: Column, w: Column) -> Column:
+    return F.aggregate(F.zip_with(x, w, lambda v, n: v * n), F.lit(0.0), lambda a, v: a + v)
+
+
+def drawn_dominance(rows: DataFrame, settings: Settings = Settings(), mode: str = "reference") -> DataFrame:
+    """drawn() rows with the expected cost of each policy, the cheapest one and the three comparisons over weighted counts.
+
+    mode is as in dominated(). The cumulated counts of the draws are whole numbers, so that no rounding decides.
+    """
+    c, points = F.col, settings.grid
+    out = rows.withColumns({f"custo_esp_{p}": _weighted_sum(c(f"c_{p}"), c(f"h_{p}")) / settings.replicas for p in POLICIES})
+    x, y, z = (F.round(c(f"custo_esp_{p}"), 9) for p in POLICIES)
+    out = out.withColumn("politica_preferida", F.when((x <= y) & (x <= z), "atual").when(y <= z, "conservadora").otherwise("com_buffer"))
+    own, found = out.columns, {}
+    for k, (name, a, b) in enumerate(COMPARED):
+        ca, wa, cb, wb = c(f"c_{a}"), c(f"h_{a}"), c(f"c_{b}"), c(f"h_{b}")
+        if mode == "reference":
+            # bounds, places and gaps are columns of their own, so that each is computed once
+            out = out.withColumns({f"lo{k}": F.least(F.array_min(ca), F.array_min(cb)), f"hi{k}": F.greatest(F.array_max(ca), F.array_max(cb))})
+            out = out.withColumns({f"a{k}": grid_places(ca, c(f"lo{k}"), c(f"hi{k}"), points), f"b{k}": grid_places(cb, c(f"lo{k}"), c(f"hi{k}"), points)})
+            out = out.withColumn(f"gaps{k}", weighted_gaps(c(f"a{k}"), wa, c(f"b{k}"), wb, points))
+            found[name] = F.when(c(f"lo{k}") == c(f"hi{k}"), "nenhuma").otherwise(winner(c(f"gaps{k}")))
+        else:
+            beyond = lambda x, w, level: F.round(F.aggregate(F.zip_with(x, w, lambda v, n: n * F.greatest(v - level, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v), 6)
+            out = out.withColumn(f"gaps{k}", F.transform(F.array_union(ca, cb), lambda level: beyond(ca, wa, level) - beyond(cb, wb, level)))
+            found[name] = winner(c(f"gaps{k}"))
+    return out.withColumns(found).select(*own, *found)

@@ -283,6 +283,53 @@ _BODIES: dict[str, tuple[str, str]] = {
 }
 
 
+_DRAWN = f"""{_BODIES["bootstrap_seeded_costs"][0]},
+    w as (select {_KEY}, politica, {_COST("q")} as c, count(*) as n from d group by {_KEY}, politica, {_COST("q")}),
+    esp as (select {_KEY}, politica, sum(c * n) / 5000.0::double as custo from w group by {_KEY}, politica),
+    largo as (
+        select {_KEY}, max(custo) filter (where politica = 'atual') as ca, max(custo) filter (where politica = 'conservadora') as cc, max(custo) filter (where politica = 'buffer') as cb
+        from esp group by {_KEY}),
+    pref as (
+        select {_KEY}, {", ".join(f"round({x}, 6) as custo_esp_{p}" for x, p in (("ca", "atual"), ("cc", "conservadora"), ("cb", "buffer")))},
+            case when round(ca, 9) <= round(cc, 9) and round(ca, 9) <= round(cb, 9) then 'atual' when round(cc, 9) <= round(cb, 9) then 'conservadora' else 'com_buffer' end as politica_preferida
+        from largo),
+    ab as ({" union all ".join(f"select {_KEY}, '{n}' as par, politica = '{a}' as is_a, c, n from w where politica in ('{a}', '{b}')" for n, a, b in _PAIRS)})"""
+_DRAWN_SSD = """
+    lim as (select unidade, produto, categoria, par, min(c) as lo, max(c) as hi from ab group by all),
+    grade as (select lim.*, i::int as i, case when i = 199 then hi else i * ((hi - lo) / 199) + lo end as z from lim cross join range(200) g(i)),
+    freq as (
+        select unidade, produto, categoria, par, lo, hi, i, coalesce(sum(n) filter (where c <= z and is_a), 0) as na, coalesce(sum(n) filter (where c <= z and not is_a), 0) as nb
+        from grade join ab using (unidade, produto, categoria, par) group by all),
+    acum as (
+        select *, sum(na) over w as sa, sum(nb) over w as sb from freq window w as (partition by unidade, produto, categoria, par order by i rows unbounded preceding)),
+    res as (
+        select unidade, produto, categoria, par, case when lo = hi then 'nenhuma' when bool_or(sa < sb) and not bool_or(sa > sb) then 'A' when bool_or(sa > sb) and not bool_or(sa < sb) then 'B' else 'nenhuma' end as r
+        from acum group by unidade, produto, categoria, par, lo, hi)"""
+_DRAWN_CHEAPER = """
+    niveis as (select distinct unidade, produto, categoria, par, c as z from ab),
+    exc as (
+        select unidade, produto, categoria, par, z, round(coalesce(sum(n * greatest(c - z, 0.0::double)) filter (where is_a), 0), 6) as ea, round(coalesce(sum(n * greatest(c - z, 0.0::double)) filter (where not is_a), 0), 6) as eb
+        from niveis join ab using (unidade, produto, categoria, par) group by all),
+    res as (
+        select unidade, produto, categoria, par, case when bool_or(ea < eb) and not bool_or(ea > eb) then 'A' when bool_or(ea > eb) and not bool_or(ea < eb) then 'B' else 'nenhuma' end as r
+        from exc group by unidade, produto, categoria, par)"""
+_DRAWN_OUT = f"select * from pref join (select {_KEY}, {_WIDE} from res group by {_KEY}) using ({_KEY})"
+_BODIES |= {
+    "ssd_seeded": (f"{_DRAWN},{_DRAWN_SSD}", _DRAWN_OUT),
+    "ssd_seeded_cost_mode": (f"{_DRAWN},{_DRAWN_CHEAPER}", _DRAWN_OUT),
+    "forecast_interval_seeded": (
+        f"""{_NEXT},
+    pool as (select consumo_total - previsao as residuo, row_number() over (order by consumo_total - previsao) - 1 as rank, count(*) over () as n from previstos where not is_future),
+    draws as (
+        select unidade, produto, previsao, ('0x' || substr(md5(concat_ws('|', unidade, produto, r::varchar, '20260501')), 1, 15))::bigint % (select max(n) from pool) as rank
+        from previstos cross join range(500) t(r) where is_future),
+    amostra as (select unidade, produto, greatest(previsao + residuo, 0.0::double) as v from draws join pool using (rank)),
+    limites as (select unidade, produto, quantile_cont(v, 0.05) as lo, quantile_cont(v, 0.95) as hi from amostra group by all)""",
+        f"select {_KEY}, mes as mes_previsao, {_round('previsao')}, round(lo, 6) as intervalo_inferior_90, round(hi, 6) as intervalo_superior_90 from previstos join limites using (unidade, produto) where is_future",
+    ),
+}
+
+
 def _uniform(*parts: str) -> str:
     return f"((('0x' || substr(md5(concat_ws('|', {', '.join(parts)}, '20260501')), 1, 10))::bigint + 0.5::double) / 1099511627776.0::double)"
 

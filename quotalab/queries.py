@@ -16,6 +16,7 @@ from .operators import history as H
 from .operators import orders as O
 from .operators import panel as P
 from .operators import policy as Q
+from .operators.intervals import seeded_interval
 from .oracles import ORACLES as ORACLES
 from .plans.allocation import layers
 from .plans.forecast import feature_table
@@ -172,6 +173,21 @@ def bootstrap_seeded_costs(spark, folder):
     return rounded(D.seeded_costs(_costs(spark, folder), SETTINGS))
 
 
+def _drawn(spark, folder, mode):
+    out = D.drawn_dominance(D.drawn(_costs(spark, folder), SETTINGS), SETTINGS, mode)
+    return rounded(out.select(*P.PAIR, *(f"custo_esp_{p}" for p in D.POLICIES), "politica_preferida", *(name for name, _, _ in D.COMPARED)))
+
+
+def ssd_seeded(spark, folder):
+    """Costs, preference and dominance of 5,000 draws for each pair and policy."""
+    return _drawn(spark, folder, "reference")
+
+
+def ssd_seeded_cost_mode(spark, folder):
+    """The same, by the mean cost beyond every level."""
+    return _drawn(spark, folder, "cost")
+
+
 def month_gate(spark, folder):
     return X.gate_table(_history(spark, folder))
 
@@ -216,6 +232,14 @@ def forecast_interval_exact(spark, folder):
     return rounded(X.forecast(_future(spark, folder)))
 
 
+def forecast_interval_seeded(spark, folder):
+    """The interval from 500 residuals for each pair, drawn from the pool of the whole history."""
+    made = _future(spark, folder).withColumn("previsao", X.baseline())
+    pool = made.where(~F.col("is_future")).select((F.col("consumo_total") - F.col("previsao")).alias("residuo"))
+    out = seeded_interval(made.where("is_future").select(*X.KEY, "categoria", F.col("mes").alias("mes_previsao"), "previsao"), pool)
+    return rounded(out)
+
+
 def history_upsert(spark, folder):
     """Old: history but its last month, as known; new: the last months, with one more unit of consumption."""
     past = _history(spark, folder)
@@ -376,6 +400,7 @@ QUERIES: dict[str, Query] = {
         ledger_normalize, ledger_flags, ledger_consumption, ledger_demand, unit_anonymize_rank, anonymized_totals, flag_error_rates, monthly_pivot,
         pair_metrics, pair_dispersion, xyz_class, xyz_distribution, wma_projection, k_buffer, quota_policies, marginal_need, suggested_action, action_distribution,
         policy_costs, expected_cost, preferred_policy, preferred_distribution, cost_cdf_grid, ssd_reference, ssd_cost_mode, bootstrap_seeded_costs,
+        ssd_seeded, ssd_seeded_cost_mode, forecast_interval_seeded,
         month_gate, feat_lags, feat_rolling, feat_trend_month, feat_regime, feat_onehot, feat_next_period, forecast_baseline, forecast_interval_exact,
         history_upsert, walk_forward_baseline, backtest_metrics, drift_zscore_rows, drift_zscore_months, registry_promotion, close_cycle, pareto_units, calibration_report,
         ledger_from_text, ledger_summary, audit_counts, history_months, forecast_reliability, champion_row, backtest_union, synthetic_network, synthetic_orders,

@@ -330,6 +330,51 @@ _BODIES |= {
 }
 
 
+_FEATURES = [
+    *(f"lag_{i}" for i in range(1, 5)), "media_3m", "std_3m", "trend_idx", "mes_num", *(f"cat_CATEGORIA_{c}" for c in "ABC"), *(f"mes_{m}" for m in range(1, 13)),
+    "consumo_medio_hist", "cv_hist", *(f"regime_{r}" for r in ("X_regular", "Y_moderado", "Z_erratico", "baixa_rotatividade")),
+]
+
+
+def _feature(name: str) -> str:
+    kind, _, value = name.partition("_")
+    if kind == "cat":
+        return f"(categoria = '{value}')::int"
+    if kind == "mes" and value != "num":
+        return f"(mes_num = {value})::int"
+    if kind == "regime":
+        return f"coalesce((classe_xyz = '{value}')::int, 0)"
+    return {"consumo_medio_hist": "coalesce(consumo_medio_mensal, 0.0::double)", "cv_hist": "coalesce(cv, 0.0::double)"}.get(name, name)
+
+
+_BODIES |= {
+    "metrics_as_of": (
+        f"""{_HISTORY},
+    grade as (select unidade, produto, mes, consumo_total as v from (select distinct unidade, produto from historico) cross join (select distinct mes from historico) left join historico using (unidade, produto, mes)),
+    antes as (
+        select unidade, produto, mes, count(v) over w as n_meses, avg(v) over w as m, avg(v * v) over w as q from grade
+        window w as (partition by unidade, produto order by mes rows between unbounded preceding and 1 preceding)),
+    medidas as (select *, case when m > 0 then round(sqrt(greatest(q - m * m, 0.0::double)) / m, 12) end as cv from antes where n_meses > 0)""",
+        """select unidade, produto, mes, n_meses, round(m, 6) as consumo_medio_hist, round(coalesce(cv, 0.0::double), 6) as cv_hist, case when cv is null then 'sem_consumo' when m < 1.0::double then 'baixa_rotatividade'
+            when cv < 0.3::double then 'X_regular' when cv < 0.7::double then 'Y_moderado' else 'Z_erratico' end as classe_xyz from medidas""",
+    ),
+    # the right sides of the normal equations: they depend on the data alone
+    "ridge_normal_equations": (
+        f"""{_METRICS},{_TEMP.removeprefix(_MONTHLY + ",")},
+    dobras as (select mes, (dense_rank() over (order by mes) - 1)::int as t from (select distinct mes from historico)),
+    linhas as (
+        select d.t, greatest(h.consumo_total, 0.0::double) as y, unnest([{", ".join(f"{{'k': '{n}', 'v': ({_feature(n)})::double}}" for n in _FEATURES)}], recursive := true)
+        from (select h.*, classe_xyz, consumo_medio_mensal, cv from temporal h left join metricas m on h.unidade = m.unidade and h.produto = m.produto) h join dobras d using (mes)),
+    somas as (select t, k, count(*) as n, sum(v) as v, sum(v * v) as vv, sum(y) as y, sum(v * y) as vy from linhas group by t, k),
+    acum as (
+        select fold, k, sum(n)::bigint as n, sum(v) / sum(n) as v, sum(vv) / sum(n) as vv, sum(y) / sum(n) as y, sum(vy) / sum(n) as vy
+        from somas join (select t as fold from dobras where t >= 3) on t < fold group by fold, k)""",
+        """select fold, k as feature, n, round((vy - v * y) / sqrt(vv - v * v), 3) as value from acum where vv - v * v > 1e-9::double * vv and (fold >= 18 or k = 'mes_num' or not starts_with(k, 'mes_'))
+        union all select fold, '1', n, round(y, 3) from acum where k = 'lag_1'""",
+    ),
+}
+
+
 def _uniform(*parts: str) -> str:
     return f"((('0x' || substr(md5(concat_ws('|', {', '.join(parts)}, '20260501')), 1, 10))::bigint + 0.5::double) / 1099511627776.0::double)"
 

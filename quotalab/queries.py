@@ -18,6 +18,7 @@ from .operators import panel as P
 from .operators import policy as Q
 from .operators.intervals import seeded_interval
 from .oracles import ORACLES as ORACLES
+from .plans import linear as L
 from .plans.allocation import layers
 from .plans.forecast import feature_table
 from .plans.models import MODELS
@@ -295,6 +296,32 @@ def pareto_units(spark, folder):
     return rounded(rows.select("unidade", "n_pedidos", F.row_number().over(by).alias("ordem"), share.alias("acumulado")))
 
 
+def walk_forward_ridge(spark, folder):
+    """The errors of ridge regression in every month, all months trained in one pass."""
+    return rounded(L.walk_forward_ridge(_history(spark, folder), _metrics(spark, folder)), 4)
+
+
+def walk_forward_ridge_as_of(spark, folder):
+    """The same with the metrics that were known before each month."""
+    return rounded(L.walk_forward_ridge(_history(spark, folder), _metrics(spark, folder), as_of=SETTINGS), 4)
+
+
+def ridge_normal_equations(spark, folder):
+    """What each month's ridge model says of its training rows, as the left sides of its normal equations."""
+    return rounded(L.normal_equations(_history(spark, folder), _metrics(spark, folder)), 3)
+
+
+def metrics_as_of(spark, folder):
+    """Mean, variation and class of each pair from the months before each month."""
+    return rounded(L.metrics_as_of(_history(spark, folder), SETTINGS))
+
+
+def forecast_ridge(spark, folder):
+    """The next month of each pair by ridge regression on the whole history, units without columns of their own."""
+    _, made = L.next_month_ridge(_history(spark, folder), _metrics(spark, folder))
+    return made.select(*X.KEY, "categoria", F.col("mes").alias("mes_previsao"), round_even(F.col("previsao"), 4).alias("previsao"), F.lit("ridge").alias("modelo_usado"))
+
+
 def _modelled(name: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         past = _history(spark, folder).persist()
@@ -400,10 +427,10 @@ QUERIES: dict[str, Query] = {
         ledger_normalize, ledger_flags, ledger_consumption, ledger_demand, unit_anonymize_rank, anonymized_totals, flag_error_rates, monthly_pivot,
         pair_metrics, pair_dispersion, xyz_class, xyz_distribution, wma_projection, k_buffer, quota_policies, marginal_need, suggested_action, action_distribution,
         policy_costs, expected_cost, preferred_policy, preferred_distribution, cost_cdf_grid, ssd_reference, ssd_cost_mode, bootstrap_seeded_costs,
-        ssd_seeded, ssd_seeded_cost_mode, forecast_interval_seeded,
+        ssd_seeded, ssd_seeded_cost_mode, forecast_interval_seeded, walk_forward_ridge, walk_forward_ridge_as_of, ridge_normal_equations, metrics_as_of, forecast_ridge,
         month_gate, feat_lags, feat_rolling, feat_trend_month, feat_regime, feat_onehot, feat_next_period, forecast_baseline, forecast_interval_exact,
         history_upsert, walk_forward_baseline, backtest_metrics, drift_zscore_rows, drift_zscore_months, registry_promotion, close_cycle, pareto_units, calibration_report,
         ledger_from_text, ledger_summary, audit_counts, history_months, forecast_reliability, champion_row, backtest_union, synthetic_network, synthetic_orders,
     )
 }
-QUERIES |= {"balanced_panel": _panel, "forecast_ridge": _modelled("ridge"), "forecast_poisson": _modelled("poisson"), "forecast_gbt": _modelled("lgbm")}
+QUERIES |= {"balanced_panel": _panel, "forecast_poisson": _modelled("poisson"), "forecast_gbt": _modelled("lgbm")}

@@ -3,26 +3,25 @@
 from __future__ import annotations
 
 import argparse
+import io
 import logging
 import sys
 from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from .config import SEED, Settings
 from .operators.history import HISTORY
-
 from .plans.allocation import run_allocation
 from .plans.forecast import run_forecast
 from .shipping import ship
 from .sources.ledger import write_csv
+from .sources.snapshots import write_text
 
 
-def logged_to(folder: str) -> list[logging.Handler]:
-    """The console and folder/pipeline.log, written anew; folder is one of the driver's."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    handlers = [logging.FileHandler(Path(folder) / "pipeline.log", mode="w", encoding="utf-8"), logging.StreamHandler(sys.stdout)]
+def handlers_of(text: io.StringIO) -> list[logging.Handler]:
+    """The console, and the text that becomes the run's log file."""
+    handlers = [logging.StreamHandler(text), logging.StreamHandler(sys.stdout)]
     log = logging.getLogger("quotalab")
     log.setLevel(logging.INFO)
     for handler in handlers:
@@ -41,7 +40,8 @@ def main(args: list[str] | None = None) -> None:
     given = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     ship(spark)
-    log, handlers = logging.getLogger("quotalab"), logged_to(given.output)
+    text = io.StringIO()
+    log, handlers = logging.getLogger("quotalab"), handlers_of(text)
     try:
         log.info("Início: seed %d, %s", SEED, asdict(Settings()))
         made = run_allocation(spark, given.input, given.output, anonymous=given.anonimizar)
@@ -56,7 +56,8 @@ def main(args: list[str] | None = None) -> None:
     finally:
         for handler in handlers:
             log.removeHandler(handler)
-            handler.close()
+            handler.flush()
+        write_text(spark, f"{given.output}/pipeline.log", text.getvalue())
 
 
 if __name__ == "__main__":

@@ -52,7 +52,7 @@ def run_allocation(spark: SparkSession, source: str, target: str, settings: Sett
     """Read a ledger and write its tables under target, with the audit trail and, if asked, the alias map.
 
     The consolidated ledger, as large as the input, is written in parallel, as Parquet and as CSV parts; the tables of
-    pairs are one CSV file each, sorted. Rows are counted, and the log's figures taken, while these jobs run.
+    pairs are sorted CSV parts. Rows are counted, and the log's figures taken, while these jobs run.
     """
     trail = AuditTrail()
     log.info("Camada 1: %s", source)
@@ -60,7 +60,7 @@ def run_allocation(spark: SparkSession, source: str, target: str, settings: Sett
     ledger = orders.normalised(raw)
     if anonymous:
         aliases = orders.unit_aliases(ledger).collect()  # as many rows as units
-        write_json({r["unidade"]: r["alias"] for r in aliases}, f"{target}/mapa_unidades.json")
+        write_json(spark, {r["unidade"]: r["alias"] for r in aliases}, f"{target}/mapa_unidades.json")
         ledger = orders.anonymised(ledger)
         log.info("%d unidades anonimizadas", len(aliases))
     made = allocation(ledger, settings)
@@ -91,5 +91,5 @@ def run_allocation(spark: SparkSession, source: str, target: str, settings: Sett
         before = seen
     for label, counts in (("XYZ", panel.counts_by(made.metricas, "classe_xyz")), ("ações", panel.counts_by(made.politicas, "acao_sugerida")), ("preferidas", panel.counts_by(made.dominancia, "politica_preferida"))):
         log.info("%s: %s", label, {r[0]: r[1] for r in counts.collect()})  # as many rows as classes
-    write_csv(trail.frame(spark), f"{target}/log_auditoria")
+    write_csv(trail.frame(spark).coalesce(1), f"{target}/log_auditoria")  # a row for each step
     return made

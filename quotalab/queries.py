@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions.numbers import round_even
+from .functions.shared import checkpointed
 from .functions.text import next_month
 from .operators import dominance as D
 from .operators import features as X
@@ -324,14 +325,16 @@ def forecast_ridge(spark, folder):
 
 def _modelled(name: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        past = _history(spark, folder).persist()
+        past = checkpointed(_history(spark, folder))
         # as many values as units, categories and months
         units, categories, months = past.agg(F.sort_array(F.collect_set("unidade")), F.sort_array(F.collect_set("categoria")), F.countDistinct("mes")).first()
         rows = feature_table(past, _metrics(spark, folder), seasonal=X.gate(months) == "operacional", units=units, categories=categories)
         columns = X.feature_columns(rows.columns)
         rows = rows.persist()
         made = MODELS[name]().fit(rows.where(~F.col("is_future")), columns).predict(rows.where("is_future"))
-        return made.select(*X.KEY, "categoria", F.col("mes").alias("mes_previsao"), round_even(F.col("previsao"), 4).alias("previsao"), F.lit(name).alias("modelo_usado"))
+        made = checkpointed(made.select(*X.KEY, "categoria", F.col("mes").alias("mes_previsao"), round_even(F.col("previsao"), 4).alias("previsao"), F.lit(name).alias("modelo_usado")))
+        rows.unpersist()
+        return made
 
     return query
 

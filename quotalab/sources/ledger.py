@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from .snapshots import write_text
+
 COLUMNS = ["unidade", "data_solic", "produto", "categoria", "qtd_solic", "qtd_env", "qtd_rec", "status", "pedido_extra", "mes_ref"]
 #: What the CSV reader takes for a missing value.
 MISSING = ("", "NA", "N/A", "NaN", "null", "NULL", "None")
@@ -84,11 +85,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header in the folder path; for reports, not for large tables."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header in the folder path, written by all tasks: of a sorted table the parts follow each other."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(record: dict, path: str) -> None:
+def write_json(spark: SparkSession, record: dict, path: str) -> None:
     """A small record of the driver."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(record, ensure_ascii=False, indent=2), encoding="utf-8")
+    write_text(spark, path, json.dumps(record, ensure_ascii=False, indent=2))

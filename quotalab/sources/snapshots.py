@@ -16,6 +16,21 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v") and done(s))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text of the driver in any file system that Spark knows, written anew."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(text.encode("utf-8"))
+    finally:
+        stream.close()
+
+
 def read_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The newest complete snapshot; an empty table before the first."""
     names = _names(spark, path)

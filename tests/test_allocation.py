@@ -148,10 +148,13 @@ def test_models_learn_from_all_months_with_all_indicators(spark, monkeypatch):
             return rows.withColumn("previsao", F.lit(0.0))
 
     folder = "/root/testdata/sf0.001"
-    monkeypatch.setitem(queries.MODELS, "ridge", Recorder)
-    pairs = queries.QUERIES["forecast_ridge"](spark, folder).count()
+    monkeypatch.setitem(queries.MODELS, "poisson", Recorder)
+    pairs = queries.QUERIES["forecast_poisson"](spark, folder).count()
     past = spark.read.parquet(f"{folder}/orders.parquet").join(spark.read.parquet(f"{folder}/lineitem.parquet"), F.col("o_orderkey") == F.col("l_orderkey"))
     assert seen["months"] == {r[0] for r in past.select(F.date_format("o_orderdate", "yyyy-MM")).distinct().collect()} and len(seen["months"]) > 19
+    given = queries.L.design(queries._history(spark, folder), queries._metrics(spark, folder))
+    assert set(given.months) == seen["months"] and {r[0] for r in given.rows.select("mes").distinct().collect()} == seen["months"]
+    assert queries.QUERIES["forecast_ridge"](spark, folder).count() == pairs
     units = queries.ledger(spark, folder).select("unidade").distinct().collect()
     assert {f"unit_{r[0]}" for r in units} | {f"mes_{m}" for m in range(1, 13)} <= set(seen["features"])
     assert pairs == queries.ledger(spark, folder).select("unidade", "produto", "categoria").distinct().count()

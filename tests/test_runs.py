@@ -3,6 +3,7 @@
 import csv
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import numpy as np
@@ -102,15 +103,25 @@ def test_poisson_and_boosted(spark):
     assert models.available(7) == ["baseline_mmp"] and models.available(8) == list(models.MODELS)
 
 
-def test_promotion_reasons_and_drift_status():
+def test_verdicts_and_drift_status(spark):
     base = {"mae": 1.2}
-    assert forecast.verdict({"mae": 1.0}, base, None) == (True, "venceu baseline (1.2000) e campeão")
-    assert forecast.verdict({"mae": 1.2}, base, None)[1].startswith("não venceu baseline (challenger=1.2000")
-    assert forecast.verdict({"mae": 1.0}, base, ("ridge", 0.9))[1].startswith("não venceu campeão atual")
-    assert forecast.verdict({"mae": None}, base, None)[0] is False
-    assert forecast.drift_status({"z": None, "recalibrar": False})["motivo"].startswith("histórico")
+    assert forecast.verdict(spark, {"mae": 1.0}, base, None) == (True, "mae=1.0000 base=1.2000 champion=-")
+    assert forecast.verdict(spark, {"mae": 1.2}, base, None) == (False, "mae=1.2000 base=1.2000 champion=-")
+    assert forecast.verdict(spark, {"mae": 1.0}, base, ("ridge", 0.9)) == (False, "mae=1.0000 base=1.2000 champion=0.9000")
+    assert forecast.verdict(spark, {"mae": 1.0}, base, ("ridge", None))[0] and not forecast.verdict(spark, {"mae": None}, base, None)[0]
+    assert forecast.drift_status({"z": None, "recalibrar": False, "n_erros": 4}) == {"recalibrar": False, "motivo": "errors=4 needed=5", "z_score": None, "media_recente": None, "media_historica": None}
     found = forecast.drift_status({"z": -2.51, "recalibrar": True, "media_recente": 1.0, "media_anterior": 2.0})
-    assert found == {"recalibrar": True, "z_score": -2.51, "media_recente": 1.0, "media_historica": 2.0, "motivo": "|z|=2.51 > 2.0"}
+    assert found == {"recalibrar": True, "z_score": -2.51, "media_recente": 1.0, "media_historica": 2.0, "motivo": "z=-2.51 limit=2.0"}
+
+
+def test_registry_keeps_the_rows_of_all_writers(spark, tmp_path):
+    path, error = str(tmp_path / "registry"), {"mae": 1.0, "rmse": None, "mape": 0.5, "n_obs": 3}
+    assert forecast.registry(spark, path).count() == 0 and forecast.champion(spark, path) is None
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: forecast.register(spark, path, f"m{k}", 9, error, k == 2, "x"), range(4)))
+    rows = forecast.registry(spark, path).orderBy("versao").collect()
+    assert [r["versao"] for r in rows] == ["v0001", "v0002", "v0003", "v0004"] and {r["modelo"] for r in rows} == {"m0", "m1", "m2", "m3"}
+    assert forecast.champion(spark, path) == ("m2", 1.0)
 
 
 def read(folder: Path) -> list[dict]:
@@ -138,7 +149,7 @@ def test_whole_run_from_a_csv_file(spark, ledger_csv, tmp_path):
     assert {r["modelo"] for r in tested} == {"baseline_mmp"} and {r["fold"] for r in tested} == {"3"}
     assert {r["fonte_demanda"] for r in read(out / "04_dominancia_ml")} == {"empirica"}
     assert len(read(out / "historico_mensal")) == 2400
-    registry = spark.read.parquet(*[str(p) for p in sorted((tmp_path / "data" / "model_registry").glob("v*"))[-1:]]).collect()
+    registry = forecast.registry(spark, str(tmp_path / "data" / "model_registry")).collect()
     assert [(r["versao"], r["modelo"], r["promovido"]) for r in registry] == [("v0001", "baseline_mmp", False)]
 
 
@@ -152,7 +163,7 @@ def test_forecast_run_with_learnt_models_and_without_folds(spark, tmp_path, monk
     dominancia = painel.select("unidade", "produto").distinct()
     made = forecast.run_forecast(spark, painel, metricas, dominancia, str(tmp_path / "a"))
     assert {x["modelo"] for x in made.backtest.select("modelo").distinct().collect()} == {"baseline_mmp", "ridge"}
-    registry = forecast.read_snapshot(spark, str(tmp_path / "a" / "model_registry"), forecast.REGISTRY).orderBy("versao").collect()
+    registry = forecast.registry(spark, str(tmp_path / "a" / "model_registry")).orderBy("versao").collect()
     assert [(x["versao"], x["modelo"]) for x in registry] == [("v0001", "baseline_mmp"), ("v0002", "ridge")] and all(x["notas"] for x in registry)
     assert made.campeao == ("ridge" if registry[1]["promovido"] else "baseline_mmp") and made.drift["motivo"]
     assert made.previsoes.where("previsao_substitui_c4 and confiabilidade = 'preliminar'").count() == 6 == made.dominancia_ml.where("fonte_demanda = 'ml_prevista'").count()

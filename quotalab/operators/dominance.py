@@ -40,7 +40,12 @@ def series(panel: DataFrame) -> DataFrame:
 
 def costs(panel: DataFrame, policies: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Quotas with c_<policy>, the cost of each month as an array."""
-    rows = quotas(policies, settings).join(series(panel), ["unidade", "produto"])
+    return costs_of(series(panel), policies, settings)
+
+
+def costs_of(demand: DataFrame, policies: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """costs() over demand(unidade, produto, s), any equally likely demands of a pair."""
+    rows = quotas(policies, settings).join(demand, ["unidade", "produto"])
     of = lambda quota: F.transform("s", lambda d: cost(d, F.col(quota), settings))
     return rows.withColumns({f"c_{p}": of(f"q_{p}") for p in POLICIES})
 

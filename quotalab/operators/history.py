@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ForecastSettings
+from ..config import ForecastSettings, Settings
 from ..functions.numbers import first_match
+from .dominance import COMPARED, POLICIES, costs_of, dominated, expected
 from .features import KEY, baseline, temporal
 
 HISTORY = ["unidade", "produto", "categoria", "mes", "consumo_total", "consumo_reg", "consumo_extra", "demanda_total"]
@@ -88,3 +89,31 @@ def closed_loop(dominance: DataFrame, forecasts: DataFrame) -> DataFrame:
     out = dominance.join(active, KEY, "left")
     source = F.when(F.col("demanda_prevista").isNotNull(), "ml_prevista").otherwise("empirica")
     return out.withColumns({"fonte_demanda": source, "confiabilidade_ml": F.coalesce("confiabilidade_ml", F.lit("insuficiente"))})
+
+
+def predicted_demand(forecasts: DataFrame, residuals: DataFrame, levels: int = 40) -> DataFrame:
+    """(unidade, produto, s): of each active forecast the equally likely demands that its residuals leave.
+
+    The levels are the middles of equal parts of the distribution of residuals(residuo), added to the forecast and cut at
+    0; without residuals the forecast itself.
+    """
+    at = F.array(*(F.lit((k + 0.5) / levels) for k in range(levels)))
+    steps = residuals.agg(F.coalesce(F.percentile("residuo", at), F.array(F.lit(0.0))).alias("steps"))  # one row
+    rows = forecasts.where("previsao_substitui_c4").crossJoin(F.broadcast(steps))
+    return rows.select(*KEY, F.transform("steps", lambda r: F.greatest(F.col("previsao") + r, F.lit(0.0))).alias("s"))
+
+
+def decided_again(dominance: DataFrame, forecasts: DataFrame, residuals: DataFrame, policies: DataFrame, settings: Settings = Settings(), mode: str = "reference", levels: int = 40) -> DataFrame:
+    """Dominance rows whose costs, preferred policy and comparisons come from the predicted demand where one is active.
+
+    fonte_demanda says which demand decides; politica_empirica keeps what the observed months prefer, and politica_mudou
+    whether the forecast changes it. Pairs without an active forecast, or whose predicted demand is all 0, keep their row.
+    """
+    names = [*(f"custo_esp_{p}" for p in POLICIES), "politica_preferida", *(n for n, _, _ in COMPARED)]
+    made = dominated(expected(costs_of(predicted_demand(forecasts, residuals, levels).where(F.exists("s", lambda d: d > 0)), policies, settings)), settings, mode)
+    made = made.select(*KEY, F.struct(*names).alias("novo"))
+    out = dominance.withColumn("politica_empirica", F.col("politica_preferida")).join(made, KEY, "left")
+    there = F.col("novo").isNotNull()
+    out = out.withColumns({n: F.when(there, F.col(f"novo.{n}")).otherwise(F.col(n)) for n in names})
+    changed = F.col("politica_preferida") != F.col("politica_empirica")
+    return out.withColumns({"fonte_demanda": F.when(there, "ml_prevista").otherwise("empirica"), "politica_mudou": changed}).drop("novo")

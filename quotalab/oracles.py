@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 _LEDGER = """
     pedidos as (
         select n_name as unidade, o_orderdate as data_solic, p_brand as produto,
@@ -330,6 +332,75 @@ _BODIES |= {
 }
 
 
+_ML = f"""{_COSTS},{_NEXT.removeprefix(_MONTHLY + ",")},
+    degraus as (select quantile_cont(consumo_total - previsao, [{', '.join(str((k + 0.5) / 40) for k in range(40))}]) as r from previstos where not is_future),
+    ativos as (
+        select unidade, produto, list_transform(r, lambda x: greatest(previsao + x, 0.0::double)) as s from previstos cross join degraus
+        where is_future and (select count(distinct mes) from historico) >= 8),
+    custos_ml as (
+        select q.*, {", ".join(f"{_COST('q_' + p)} as c_{p}" for p in ("atual", "conservadora", "buffer"))}
+        from quotas q join (select unidade, produto, unnest(s) as v from ativos where list_max(s) > 0) using (unidade, produto))"""
+
+
+def _wide_ssd(source: str, to: str) -> str:
+    """Tables that end in the one named to: the three comparisons of the costs in source, cumulated on a grid."""
+    both = " union all ".join(f"select unidade, produto, categoria, '{n}' as par, c_{a} as a, c_{b} as b from {source}" for n, a, b in _PAIRS)
+    return f"""
+    {to}_ab as ({both}),
+    {to}_lim as (select unidade, produto, categoria, par, least(min(a), min(b)) as lo, greatest(max(a), max(b)) as hi from {to}_ab group by all),
+    {to}_grade as (select l.*, i::int as i, case when i = 199 then hi else i * ((hi - lo) / 199) + lo end as z from {to}_lim l cross join range(200) g(i)),
+    {to}_freq as (
+        select unidade, produto, categoria, par, lo, hi, i, count(*) filter (where a <= z) as na, count(*) filter (where b <= z) as nb from {to}_grade join {to}_ab using (unidade, produto, categoria, par) group by all),
+    {to}_acum as (select *, sum(na) over w as ca, sum(nb) over w as cb from {to}_freq window w as (partition by unidade, produto, categoria, par order by i rows unbounded preceding)),
+    {to}_res as (
+        select unidade, produto, categoria, par, case when lo = hi then 'nenhuma' when bool_or(ca < cb) and not bool_or(ca > cb) then 'A' when bool_or(ca > cb) and not bool_or(ca < cb) then 'B' else 'nenhuma' end as r
+        from {to}_acum group by unidade, produto, categoria, par, lo, hi),
+    {to} as (select unidade, produto, categoria, {_WIDE} from {to}_res group by all)"""
+
+
+def _wide_cheaper(source: str, to: str) -> str:
+    """The same by the mean cost beyond every level."""
+    both = " union all ".join(f"select unidade, produto, categoria, '{n}' as par, c_{a} as a, c_{b} as b from {source}" for n, a, b in _PAIRS)
+    return f"""
+    {to}_ab as ({both}),
+    {to}_z as (select distinct unidade, produto, categoria, par, a as z from {to}_ab union select distinct unidade, produto, categoria, par, b from {to}_ab),
+    {to}_exc as (
+        select unidade, produto, categoria, par, z, round(sum(greatest(a - z, 0.0::double)), 9) as ea, round(sum(greatest(b - z, 0.0::double)), 9) as eb
+        from {to}_z join {to}_ab using (unidade, produto, categoria, par) group by all),
+    {to}_res as (
+        select unidade, produto, categoria, par, case when bool_or(ea < eb) and not bool_or(ea > eb) then 'A' when bool_or(ea > eb) and not bool_or(ea < eb) then 'B' else 'nenhuma' end as r
+        from {to}_exc group by unidade, produto, categoria, par),
+    {to} as (select unidade, produto, categoria, {_WIDE} from {to}_res group by all)"""
+
+
+def _decided(wide: Callable[[str, str], str]) -> tuple[str, str]:
+    """The observed costs' comparison and the predicted ones', which replaces it."""
+    pref = "case when round(ca, 9) <= round(cc, 9) and round(ca, 9) <= round(cb, 9) then 'atual' when round(cc, 9) <= round(cb, 9) then 'conservadora' else 'com_buffer' end"
+    means = "select unidade, produto, avg(c_atual) as ca, avg(c_conservadora) as cc, avg(c_buffer) as cb from custos_ml group by all"
+    names = ", ".join(f"coalesce(n.{x}, o.{x}) as {x}" for x, _, _ in _PAIRS)
+    costs = ", ".join(f"round(coalesce(e.{a}, p.custo_esp_{b}), 6) as custo_esp_{b}" for a, b in (("ca", "atual"), ("cc", "conservadora"), ("cb", "buffer")))
+    body = f"""select p.unidade, p.produto, p.categoria, {costs}, coalesce(e.pref, p.politica_preferida) as politica_preferida, p.politica_preferida as politica_empirica,
+            coalesce(e.pref, p.politica_preferida) <> p.politica_preferida as politica_mudou, case when e.unidade is not null then 'ml_prevista' else 'empirica' end as fonte_demanda, {names}
+        from preferidas p join observado o using (unidade, produto, categoria) left join esp_ml e on p.unidade = e.unidade and p.produto = e.produto
+            left join previsto n on p.unidade = n.unidade and p.produto = n.produto"""
+    return f"{_ML},{wide('custos', 'observado')},{wide('custos_ml', 'previsto')},\n    esp_ml as (select *, {pref} as pref from ({means}))", body
+
+
+_RULES = {
+    "chave_completa": "unidade is null or produto is null or data_solic is null", "status_conhecido": "status not in ('Pendente', 'Aprovado', 'Aguardando Gerente', 'Finalizado', 'Recebimento Confirmado', 'Rejeitado', 'Enviada')",
+    "categoria_conhecida": "not regexp_full_match(categoria, 'CATEGORIA_[A-Z]')", "qtd_solic_nao_negativa": "qtd_solic < 0", "qtd_env_nao_negativa": "qtd_env < 0", "qtd_rec_nao_negativa": "qtd_rec < 0",
+    "envio_ate_solicitado": "qtd_env > qtd_solic", "pedido_unico": "count(*) over (partition by unidade, produto, data_solic, pedido_extra, status) > 1",
+    "uma_categoria_por_produto": "min(categoria) over (partition by produto) <> max(categoria) over (partition by produto)",
+    "um_status_por_dia": "min(status) over (partition by unidade, produto, data_solic) <> max(status) over (partition by unidade, produto, data_solic)",
+}
+_BROKEN = f"""{_LEDGER},
+    quebras as (select unidade, qtd_solic, unnest([{", ".join(f"{{'regra': '{name}', 'quebra': {test}}}" for name, test in _RULES.items())}], recursive := true) from pedidos)"""
+_BODIES |= {
+    "close_cycle_decided": _decided(_wide_ssd),
+    "close_cycle_decided_cost_mode": _decided(_wide_cheaper),
+    "ledger_rules": (_BROKEN, "select regra, count(*) as n_linhas, count(*) filter (where quebra) as n_violacoes, count(*) filter (where quebra) = 0 as valida from quebras group by regra"),
+    "ledger_offending": (_BROKEN, "select unidade, regra, count(*) as n, sum(qtd_solic) as qtd_solic from quebras where quebra group by unidade, regra"),
+}
 _FEATURES = [
     *(f"lag_{i}" for i in range(1, 5)), "media_3m", "std_3m", "trend_idx", "mes_num", *(f"cat_CATEGORIA_{c}" for c in "ABC"), *(f"mes_{m}" for m in range(1, 13)),
     "consumo_medio_hist", "cv_hist", *(f"regime_{r}" for r in ("X_regular", "Y_moderado", "Z_erratico", "baixa_rotatividade")),

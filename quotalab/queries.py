@@ -17,6 +17,7 @@ from .operators import history as H
 from .operators import orders as O
 from .operators import panel as P
 from .operators import policy as Q
+from .operators import rules as R
 from .operators.intervals import seeded_interval
 from .oracles import ORACLES as ORACLES
 from .plans import linear as L
@@ -287,6 +288,38 @@ def close_cycle(spark, folder):
     return rounded(out.select(*P.PAIR, "politica_preferida", "demanda_prevista", "fonte_demanda", "confiabilidade_ml", "modelo_ml"))
 
 
+def _decided_again(spark, folder, mode):
+    panel, policies = _panel(spark, folder), _policies(spark, folder)
+    empirical = D.dominated(D.expected(D.costs(panel, policies, SETTINGS)), SETTINGS, mode)
+    trusted = X.gate_table(_history(spark, folder)).select("confiabilidade")
+    made = _future(spark, folder).withColumn("previsao", X.baseline())
+    residuals = made.where(~F.col("is_future")).select((F.col("consumo_total") - F.col("previsao")).alias("residuo"))
+    active = made.where("is_future").crossJoin(F.broadcast(trusted)).withColumn("previsao_substitui_c4", F.col("confiabilidade") != "insuficiente")  # one row
+    out = H.decided_again(empirical, active, residuals, policies, SETTINGS, mode)
+    return rounded(out.select(*P.PAIR, *(f"custo_esp_{p}" for p in D.POLICIES), "politica_preferida", "politica_empirica", "politica_mudou", "fonte_demanda", *(n for n, _, _ in D.COMPARED)))
+
+
+def close_cycle_decided(spark, folder):
+    """Costs, preference and dominance of all pairs with the predicted demand instead of the observed one."""
+    return _decided_again(spark, folder, "reference")
+
+
+def close_cycle_decided_cost_mode(spark, folder):
+    """The same, by the mean cost beyond every level."""
+    return _decided_again(spark, folder, "cost")
+
+
+def ledger_rules(spark, folder):
+    """The ledger's declared constraints, a row for each."""
+    return R.judged(ledger(spark, folder), R.order_rules(SETTINGS))
+
+
+def ledger_offending(spark, folder):
+    """Of the orders that break a constraint how many break which, by unit."""
+    _, broken = R.parted(ledger(spark, folder), R.order_rules(SETTINGS))
+    return broken.select("unidade", "qtd_solic", F.explode("regras").alias("regra")).groupBy("unidade", "regra").agg(F.count("*").alias("n"), F.sum("qtd_solic").alias("qtd_solic"))
+
+
 def pareto_units(spark, folder):
     """Units by orders, most first, with the running share."""
     from pyspark.sql import Window
@@ -431,6 +464,7 @@ QUERIES: dict[str, Query] = {
         pair_metrics, pair_dispersion, xyz_class, xyz_distribution, wma_projection, k_buffer, quota_policies, marginal_need, suggested_action, action_distribution,
         policy_costs, expected_cost, preferred_policy, preferred_distribution, cost_cdf_grid, ssd_reference, ssd_cost_mode, bootstrap_seeded_costs,
         ssd_seeded, ssd_seeded_cost_mode, forecast_interval_seeded, walk_forward_ridge, walk_forward_ridge_as_of, ridge_normal_equations, metrics_as_of, forecast_ridge,
+        close_cycle_decided, close_cycle_decided_cost_mode, ledger_rules, ledger_offending,
         month_gate, feat_lags, feat_rolling, feat_trend_month, feat_regime, feat_onehot, feat_next_period, forecast_baseline, forecast_interval_exact,
         history_upsert, walk_forward_baseline, backtest_metrics, drift_zscore_rows, drift_zscore_months, registry_promotion, close_cycle, pareto_units, calibration_report,
         ledger_from_text, ledger_summary, audit_counts, history_months, forecast_reliability, champion_row, backtest_union, synthetic_network, synthetic_orders,

@@ -4,18 +4,30 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of its own only where none is set and all tasks are local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a folder of its own only where none is set and all tasks are local."""
+    """df.checkpoint() in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-shared-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint()

@@ -386,6 +386,28 @@ def _decided(wide: Callable[[str, str], str]) -> tuple[str, str]:
     return f"{_ML},{wide('custos', 'observado')},{wide('custos_ml', 'previsto')},\n    esp_ml as (select *, {pref} as pref from ({means}))", body
 
 
+_STREAMED = """
+    e as (
+        select 'baseline_mmp' as modelo, fold, unidade, produto, abs(v - greatest(s, 0.0::double)) as v from soma union all
+        select 'baseline_media', fold, unidade, produto, abs(v - greatest(case when parte > 0 then s / parte else 0.0::double end, 0.0::double)) from soma),
+    o as (select *, row_number() over (partition by modelo order by fold desc, unidade desc, produto desc) as ordem from e),
+    j as (
+        select modelo, count(*) as n_erros, avg(v) filter (where ordem <= 3) as media_recente, avg(v) filter (where ordem > 3) as media_anterior, stddev_pop(v) filter (where ordem > 3) as desvio from o group by modelo),
+    z as (select *, (media_recente - media_anterior) / (desvio + 1e-9::double) as z from j)"""
+_BODIES |= {
+    "drift_streamed": (
+        _BODIES["backtest_union"][0].partition("    ambos as")[0].replace("select *, 0.1", "select *, consumo_total as v, 0.1").rstrip() + _STREAMED,
+        f"select modelo, n_erros, {_round('media_recente', 'media_anterior', 'z')}, abs(z) > 2.0::double as recalibrar from z",
+    ),
+    # one standardised feature: the coefficient is its covariance with the target times n over n + penalty
+    "ridge_estimator": (
+        f"""{_NEXT},
+    t as (
+        select avg(lag_1) as x, stddev_pop(lag_1) as d, avg(greatest(consumo_total, 0.0::double)) as y, covar_pop(lag_1, greatest(consumo_total, 0.0::double)) as c, count(*)::double as n
+        from futuro where not is_future)""",
+        "select unidade, produto, mes as mes_previsao, round(greatest(y + c / d * n / (n + 10.0::double) * (lag_1 - x) / d, 0.0::double), 6) as previsao from futuro cross join t where is_future",
+    ),
+}
 _RULES = {
     "chave_completa": "unidade is null or produto is null or data_solic is null", "status_conhecido": "status not in ('Pendente', 'Aprovado', 'Aguardando Gerente', 'Finalizado', 'Recebimento Confirmado', 'Rejeitado', 'Enviada')",
     "categoria_conhecida": "not regexp_full_match(categoria, 'CATEGORIA_[A-Z]')", "qtd_solic_nao_negativa": "qtd_solic < 0", "qtd_env_nao_negativa": "qtd_env < 0", "qtd_rec_nao_negativa": "qtd_rec < 0",

@@ -108,11 +108,11 @@ class Ridge(_Learnt):
 
     name = "ridge"
 
-    def __init__(self, settings: ForecastSettings = ForecastSettings()) -> None:
-        self.alphas = settings.alphas
+    def __init__(self, settings: ForecastSettings = ForecastSettings(), order: tuple[str, ...] = ("unidade", "produto", "mes")) -> None:
+        self.alphas, self.order = settings.alphas, list(order)
 
     def fit(self, rows: DataFrame, features: list[str]) -> Ridge:
-        order = ["unidade", "produto", "mes"]
+        order = self.order
         rows = self._target(rows).select(*order, or_zero(F.col("y")).alias("y"), *(F.nanvl(or_zero(F.col(f).cast("double")), F.lit(0.0)).alias(f) for f in features))
         stats = rows.agg(F.count("*"), *(F.avg(f) for f in features), *(F.stddev_pop(f) for f in features)).first()
         n, d = stats[0], len(features)

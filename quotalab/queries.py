@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions.numbers import round_even
-from .functions.shared import checkpointed
+from .functions.shared import checkpointed, new_folder
 from .functions.text import next_month
 from .operators import dominance as D
 from .operators import features as X
@@ -22,10 +24,12 @@ from .operators.intervals import seeded_interval
 from .oracles import ORACLES as ORACLES
 from .plans import linear as L
 from .plans.allocation import layers
+from .plans.estimator import PanelRidge
 from .plans.forecast import feature_table
 from .plans.models import MODELS
 from .sources.synthetic import calibration, pairs, synthetic_ledger
 from .sources.warehouse import MONTHS, ledger
+from .streaming.drift import drift_of, follow_errors
 
 SETTINGS = Settings(months=MONTHS)
 CATEGORIES = ["CATEGORIA_A", "CATEGORIA_B", "CATEGORIA_C"]
@@ -268,6 +272,29 @@ def drift_zscore_months(spark, folder):
     return rounded(H.drift(months, ["mes_test"], value="mae"))
 
 
+def drift_streamed(spark, folder):
+    """The errors of three model names, streamed fold by fold into drift states, a third of the months at a time."""
+    errors = H.walk_forward(_history(spark, folder)).select(F.lit("baseline_mmp").alias("modelo"), "fold", "unidade", "produto", "abs_error")
+    other = H.walk_forward(_history(spark, folder), short_history="mean").select(F.lit("baseline_media").alias("modelo"), "fold", "unidade", "produto", "abs_error")
+    source, path, checkpoint = (new_folder(spark, name) for name in ("errors", "drift", "drift-log"))
+    rows = checkpointed(errors.unionByName(other))
+    for k in range(3):  # folds come out of order
+        rows.where(F.col("fold") % 3 == k).write.parquet(f"{source}/f{k}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{source}/*")
+    follow_errors(stream, path, checkpoint).awaitTermination()
+    return rounded(drift_of(spark, path))
+
+
+def ridge_estimator(spark, folder):
+    """The next month by a pipeline of one feature and one penalty, fitted, saved, loaded and applied."""
+    rows = checkpointed(_future(spark, folder).withColumn("label", F.greatest("consumo_total", F.lit(0.0))))
+    stages = [VectorAssembler(inputCols=["lag_1"], outputCol="features"), PanelRidge(alphas=[10.0], predictionCol="previsao")]
+    path = new_folder(spark, "pipeline-model")
+    Pipeline(stages=stages).fit(rows.where(~F.col("is_future"))).write().save(path)
+    made = PipelineModel.load(path).transform(rows.where("is_future"))
+    return rounded(made.select(*X.KEY, F.col("mes").alias("mes_previsao"), "previsao"))
+
+
 def registry_promotion(spark, folder):
     """Each month of the backtest as a challenger against the month before as baseline and the best so far as champion."""
     months = H.error_metrics(H.walk_forward(_history(spark, folder)), "fold")
@@ -464,7 +491,7 @@ QUERIES: dict[str, Query] = {
         pair_metrics, pair_dispersion, xyz_class, xyz_distribution, wma_projection, k_buffer, quota_policies, marginal_need, suggested_action, action_distribution,
         policy_costs, expected_cost, preferred_policy, preferred_distribution, cost_cdf_grid, ssd_reference, ssd_cost_mode, bootstrap_seeded_costs,
         ssd_seeded, ssd_seeded_cost_mode, forecast_interval_seeded, walk_forward_ridge, walk_forward_ridge_as_of, ridge_normal_equations, metrics_as_of, forecast_ridge,
-        close_cycle_decided, close_cycle_decided_cost_mode, ledger_rules, ledger_offending,
+        close_cycle_decided, close_cycle_decided_cost_mode, ledger_rules, ledger_offending, drift_streamed, ridge_estimator,
         month_gate, feat_lags, feat_rolling, feat_trend_month, feat_regime, feat_onehot, feat_next_period, forecast_baseline, forecast_interval_exact,
         history_upsert, walk_forward_baseline, backtest_metrics, drift_zscore_rows, drift_zscore_months, registry_promotion, close_cycle, pareto_units, calibration_report,
         ledger_from_text, ledger_summary, audit_counts, history_months, forecast_reliability, champion_row, backtest_union, synthetic_network, synthetic_orders,

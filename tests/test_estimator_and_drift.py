@@ -48,7 +48,7 @@ def test_estimator_in_cross_validation(spark):
 
 def test_drift_states_equal_the_batch_rows(spark, tmp_path):
     r = random.Random(7)
-    rows = [("m", f, f"u{u}", f"p{p}", abs(r.gauss(3, 1)) + (f > 8) * 4) for f in range(3, 12) for u in range(6) for p in range(5)]
+    rows = [("m", f, f"u{u}", f"p{p}", abs(r.gauss(3, 1)) + (f == 11 and u == 5) * 40) for f in range(3, 12) for u in range(6) for p in range(5)]
     rows += [("few", 3, "u0", f"p{p}", 1.0 + p) for p in range(4)] + [("five", 3, "u0", f"p{p}", 1.0 + p) for p in range(5)] + [("m", 4, "u0", "px", None)]
     schema = "modelo string, fold int, unidade string, produto string, abs_error double"
     source, path = tmp_path / "in", str(tmp_path / "state")

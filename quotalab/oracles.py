@@ -420,6 +420,10 @@ _BROKEN = f"""{_LEDGER},
 _BODIES |= {
     "close_cycle_decided": _decided(_wide_ssd),
     "close_cycle_decided_cost_mode": _decided(_wide_cheaper),
+    "ledger_from_html": (
+        _LEDGER,
+        "select unidade, categoria, mes, status, count(*) as n, sum(qtd_solic) as qtd_solic, sum(trunc(qtd_env)) as qtd_env, sum(trunc(qtd_rec)) as qtd_rec, count(*) filter (where pedido_extra) as n_extra from pedidos group by all",
+    ),
     "ledger_rules": (_BROKEN, "select regra, count(*) as n_linhas, count(*) filter (where quebra) as n_violacoes, count(*) filter (where quebra) = 0 as valida from quebras group by regra"),
     "ledger_offending": (_BROKEN, "select unidade, regra, count(*) as n, sum(qtd_solic) as qtd_solic from quebras where quebra group by unidade, regra"),
 }

@@ -27,6 +27,8 @@ from .plans.allocation import layers
 from .plans.estimator import PanelRidge
 from .plans.forecast import feature_table
 from .plans.models import MODELS
+from .sources.html_source import read_tables, write_tables
+from .sources.ledger import COLUMNS
 from .sources.synthetic import calibration, pairs, synthetic_ledger
 from .sources.warehouse import MONTHS, ledger
 from .streaming.drift import drift_of, follow_errors
@@ -336,6 +338,19 @@ def close_cycle_decided_cost_mode(spark, folder):
     return _decided_again(spark, folder, "cost")
 
 
+def ledger_from_html(spark, folder):
+    """The ledger written as HTML tables and read back through the data source, as orders."""
+    rows = ledger(spark, folder)
+    spelt = rows.select(
+        "unidade", F.date_format("data_solic", "yyyy-MM-dd").alias("data_solic"), "produto", "categoria", *(F.col(q).cast("long").cast("string").alias(q) for q in ("qtd_solic", "qtd_env", "qtd_rec")),
+        "status", F.when(F.col("pedido_extra"), "Sim").otherwise("Não").alias("pedido_extra"), F.lit(None).cast("string").alias("mes_ref"),
+    )
+    path = new_folder(spark, "tables")
+    write_tables(spelt, path)
+    orders = O.normalised(read_tables(spark, path).select(COLUMNS))
+    return orders.groupBy("unidade", "categoria", "mes", "status").agg(F.count("*").alias("n"), *(F.sum(q).alias(q) for q in ("qtd_solic", "qtd_env", "qtd_rec")), F.count_if("pedido_extra").alias("n_extra"))
+
+
 def ledger_rules(spark, folder):
     """The ledger's declared constraints, a row for each."""
     return R.judged(ledger(spark, folder), R.order_rules(SETTINGS))
@@ -491,7 +506,7 @@ QUERIES: dict[str, Query] = {
         pair_metrics, pair_dispersion, xyz_class, xyz_distribution, wma_projection, k_buffer, quota_policies, marginal_need, suggested_action, action_distribution,
         policy_costs, expected_cost, preferred_policy, preferred_distribution, cost_cdf_grid, ssd_reference, ssd_cost_mode, bootstrap_seeded_costs,
         ssd_seeded, ssd_seeded_cost_mode, forecast_interval_seeded, walk_forward_ridge, walk_forward_ridge_as_of, ridge_normal_equations, metrics_as_of, forecast_ridge,
-        close_cycle_decided, close_cycle_decided_cost_mode, ledger_rules, ledger_offending, drift_streamed, ridge_estimator,
+        close_cycle_decided, close_cycle_decided_cost_mode, ledger_rules, ledger_offending, ledger_from_html, drift_streamed, ridge_estimator,
         month_gate, feat_lags, feat_rolling, feat_trend_month, feat_regime, feat_onehot, feat_next_period, forecast_baseline, forecast_interval_exact,
         history_upsert, walk_forward_baseline, backtest_metrics, drift_zscore_rows, drift_zscore_months, registry_promotion, close_cycle, pareto_units, calibration_report,
         ledger_from_text, ledger_summary, audit_counts, history_months, forecast_reliability, champion_row, backtest_union, synthetic_network, synthetic_orders,

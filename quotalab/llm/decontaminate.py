@@ -13,6 +13,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -159,16 +160,23 @@ def _scan(a: Automaton, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray
     return hit, {r: ids for r, ids in found.items() if ids}
 
 
-def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The items in blocks of at most limit words (one item at least), never all at once on the driver."""
+def _pieces(h: np.ndarray, window: int, limit: int) -> Iterator[np.ndarray]:
+    """The words of an item in pieces of at most limit words (two windows at least): each window is whole in one of them."""
+    limit = max(limit, 2 * window)
+    for at in range(0, max(len(h) - window + 1, 1), limit - window + 1):
+        yield h[at : at + limit]
+
+
+def _blocks(items: DataFrame, window: int, limit: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The items in blocks of at most limit words, never all at once on the driver; a longer item goes in pieces."""
     block, size = [], 0
     for r in items.toLocalIterator(prefetchPartitions=False):
-        h = lower_words(pa.array([r["text"]], pa.string()), ALNUM_WORDS).hash
-        if block and size + len(h) > limit:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], h))
-        size += len(h)
+        for h in _pieces(lower_words(pa.array([r["text"]], pa.string()), ALNUM_WORDS).hash, window, limit):
+            if block and size + len(h) > limit:
+                yield block
+                block, size = [], 0
+            block.append((r["item_id"], h))
+            size += len(h)
     yield block
 
 
@@ -176,7 +184,8 @@ def _parse(schema: str) -> StructType:
     return StructType.fromDDL(schema)
 
 
-def _match(spark: SparkSession, texts: DataFrame, block: list, window: int, keep: bool) -> DataFrame:
+def _match(spark: SparkSession, texts: DataFrame, block: list, window: int, keep: bool) -> tuple[DataFrame, Broadcast]:
+    """(texts with what the block's items match, the broadcast automaton that this rests on)."""
     shared = spark.sparkContext.broadcast(build(block, window))  # bounded by BLOCK_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +215,8 @@ def _match(spark: SparkSession, texts: DataFrame, block: list, window: int, keep
                 )
 
     own = [f for f in texts.schema if keep or f.name != "text"]
-    return texts.mapInArrow(tidy(run), StructType([*own, *_parse("n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, items array<long>")]))
+    kinds = _parse("n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, items array<long>")
+    return texts.mapInArrow(tidy(run), StructType([*own, *kinds])), shared
 
 
 def contamination(
@@ -228,15 +238,18 @@ def _contamination(texts: DataFrame, items: DataFrame, item_col: str, item_text_
     """texts(doc_id, text, ...): further columns come through."""
     small_batches(texts.sparkSession)
     rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks = _blocks(rows, block_words)
+    blocks = _blocks(rows, window, block_words)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        return _match(texts.sparkSession, texts, first, window, keep_text)
+        return _match(texts.sparkSession, texts, first, window, keep_text)[0]
     # ids may be null or repeat: a saved key tells the rows apart
     keyed = saved(texts.withColumn("__row", F.monotonically_increasing_id()), "texts")
     union = None
     for block in chain((first, second), blocks):
-        part = _match(texts.sparkSession, keyed.select("__row", "text"), block, window, False)
+        # each block's result is written, so that one automaton at a time is held
+        part, shared = _match(texts.sparkSession, keyed.select("__row", "text"), block, window, False)
+        part = saved(part, "matches")
+        shared.destroy()
         union = part if union is None else union.unionByName(part)
     found = union.groupBy("__row").agg(
         F.first("n_words").alias("n_words"), joined_spans(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")

@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quotalab.llm import anchored, suffix_dedup
+from quotalab.llm import anchored, decontaminate, suffix_dedup
 from quotalab.llm.anchored import keyed
 from quotalab.llm.decontaminate import contamination, decontaminated, judged
 from quotalab.llm.minhash_dedup import near_duplicates, without_copies
@@ -92,8 +93,6 @@ def test_candidates_are_counted(spark):
 
 
 def test_long_texts_go_by_chunks():
-    import numpy as np
-
     from quotalab.llm import suffix_dedup as S
 
     r = np.random.default_rng(2)
@@ -251,6 +250,17 @@ def test_contamination_equals_brute_force(spark):
     assert {x["doc_id"] for x in clean.collect()} == {i for i, (n, h, _) in want.items() if not (h and 20 * h >= n)}
 
 
+def test_long_items_go_in_pieces(spark):
+    r = random.Random(21)
+    words = [f"v{r.randrange(60)}" for _ in range(700)]  # one item of 27 blocks, with words that repeat
+    items = [(1, " ".join(words)), (1, "v1 v2"), (2, " ".join(words[300:340])), (3, " ".join(words[:13]))]
+    texts = [(k, " ".join([*(f"n{r.randrange(10**6)}" for _ in range(9)), *words[at : at + n], "tail"])) for k, (at, n) in enumerate((a, n) for a in range(0, 690, 23) for n in (12, 13, 30))]
+    docs, table = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda block: {x["doc_id"]: (x["n_words"], x["n_hit"], list(x["items"])) for x in judged(contamination(docs, table, block_words=block)).collect()}
+    whole = plain(500_000)
+    assert plain(26) == whole and sum(1 in i for _, _, i in whole.values()) > 40 and {len(p) for p in decontaminate._pieces(np.arange(700), 13, 26)} <= {26, *range(13, 26)}
+
+
 def test_contamination_is_the_same_with_many_blocks(spark):
     r = random.Random(8)
     words = [f"v{k}" for k in range(400)]

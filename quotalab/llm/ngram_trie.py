@@ -37,6 +37,8 @@ HELD = 3_000_000  # counted rows that a task holds before it sends them on
 #: spark.sql.shuffle.partitions, and at most as 16 bits can name.
 SHARD_TOKENS = 4_000_000
 MOST_SHARDS = 65_535
+#: Shards whose levels a worker keeps mapped, some ten mappings each.
+MOST_OPEN = 1024
 
 _open: dict[str, Trie] = {}
 
@@ -184,7 +186,10 @@ class Trie:
         return (counts + ALPHA) / (self.tokens + ALPHA * (self.size + 1))
 
     def pairs(self, shard: int) -> dict | None:
+        """The levels of a shard; look-ups come by shard, and beyond MOST_OPEN of them the first one that was opened is let go."""
         if shard not in self._pairs:
+            while len(self._pairs) >= MOST_OPEN:
+                del self._pairs[next(iter(self._pairs))]
             try:
                 found = read_arrays(f"{self.folder}/pairs-{shard}")
             except FileNotFoundError:  # no context fell to this shard

@@ -247,6 +247,23 @@ def test_trie_equals_counts(spark, texts):
     assert ngram_trie.score_texts(docs.limit(0)).count() == 0
 
 
+def test_shards_are_let_go(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    texts = [(k, " ".join(f"w{r.randrange(300)}" for _ in range(60))) for k in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    plain = lambda: sorted(map(str, ngram_trie.score_texts(docs).collect()))
+    monkeypatch.setattr(ngram_trie, "SHARD_TOKENS", 100)
+    want = plain()
+    opened = []
+    monkeypatch.setattr(ngram_trie, "read_arrays", lambda path, read=ngram_trie.read_arrays: opened.append(path) or read(path))
+    trie = ngram_trie.Trie.__new__(ngram_trie.Trie)
+    trie.folder, trie._pairs = str(tmp_path), {}
+    monkeypatch.setattr(ngram_trie, "MOST_OPEN", 3)
+    for shard in (0, 1, 2, 3, 3, 0):
+        assert trie.pairs(shard) is None and len(trie._pairs) <= 3
+    assert len(opened) == 5 and plain() == want
+
+
 def test_grams_of_many_distinct_words(spark):
     import pyarrow as pa
 

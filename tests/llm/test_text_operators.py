@@ -125,6 +125,80 @@ def test_scores_are_sums_of_table_entries(spark):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
 
 
+def plain_fit(x, y, rounds, pair_rounds):
+    """Cyclic boosting row by row: every cut of every leaf is tried on the rows themselves."""
+    G = quality_gam
+    n, count = len(y), len(x[0])
+    bins_of = lambda cuts, v: sum(v >= c for c in cuts)
+    cuts = [sorted(set(np.quantile([r[k] for r in x], [q / G.BINS for q in range(1, G.BINS)]))) for k in range(count)]
+    coarse = [sorted(set(np.quantile([r[k] for r in x], [q / G.PAIR_BINS for q in range(1, G.PAIR_BINS)]))) for k in range(count)]
+    share = (sum(y) + 0.5) / (n + 1)
+    total = [math.log(share / (1 - share))] * n
+    tables = [[0.0] * (len(c) + 1) for c in cuts]
+
+    def slopes():
+        p = [1 / (1 + math.exp(-t)) for t in total]
+        return [a - b for a, b in zip(y, p, strict=True)], [b * (1 - b) for b in p]
+
+    def score(rows, g, h):
+        return sum(g[r] for r in rows) ** 2 / (sum(h[r] for r in rows) + G.SHRINK)
+
+    value = lambda rows, g, h: sum(g[r] for r in rows) / (sum(h[r] for r in rows) + G.SHRINK)
+    for _ in range(rounds):
+        for k in range(count):
+            g, h = slopes()
+            own = [bins_of(cuts[k], r[k]) for r in x]
+            bounds = [0, len(tables[k])]
+            while len(bounds) <= G.LEAVES:
+                gains = []
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    inside = lambda lo, hi: [r for r in range(n) if lo <= own[r] < hi]  # noqa: B023, E731
+                    gains += [(score(inside(a, m), g, h) + score(inside(m, b), g, h) - score(inside(a, b), g, h), m) for m in range(a + 1, b)]
+                if not gains or max(gains)[0] <= 1e-9:
+                    break
+                bounds = sorted([*bounds, max(gains)[1]])
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                step = G.RATE * value([r for r in range(n) if a <= own[r] < b], g, h)
+                tables[k][a:b] = [t + step for t in tables[k][a:b]]
+            total[:] = [math.log(share / (1 - share)) + sum(tables[f][bins_of(cuts[f], r[f])] for f in range(count)) for r in x]
+
+    def best_pair(i, j, g, h):
+        a, b = [bins_of(coarse[i], r[i]) for r in x], [bins_of(coarse[j], r[j]) for r in x]
+        out = []
+        for m in range(1, len(coarse[i]) + 1):
+            for q in range(1, len(coarse[j]) + 1):
+                sides = [[r for r in range(n) if (a[r] < m) == u and (b[r] < q) == v] for u in (True, False) for v in (True, False)]
+                out.append((sum(score(s, g, h) for s in sides) - score(range(n), g, h), -m, -q, [value(s, g, h) for s in sides]))
+        return max(out)
+
+    g, h = slopes()
+    chosen = sorted((-best_pair(i, j, g, h)[0], i, j) for i in range(count) for j in range(i))[: G.PAIRS]
+    grids = {(i, j): np.zeros((len(coarse[i]) + 1, len(coarse[j]) + 1)) for gain, i, j in chosen if gain < 0}
+    for _ in range(pair_rounds):
+        for (i, j), grid in grids.items():
+            _, m, q, steps = best_pair(i, j, *slopes())
+            add = np.zeros_like(grid)
+            for (u, v), s in zip([(u, v) for u in (True, False) for v in (True, False)], steps, strict=True):
+                add[slice(0, -m) if u else slice(-m, None), slice(0, -q) if v else slice(-q, None)] = G.RATE * s
+            grid += add
+            total[:] = [t + add[bins_of(coarse[i], r[i]), bins_of(coarse[j], r[j])] for t, r in zip(total, x, strict=True)]
+    return tables, grids
+
+
+def test_fit_equals_row_by_row_boosting(monkeypatch):
+    monkeypatch.setattr(quality_gam, "ROUNDS", 3)
+    monkeypatch.setattr(quality_gam, "PAIR_ROUNDS", 2)
+    monkeypatch.setattr(quality_gam, "BINS", 8)
+    monkeypatch.setattr(quality_gam, "PAIR_BINS", 4)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(70, 3))
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + r.normal(size=70) / 2) > 0).astype(float)
+    model = quality_gam.fit(x, y)
+    tables, grids = plain_fit(x.tolist(), y.tolist(), 3, 2)
+    assert all(np.allclose(a, b) for a, b in zip(model.tables, tables, strict=True))
+    assert [(i, j) for i, j, *_ in model.pairs] == list(grids) and all(np.allclose(t, grids[i, j]) for i, j, _, _, t in model.pairs)
+
+
 def test_learning_never_sees_held_out_labels(spark):
     docs = spark.createDataFrame([(k, " ".join(["word"] * (k % 9 + 1)), "y", 0) for k in range(200)], "doc_id long, text string, quality string, x int")
     kept = [(k, k % 2) for k in range(200)]

@@ -183,7 +183,8 @@ def bootstrap_seeded_costs(spark, folder):
 
 
 def _drawn(spark, folder, mode):
-    out = D.drawn_dominance(D.drawn(_costs(spark, folder), SETTINGS), SETTINGS, mode)
+    rows = checkpointed(_costs(spark, folder))  # read twice
+    out = D.drawn_dominance(D.drawn(rows, SETTINGS), SETTINGS, mode)
     return rounded(out.select(*P.PAIR, *(f"custo_esp_{p}" for p in D.POLICIES), "politica_preferida", *(name for name, _, _ in D.COMPARED)))
 
 
@@ -243,7 +244,7 @@ def forecast_interval_exact(spark, folder):
 
 def forecast_interval_seeded(spark, folder):
     """The interval from 500 residuals for each pair, drawn from the pool of the whole history."""
-    made = _future(spark, folder).withColumn("previsao", X.baseline())
+    made = checkpointed(_future(spark, folder).withColumn("previsao", X.baseline()))
     pool = made.where(~F.col("is_future")).select((F.col("consumo_total") - F.col("previsao")).alias("residuo"))
     out = seeded_interval(made.where("is_future").select(*X.KEY, "categoria", F.col("mes").alias("mes_previsao"), "previsao"), pool)
     return rounded(out)
@@ -276,8 +277,9 @@ def drift_zscore_months(spark, folder):
 
 def drift_streamed(spark, folder):
     """The errors of three model names, streamed fold by fold into drift states, a third of the months at a time."""
-    errors = H.walk_forward(_history(spark, folder)).select(F.lit("baseline_mmp").alias("modelo"), "fold", "unidade", "produto", "abs_error")
-    other = H.walk_forward(_history(spark, folder), short_history="mean").select(F.lit("baseline_media").alias("modelo"), "fold", "unidade", "produto", "abs_error")
+    past = checkpointed(_history(spark, folder))
+    errors = H.walk_forward(past).select(F.lit("baseline_mmp").alias("modelo"), "fold", "unidade", "produto", "abs_error")
+    other = H.walk_forward(past, short_history="mean").select(F.lit("baseline_media").alias("modelo"), "fold", "unidade", "produto", "abs_error")
     source, path, checkpoint = (new_folder(spark, name) for name in ("errors", "drift", "drift-log"))
     rows = checkpointed(errors.unionByName(other))
     for k in range(3):  # folds come out of order
@@ -318,10 +320,11 @@ def close_cycle(spark, folder):
 
 
 def _decided_again(spark, folder, mode):
-    panel, policies = _panel(spark, folder), _policies(spark, folder)
+    panel, past = checkpointed(_panel(spark, folder)), checkpointed(_history(spark, folder))
+    policies = checkpointed(Q.policies(P.metrics(panel, MONTHS, SETTINGS), SETTINGS))
     empirical = D.dominated(D.expected(D.costs(panel, policies, SETTINGS)), SETTINGS, mode)
-    trusted = X.gate_table(_history(spark, folder)).select("confiabilidade")
-    made = _future(spark, folder).withColumn("previsao", X.baseline())
+    trusted = X.gate_table(past).select("confiabilidade")
+    made = checkpointed(X.temporal(X.with_next_month(past)).withColumn("previsao", X.baseline()))
     residuals = made.where(~F.col("is_future")).select((F.col("consumo_total") - F.col("previsao")).alias("residuo"))
     active = made.where("is_future").crossJoin(F.broadcast(trusted)).withColumn("previsao_substitui_c4", F.col("confiabilidade") != "insuficiente")  # one row
     out = H.decided_again(empirical, active, residuals, policies, SETTINGS, mode)
@@ -372,19 +375,24 @@ def pareto_units(spark, folder):
     return rounded(rows.select("unidade", "n_pedidos", F.row_number().over(by).alias("ordem"), share.alias("acumulado")))
 
 
+def _learnt_from(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """History and metrics, written once, as models read them again and again."""
+    return checkpointed(_history(spark, folder)), checkpointed(_metrics(spark, folder))
+
+
 def walk_forward_ridge(spark, folder):
     """The errors of ridge regression in every month, all months trained in one pass."""
-    return rounded(L.walk_forward_ridge(_history(spark, folder), _metrics(spark, folder)), 4)
+    return rounded(L.walk_forward_ridge(*_learnt_from(spark, folder)), 4)
 
 
 def walk_forward_ridge_as_of(spark, folder):
     """The same with the metrics that were known before each month."""
-    return rounded(L.walk_forward_ridge(_history(spark, folder), _metrics(spark, folder), as_of=SETTINGS), 4)
+    return rounded(L.walk_forward_ridge(*_learnt_from(spark, folder), as_of=SETTINGS), 4)
 
 
 def ridge_normal_equations(spark, folder):
     """What each month's ridge model says of its training rows, as the left sides of its normal equations."""
-    return rounded(L.normal_equations(_history(spark, folder), _metrics(spark, folder)), 3)
+    return rounded(L.normal_equations(*_learnt_from(spark, folder)), 3)
 
 
 def metrics_as_of(spark, folder):
@@ -394,7 +402,7 @@ def metrics_as_of(spark, folder):
 
 def forecast_ridge(spark, folder):
     """The next month of each pair by ridge regression on the whole history, units without columns of their own."""
-    _, made = L.next_month_ridge(_history(spark, folder), _metrics(spark, folder))
+    _, made = L.next_month_ridge(*_learnt_from(spark, folder))
     return made.select(*X.KEY, "categoria", F.col("mes").alias("mes_previsao"), round_even(F.col("previsao"), 4).alias("previsao"), F.lit("ridge").alias("modelo_usado"))
 
 

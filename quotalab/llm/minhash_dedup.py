@@ -235,7 +235,7 @@ def _rest(lefts: DataFrame, reps: DataFrame, texts: DataFrame, comps: DataFrame)
         (F.col("own") <= F.col("other")).alias("lower"), (F.col("own") >= F.col("other")).alias("upper"),
     )
     cells = cells.join(reps.select("doc_id", "n_shingles", "sig", "groups"), "doc_id").join(texts, "doc_id")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_compare), "a long, b long")
+    return saved(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_compare), "a long, b long"), "rest-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,9 +283,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     side = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     open_ = stars.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({f"c_{x}": F.coalesce(f"c_{x}", x) for x in "ab"})
     open_ = open_.where("c_a <> c_b").groupBy("b", "c_a").agg(F.min("a").alias("a")).select("a", "b")
-    comps = saved(_joined(comps, _links(open_, reps, needed)), "components")
+    comps = _joined(comps, _links(open_, reps, needed))
     # all tables: what these links leave open
-    comps = saved(_joined(comps, _rest(lefts, reps, needed, comps)), "components")
+    comps = _joined(comps, _rest(lefts, reps, needed, comps))
     for table in (lefts, reps, needed, stars):
         forget(table)
 
@@ -307,7 +307,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     """The components once more links are there: those found so far count as links to their smallest node."""
-    return components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+    if links.isEmpty():
+        return comps
+    return saved(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

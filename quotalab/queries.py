@@ -349,7 +349,7 @@ def ledger_from_html(spark, folder):
         "status", F.when(F.col("pedido_extra"), "Sim").otherwise("Não").alias("pedido_extra"), F.lit(None).cast("string").alias("mes_ref"),
     )
     path = new_folder(spark, "tables")
-    write_tables(spelt, path)
+    write_tables(spelt, path, compression="gzip")
     orders = O.normalised(read_tables(spark, path).select(COLUMNS))
     return orders.groupBy("unidade", "categoria", "mes", "status").agg(F.count("*").alias("n"), *(F.sum(q).alias(q) for q in ("qtd_solic", "qtd_env", "qtd_rec")), F.count_if("pedido_extra").alias("n_extra"))
 

@@ -1,24 +1,31 @@
 """HTML tables as a Spark data source: spark.read.format("html_table").load(path), a partition for each file.
 
 A file that cannot be read as the one table of so many columns gives no rows of data: with mode=failfast it ends the read
-with the file's name, with mode=permissive it gives a single row whose columns are null but for _erro.
+with the file's name, with mode=permissive it gives a single row whose columns are null but for _erro. Files are read and
+written in pieces, so that a task holds no more than some thousand rows of a file of any length.
 """
 
 from __future__ import annotations
 
+import codecs
+import gzip
 import posixpath
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .ledger import COLUMNS, MISSING, html_rows
+from .ledger import COLUMNS, MISSING, HtmlRows
 
 #: Added to the schema: the file of a row, and why a file gave none.
 FILE, ERROR = "_arquivo", "_erro"
+#: Bytes of a file that are parsed at once.
+PIECE = 1 << 20
+_MISSING = frozenset(MISSING)
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -54,21 +61,33 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if not isinstance(partition, _File):  # a folder without files
             return
-        system, _ = _filesystem(self.root)
-        why, rows = None, []
         try:
-            with system.open_input_stream(partition.path) as stream:
-                rows = html_rows(stream.read().decode(self.encoding))
-            if wrong := next((r for r in rows if len(r) != len(self.names)), None):
-                raise ValueError(f"{len(self.names)} columns expected, found {len(wrong)}")
+            if self.mode == "permissive":  # rows leave only once the whole file is known to be good
+                for _ in self._pieces(partition):
+                    pass
+            for rows in self._pieces(partition):
+                columns = [[None if c in _MISSING else c for c in column] for column in zip(*rows, strict=True)]
+                yield self._batch(partition, columns, None)
         except (ValueError, OSError) as error:
             if self.mode == "failfast":
                 raise ValueError(f"{partition.path}: {error}") from error
-            why, rows = str(error), [[None] * len(self.names)]
-        columns = {n: [None if r[k] in MISSING else r[k] for r in rows] for k, n in enumerate(self.names)}
-        columns |= {FILE: [posixpath.basename(partition.path)] * len(rows), ERROR: [why] * len(rows)}
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(columns[n], pa.string()) for n in self.all], names=self.all)
+            yield self._batch(partition, [[None] for _ in self.names], str(error))
+
+    def _pieces(self, partition: _File) -> Iterator[list]:
+        """The rows of a file, some at a time."""
+        system, _ = _filesystem(self.root)
+        rows, decoder = HtmlRows(len(self.names)), codecs.getincrementaldecoder(self.encoding)()
+        with system.open_input_stream(partition.path) as stream:
+            while piece := stream.read(PIECE):
+                if found := rows.feed(decoder.decode(piece)):
+                    yield found
+        if found := rows.feed(decoder.decode(b"", final=True), last=True):
+            yield found
+
+    def _batch(self, partition: _File, columns: list[list], why: str | None) -> pa.RecordBatch:
+        n = len(columns[0])
+        every = dict(zip(self.names, columns, strict=True)) | {FILE: [posixpath.basename(partition.path)] * n, ERROR: [why] * n}
+        return pa.RecordBatch.from_arrays([pa.array(every[c], pa.string()) for c in self.all], names=self.all)
 
 
 class _Written(WriterCommitMessage):
@@ -76,25 +95,44 @@ class _Written(WriterCommitMessage):
         self.path, self.rows = path, rows
 
 
-class _Writer(DataSourceWriter):
+def _cells(column: pa.Array) -> pa.Array:
+    """A column as escaped text, null as nothing."""
+    if not pa.types.is_string(column.type):
+        column = pa.array([None if v is None else str(v) for v in column.to_pylist()], pa.string())
+    if pc.any(pc.match_substring_regex(column, "[&<>\"']")).as_py():
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            column = pc.replace_substring(column, sign, name)
+    return pc.fill_null(column, "")
+
+
+class _Writer(DataSourceArrowWriter):
     """A file for each partition, under a name of its own; those of attempts that do not count are taken away."""
 
     def __init__(self, schema: StructType, options: dict) -> None:
-        self.names, self.root = schema.names, options["path"]
+        self.names, self.root, self.compression = schema.names, options["path"], options.get("compression", "none").lower()
+        if self.compression not in ("none", "gzip"):
+            raise ValueError(f"compression is none or gzip, not {self.compression}")
 
-    def write(self, rows: Iterator) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         from html import escape
         from uuid import uuid4
 
         system, root = _filesystem(self.root)
         system.create_dir(root, recursive=True)
-        path, n = f"{root}/part-{uuid4().hex}.html", 0
-        with system.open_output_stream(path) as out:
+        packed = self.compression == "gzip"
+        path, n = f"{root}/part-{uuid4().hex}.html{'.gz' if packed else ''}", 0
+        with system.open_output_stream(path, compression=None) as stream:
+            out = gzip.GzipFile(fileobj=stream, mode="wb", compresslevel=1) if packed else stream
             out.write(("<table><tr>" + "".join(f"<th>{escape(c)}</th>" for c in self.names) + "</tr>\n").encode())
-            for row in rows:
-                out.write(("<tr>" + "".join(f"<td>{'' if v is None else escape(str(v))}</td>" for v in row) + "</tr>\n").encode())
-                n += 1
+            for batch in batches:
+                if batch.num_rows:
+                    between = [x for column in batch.columns for x in ("</td><td>", _cells(column))][1:]
+                    rows = pc.binary_join_element_wise("<tr><td>", *between, "</td></tr>\n", "")
+                    out.write("".join(rows.to_pylist()).encode())
+                    n += batch.num_rows
             out.write(b"</table>\n")
+            if packed:
+                out.close()
         return _Written(path, n)
 
     def commit(self, messages: list) -> None:
@@ -108,7 +146,10 @@ class _Writer(DataSourceWriter):
 
 
 class HtmlTable(DataSource):
-    """Options: path (a file or a folder in any file system that Arrow knows), mode, encoding. All columns are strings."""
+    """Options: path (a file or a folder in any file system that Arrow knows), mode, encoding; for writing compression.
+
+    All columns are strings. Files named .gz are read as such.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -120,7 +161,7 @@ class HtmlTable(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(schema, dict(self.options))
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         if overwrite:
             raise ValueError("html_table appends; it takes nothing away")
         return _Writer(schema, dict(self.options))
@@ -132,7 +173,7 @@ def read_tables(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("html_table").options(**options).load(path)
 
 
-def write_tables(df: DataFrame, path: str) -> None:
-    """df as HTML tables under path, a file for each partition."""
+def write_tables(df: DataFrame, path: str, **options: str) -> None:
+    """df as HTML tables under path, a file for each partition; compression is none or gzip."""
     df.sparkSession.dataSource.register(HtmlTable)
-    df.write.format("html_table").mode("append").save(path)
+    df.write.format("html_table").options(**options).mode("append").save(path)

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .functions.numbers import round_even
+from .functions.numbers import ratio, round_even
 from .functions.shared import checkpointed, new_folder
-from .functions.text import next_month
+from .functions.text import month, next_month
 from .operators import dominance as D
 from .operators import features as X
 from .operators import history as H
@@ -442,9 +442,15 @@ def ledger_summary(spark, folder):
     """One row: what the log tells of the ledger."""
     rows = _orders(spark, folder)
     flags = ("flag_env_maior_solic", "flag_rec_maior_env", "flag_fin_sem_rec", "flag_qualquer_erro")
-    out = rows.agg(
-        F.count("*").alias("linhas"), F.countDistinct("unidade").alias("unidades"), F.countDistinct("produto").alias("produtos"), F.min("mes").alias("de"), F.max("mes").alias("ate"),
-        F.sum("qtd_consumo").alias("consumo"), *(F.count_if(f).alias(f"n_{f[5:]}") for f in flags), F.avg(F.col(flags[-1]).cast("double")).alias("taxa"),
+    # by pair first, with the least and greatest date: of months, which are strings, all rows would be sorted
+    pairs = rows.groupBy("unidade", "produto").agg(
+        F.count("*").alias("linhas"), F.min("data_solic").alias("de"), F.max("data_solic").alias("ate"), F.sum("qtd_consumo").alias("consumo"),
+        *(F.count_if(f).alias(f"n_{f[5:]}") for f in flags), F.count(flags[-1]).alias("julgadas"),
+    )
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    out = pairs.agg(
+        total("linhas").alias("linhas"), F.countDistinct("unidade").alias("unidades"), F.countDistinct("produto").alias("produtos"), month(F.min("de")).alias("de"), month(F.max("ate")).alias("ate"),
+        F.sum("consumo").alias("consumo"), *(total(f"n_{f[5:]}").alias(f"n_{f[5:]}") for f in flags), ratio(F.sum(f"n_{flags[-1][5:]}"), F.sum("julgadas")).alias("taxa"),
     )
     return rounded(out)
 

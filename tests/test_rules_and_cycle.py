@@ -67,3 +67,11 @@ def test_decisions_from_forecasts(spark, mode):
             assert np.isclose(row[f"custo_esp_{name}"], (np.maximum(demand - q, 0) + 0.3 * np.maximum(q - demand, 0)).mean())
         best = min(D.POLICIES, key=lambda n: round(row[f"custo_esp_{n}"], 9))
         assert row["politica_preferida"] == {"buffer": "com_buffer"}.get(best, best) and row["politica_mudou"] == (row["politica_preferida"] != row["politica_empirica"])
+
+
+def test_summary_sorts_no_rows(spark):
+    from quotalab.queries import QUERIES
+
+    made = QUERIES["ledger_summary"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Expand [[unidade" not in plan

@@ -361,8 +361,7 @@ def ledger_rules(spark, folder):
 
 def ledger_offending(spark, folder):
     """Of the orders that break a constraint how many break which, by unit."""
-    _, broken = R.parted(ledger(spark, folder), R.order_rules(SETTINGS))
-    return broken.select("unidade", "qtd_solic", F.explode("regras").alias("regra")).groupBy("unidade", "regra").agg(F.count("*").alias("n"), F.sum("qtd_solic").alias("qtd_solic"))
+    return R.offending(ledger(spark, folder), R.order_rules(SETTINGS), "unidade", "qtd_solic")
 
 
 def pareto_units(spark, folder):

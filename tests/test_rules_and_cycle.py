@@ -75,3 +75,16 @@ def test_summary_sorts_no_rows(spark):
     made = QUERIES["ledger_summary"](spark, "/root/testdata/sf0.001")
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "Expand [[unidade" not in plan
+
+
+def test_offending_equals_parted_rows(spark):
+    r = random.Random(2)
+    rows = [(r.choice(["x", "y", "z", None]), r.choice([*range(30), None]), r.choice(["p", "p", "p", "q", None]), float(r.randrange(-1, 4))) for _ in range(150)]
+    table = spark.createDataFrame(rows, "a string, b long, c string, v double").repartition(5)
+    declared = [rules.Check("positive", F.col("v") < 0), rules.Unique("key", ("a", "b")), rules.Depends("one_c", ("b",), "c"), rules.Check("known", F.col("c").isNull())]
+    plain = rules.parted(table, declared)[1].select("a", "v", F.explode("regras").alias("regra")).groupBy("a", "regra").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    got = rules.offending(table, declared, "a", "v")
+    assert got.columns == ["a", "regra", "n", "v"] and plain.count() > 10
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    for group in (rules._groups(table, declared[2]), rules.judged(table, declared)):
+        assert "SortAggregate" not in group._jdf.queryExecution().executedPlan().toString()

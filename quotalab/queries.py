@@ -48,8 +48,13 @@ def _orders(spark: SparkSession, folder: str, months: tuple[str, ...] | None = N
     return O.consolidated(O.flagged(ledger(spark, folder, months), SETTINGS), SETTINGS)
 
 
+def _monthly(spark: SparkSession, folder: str, months: tuple[str, ...] | None = None) -> DataFrame:
+    """The months of each pair, written once: history and panel come from them, and are read several times."""
+    return checkpointed(P.monthly(_orders(spark, folder, months)))
+
+
 def _panel(spark: SparkSession, folder: str) -> DataFrame:
-    return P.balanced(P.monthly(_orders(spark, folder, MONTHS)), MONTHS)
+    return P.balanced(_monthly(spark, folder, MONTHS), MONTHS)
 
 
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,14 +65,22 @@ def _policies(spark: SparkSession, folder: str) -> DataFrame:
     return Q.policies(_metrics(spark, folder), SETTINGS)
 
 
+def _costs_of(panel: DataFrame) -> DataFrame:
+    return D.costs(panel, Q.policies(P.metrics(panel, MONTHS, SETTINGS), SETTINGS), SETTINGS)
+
+
 def _costs(spark: SparkSession, folder: str) -> DataFrame:
-    return D.costs(_panel(spark, folder), _policies(spark, folder), SETTINGS)
+    return _costs_of(_panel(spark, folder))
 
 
-def _history(spark: SparkSession, folder: str, months: tuple[str, ...] | None = None) -> DataFrame:
+def _history_of(months: DataFrame) -> DataFrame:
     """Months in which a pair has orders, as the history keeps them."""
     totals = {"consumo_total": F.col("consumo_reg") + F.col("consumo_extra"), "demanda_total": F.col("demanda_reg") + F.col("demanda_extra")}
-    return P.monthly(_orders(spark, folder, months)).withColumns(totals).select(*H.HISTORY)
+    return months.withColumns(totals).select(*H.HISTORY)
+
+
+def _history(spark: SparkSession, folder: str) -> DataFrame:
+    return _history_of(_monthly(spark, folder))
 
 
 def ledger_normalize(spark, folder):
@@ -277,7 +290,7 @@ def drift_zscore_months(spark, folder):
 
 def drift_streamed(spark, folder):
     """The errors of three model names, streamed fold by fold into drift states, a third of the months at a time."""
-    past = checkpointed(_history(spark, folder))
+    past = _history(spark, folder)
     errors = H.walk_forward(past).select(F.lit("baseline_mmp").alias("modelo"), "fold", "unidade", "produto", "abs_error")
     other = H.walk_forward(past, short_history="mean").select(F.lit("baseline_media").alias("modelo"), "fold", "unidade", "produto", "abs_error")
     source, path, checkpoint = (new_folder(spark, name) for name in ("errors", "drift", "drift-log"))
@@ -311,16 +324,18 @@ def registry_promotion(spark, folder):
 
 def close_cycle(spark, folder):
     """Forecasts of all pairs are active unless the gate finds the months of the history too few."""
-    past = _history(spark, folder)
+    months = _monthly(spark, folder)
+    past = _history_of(months)
     trusted = X.gate(past.agg(F.countDistinct("mes")).first()[0])
     flags = {"previsao_substitui_c4": F.lit(trusted != "insuficiente"), "confiabilidade": F.lit(trusted), "modelo_usado": F.lit("baseline_mmp")}
     made = X.forecast(X.temporal(X.with_next_month(past))).withColumns(flags)
-    out = H.closed_loop(D.expected(_costs(spark, folder)).select(*P.PAIR, "politica_preferida"), made)
+    out = H.closed_loop(D.expected(_costs_of(P.balanced(months, MONTHS))).select(*P.PAIR, "politica_preferida"), made)
     return rounded(out.select(*P.PAIR, "politica_preferida", "demanda_prevista", "fonte_demanda", "confiabilidade_ml", "modelo_ml"))
 
 
 def _decided_again(spark, folder, mode):
-    panel, past = checkpointed(_panel(spark, folder)), checkpointed(_history(spark, folder))
+    months = _monthly(spark, folder)
+    panel, past = P.balanced(months, MONTHS), _history_of(months)
     policies = checkpointed(Q.policies(P.metrics(panel, MONTHS, SETTINGS), SETTINGS))
     empirical = D.dominated(D.expected(D.costs(panel, policies, SETTINGS)), SETTINGS, mode)
     trusted = X.gate_table(past).select("confiabilidade")
@@ -375,8 +390,9 @@ def pareto_units(spark, folder):
 
 
 def _learnt_from(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """History and metrics, written once, as models read them again and again."""
-    return checkpointed(_history(spark, folder)), checkpointed(_metrics(spark, folder))
+    """History and metrics from one pass over the orders; models read them again and again."""
+    months = _monthly(spark, folder)
+    return _history_of(months), checkpointed(P.metrics(P.balanced(months, MONTHS), MONTHS, SETTINGS))
 
 
 def walk_forward_ridge(spark, folder):
@@ -407,10 +423,10 @@ def forecast_ridge(spark, folder):
 
 def _modelled(name: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        past = checkpointed(_history(spark, folder))
+        past, metrics = _learnt_from(spark, folder)
         # as many values as units, categories and months
         units, categories, months = past.agg(F.sort_array(F.collect_set("unidade")), F.sort_array(F.collect_set("categoria")), F.countDistinct("mes")).first()
-        rows = feature_table(past, _metrics(spark, folder), seasonal=X.gate(months) == "operacional", units=units, categories=categories)
+        rows = feature_table(past, metrics, seasonal=X.gate(months) == "operacional", units=units, categories=categories)
         columns = X.feature_columns(rows.columns)
         rows = rows.persist()
         made = MODELS[name]().fit(rows.where(~F.col("is_future")), columns).predict(rows.where("is_future"))

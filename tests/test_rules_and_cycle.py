@@ -69,14 +69,6 @@ def test_decisions_from_forecasts(spark, mode):
         assert row["politica_preferida"] == {"buffer": "com_buffer"}.get(best, best) and row["politica_mudou"] == (row["politica_preferida"] != row["politica_empirica"])
 
 
-def test_summary_sorts_no_rows(spark):
-    from quotalab.queries import QUERIES
-
-    made = QUERIES["ledger_summary"](spark, "/root/testdata/sf0.001")
-    plan = made._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in plan and "Expand [[unidade" not in plan
-
-
 def test_offending_equals_parted_rows(spark):
     r = random.Random(2)
     rows = [(r.choice(["x", "y", "z", None]), r.choice([*range(30), None]), r.choice(["p", "p", "p", "q", None]), float(r.randrange(-1, 4))) for _ in range(150)]
@@ -88,3 +80,19 @@ def test_offending_equals_parted_rows(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
     for group in (rules._groups(table, declared[2]), rules.judged(table, declared)):
         assert "SortAggregate" not in group._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summary_sorts_no_rows(spark):
+    from quotalab.queries import QUERIES
+
+    made = QUERIES["ledger_summary"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Expand [[unidade" not in plan
+
+
+def test_history_and_panel_are_made_once(spark):
+    from quotalab.queries import QUERIES
+
+    for name in ("close_cycle", "metrics_as_of", "forecast_interval_exact", "drift_zscore_rows"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan and "l_orderkey" not in plan, name

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -36,6 +37,9 @@ from .streaming.drift import drift_of, follow_errors
 SETTINGS = Settings(months=MONTHS)
 CATEGORIES = ["CATEGORIA_A", "CATEGORIA_B", "CATEGORIA_C"]
 
+#: Rows of a history that a task of a model takes in each pass.
+ROWS_OF_A_PART = 10_000
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -428,7 +432,9 @@ def _modelled(name: str) -> Query:
         units, categories, months = past.agg(F.sort_array(F.collect_set("unidade")), F.sort_array(F.collect_set("categoria")), F.countDistinct("mes")).first()
         rows = feature_table(past, metrics, seasonal=X.gate(months) == "operacional", units=units, categories=categories)
         columns = X.feature_columns(rows.columns)
-        rows = rows.persist()
+        rows = checkpointed(rows)
+        # each of some hundred passes has a task for each part: parts go by rows, not by the shuffles behind them
+        rows = rows.repartition(math.ceil(rows.count() / ROWS_OF_A_PART) or 1, *X.KEY).persist()
         made = MODELS[name]().fit(rows.where(~F.col("is_future")), columns).predict(rows.where("is_future"))
         made = checkpointed(made.select(*X.KEY, "categoria", F.col("mes").alias("mes_previsao"), round_even(F.col("previsao"), 4).alias("previsao"), F.lit(name).alias("modelo_usado")))
         rows.unpersist()

@@ -96,3 +96,22 @@ def test_history_and_panel_are_made_once(spark):
     for name in ("close_cycle", "metrics_as_of", "forecast_interval_exact", "drift_zscore_rows"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "lineitem" not in plan and "l_orderkey" not in plan, name
+
+
+def test_models_pass_over_parts_by_rows(spark, monkeypatch):
+    from quotalab import queries
+
+    seen = []
+
+    class Fake:
+        def fit(self, rows, features):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+            return self
+
+        def predict(self, rows):
+            return rows.withColumn("previsao", F.lit(0.0))
+
+    monkeypatch.setitem(queries.MODELS, "lgbm", Fake)
+    monkeypatch.setattr(queries, "ROWS_OF_A_PART", 700)
+    made = queries.QUERIES["forecast_gbt"](spark, "/root/testdata/sf0.001").count()
+    assert made and seen[0][0] == -(-(seen[0][1] + made) // 700) > 1

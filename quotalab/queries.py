@@ -77,14 +77,10 @@ def _costs(spark: SparkSession, folder: str) -> DataFrame:
     return _costs_of(_panel(spark, folder))
 
 
-def _history_of(months: DataFrame) -> DataFrame:
-    """Months in which a pair has orders, as the history keeps them."""
+def _history(spark: SparkSession, folder: str, months: tuple[str, ...] | None = None, made: DataFrame | None = None) -> DataFrame:
+    """Months in which a pair has orders, as the history keeps them; from the table of months where it is made already."""
     totals = {"consumo_total": F.col("consumo_reg") + F.col("consumo_extra"), "demanda_total": F.col("demanda_reg") + F.col("demanda_extra")}
-    return months.withColumns(totals).select(*H.HISTORY)
-
-
-def _history(spark: SparkSession, folder: str) -> DataFrame:
-    return _history_of(_monthly(spark, folder))
+    return (_monthly(spark, folder, months) if made is None else made).withColumns(totals).select(*H.HISTORY)
 
 
 def ledger_normalize(spark, folder):
@@ -329,7 +325,7 @@ def registry_promotion(spark, folder):
 def close_cycle(spark, folder):
     """Forecasts of all pairs are active unless the gate finds the months of the history too few."""
     months = _monthly(spark, folder)
-    past = _history_of(months)
+    past = _history(spark, folder, None, months)
     trusted = X.gate(past.agg(F.countDistinct("mes")).first()[0])
     flags = {"previsao_substitui_c4": F.lit(trusted != "insuficiente"), "confiabilidade": F.lit(trusted), "modelo_usado": F.lit("baseline_mmp")}
     made = X.forecast(X.temporal(X.with_next_month(past))).withColumns(flags)
@@ -339,7 +335,7 @@ def close_cycle(spark, folder):
 
 def _decided_again(spark, folder, mode):
     months = _monthly(spark, folder)
-    panel, past = P.balanced(months, MONTHS), _history_of(months)
+    panel, past = P.balanced(months, MONTHS), _history(spark, folder, None, months)
     policies = checkpointed(Q.policies(P.metrics(panel, MONTHS, SETTINGS), SETTINGS))
     empirical = D.dominated(D.expected(D.costs(panel, policies, SETTINGS)), SETTINGS, mode)
     trusted = X.gate_table(past).select("confiabilidade")
@@ -396,7 +392,7 @@ def pareto_units(spark, folder):
 def _learnt_from(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """History and metrics from one pass over the orders; models read them again and again."""
     months = _monthly(spark, folder)
-    return _history_of(months), checkpointed(P.metrics(P.balanced(months, MONTHS), MONTHS, SETTINGS))
+    return _history(spark, folder, None, months), checkpointed(P.metrics(P.balanced(months, MONTHS), MONTHS, SETTINGS))
 
 
 def walk_forward_ridge(spark, folder):

@@ -31,9 +31,13 @@ WIDTH = 2  # minhashes in a group
 HASHES = 2 * SIDE * WIDTH
 #: A pair at the least similarity agrees in 72 of 96 minhashes on average.
 AGREE = 48
-#: Documents under a key that are compared at once; more are dealt as pairs of blocks, and beyond CROWD by right groups.
+#: Documents under a left group that make one cell; more are a crowd, which is compared as pairs of blocks.
 BLOCK = 512
-CROWD = 4096
+#: A crowd has at most so many blocks, and so many copies of a row, unless a block would hold more documents or text.
+BLOCKS = 16
+BLOCK_ROWS = 4096
+BLOCK_BYTES = 8 << 20
+FOUND = 1 << 20  # pairs that a comparing task holds at once
 #: A class of equal sets with more than this share of all rows is large: at most as many are, small enough to broadcast.
 HOT_SHARE = 1000
 HELD_BYTES = 16 << 20  # text that a comparing task gathers before it looks for whole cells
@@ -145,14 +149,15 @@ class _Roots(dict):
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between different components inside one cell. Rows come sorted by cell; a cell is bounded.
 
-    A pair under several keys is compared once, in the cell of the first left group (and right group) that it shares;
-    the pairs of a cell go by the agreement of their signatures, and those that links of the cell have joined by then
-    need no comparison. Near pairs are confirmed on their shingle sets here, so that only links leave the task.
+    A pair under several keys is compared once, in the cell of the first left group that it shares, and in the crowds
+    that hold both; the pairs of a cell go by the agreement of their signatures, and those that links of the cell have
+    joined by then need no comparison. Near pairs are confirmed on their shingle sets here, so that only links leave
+    the task.
     """
     held: list[pa.RecordBatch] = []
 
     def links(table: pa.Table) -> pa.RecordBatch:
-        cell, ids, comp, n, slot, other_slot = (table.column(x).to_numpy() for x in ("cell", "doc_id", "component", "n_shingles", "slot", "right_slot"))
+        cell, ids, comp, n, slot = (table.column(x).to_numpy() for x in ("cell", "doc_id", "component", "n_shingles", "slot"))
         sig = _rows(table.column("sig").combine_chunks())
         groups = table.column("groups").combine_chunks().flatten().to_numpy().reshape(-1, 2 * SIDE)
         low, high = (table.column(x).to_numpy(zero_copy_only=False) for x in ("lower", "upper"))
@@ -162,18 +167,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip([0, *cuts], [*cuts, len(cell)], strict=True):
             if comp[lo:hi].min() == comp[lo:hi].max():
                 continue
-            uppers = np.flatnonzero(high[lo:hi]) + lo
-            found = []
-            for i in np.flatnonzero(low[lo:hi]) + lo:
-                # in a block with itself each pair is seen from its smaller id
-                other = uppers[(comp[uppers] != comp[i]) & (100 * np.minimum(n[uppers], n[i]) >= PERCENT * np.maximum(n[uppers], n[i])) & (~(low[uppers] & high[i]) | (ids[uppers] > ids[i]))]
-                agree = (sig[other] == sig[i]).sum(1)
-                other, agree = other[agree >= AGREE], agree[agree >= AGREE]
-                same = groups[other] == groups[i]
-                left, right = same[:, :SIDE], same[:, SIDE:]
-                ok = (left.argmax(1) == slot[i]) & right.any(1) & ((other_slot[i] < 0) | (right.argmax(1) == other_slot[i]))
-                found.append(np.stack([-agree[ok], np.full(int(ok.sum()), i), other[ok]]))
-            found = np.concatenate(found, axis=1)
+            lowers, uppers = np.flatnonzero(low[lo:hi]) + lo, np.flatnonzero(high[lo:hi]) + lo
             roots, sets = _Roots(), {}
 
             def set_of(k: int) -> np.ndarray:
@@ -181,12 +175,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sets[k] = np.unique(shingles(lower_words(texts.slice(k, 1), SPACE_WORDS), 1, WORDS)[0])
                 return sets[k]
 
-            for _, i, k in found[:, np.lexsort(found)].T.tolist():
-                c, d = roots.of(int(comp[i])), roots.of(int(comp[k]))
-                if c != d and _similar(set_of(i), set_of(k)):
-                    roots[max(c, d)] = min(c, d)
-                    a.append(min(ids[i], ids[k]))
-                    b.append(max(ids[i], ids[k]))
+            step = max(1, FOUND // max(len(uppers), 1))
+            for at in range(0, len(lowers), step):
+                found = []
+                for i in lowers[at : at + step]:
+                    # in a block with itself each pair is seen from its smaller id
+                    other = uppers[(comp[uppers] != comp[i]) & (100 * np.minimum(n[uppers], n[i]) >= PERCENT * np.maximum(n[uppers], n[i])) & (~(low[uppers] & high[i]) | (ids[uppers] > ids[i]))]
+                    agree = (sig[other] == sig[i]).sum(1)
+                    other, agree = other[agree >= AGREE], agree[agree >= AGREE]
+                    same = groups[other] == groups[i]
+                    left, right = same[:, :SIDE], same[:, SIDE:]
+                    ok = (left.any(1) if slot[i] < 0 else left.argmax(1) == slot[i]) & right.any(1)
+                    found.append(np.stack([-agree[ok], np.full(int(ok.sum()), i), other[ok]]))
+                found = np.concatenate(found, axis=1)
+                for _, i, k in found[:, np.lexsort(found)].T.tolist():
+                    c, d = roots.of(int(comp[i])), roots.of(int(comp[k]))
+                    if c != d and _similar(set_of(i), set_of(k)):
+                        roots[max(c, d)] = min(c, d)
+                        a.append(min(ids[i], ids[k]))
+                        b.append(max(ids[i], ids[k]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for whole in batches:
@@ -212,30 +219,45 @@ def _spanning(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key")
 
 
+def _crowds(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The documents under the crowded keys of rows as crowds (key, doc_id, component, nb blocks), each once in a crowd.
+
+    Texts that are alike, near copies or holders of one passage, meet under many left groups. The keys of which one
+    document is the busiest, the one under most crowded keys, are one crowd: at most SIDE of them, as it has SIDE keys.
+    A crowd holds all documents under its keys, so no pair is lost.
+    """
+    busy = rows.groupBy("doc_id").agg(F.count("*").alias("keys"))
+    heads = rows.join(busy, "doc_id").groupBy("key").agg(F.max(F.struct("keys", "doc_id")).alias("head"))
+    crowds = rows.join(heads, "key").select(F.col("head.doc_id").alias("key"), "doc_id", "component").distinct()
+    sizes = crowds.join(texts.select("doc_id", "bytes"), "doc_id").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    # few blocks, so that the copies of a row do not grow with its crowd; more of them only to bound the memory of a task
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    return crowds.join(sizes.select("key", blocks.cast("int").alias("nb")), "key")
+
+
 def _rest(lefts: DataFrame, reps: DataFrame, texts: DataFrame, comps: DataFrame) -> DataFrame:
     """Links of all tables that the diagonal ones leave open: pairs of different components under one key.
 
     Documents meet under their left groups; those of a pair that share a right group too are under one table's key.
-    A left group with more than CROWD documents is first dealt by right groups, so its keys are formed outright. A
-    cell of more than BLOCK documents is compared as pairs of blocks, each its own cell. Nothing is left out.
+    Left groups with more than BLOCK documents are put together as crowds and compared as pairs of blocks, each its
+    own cell. Nothing is left out.
     """
     own = lefts.join(comps, lefts.doc_id == comps.node, "left").select("key", "slot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    rows = _spanning(own)
-    few = rows.where(F.col("n") <= CROWD).withColumn("right_slot", F.lit(-1))
-    many = rows.where(F.col("n") > CROWD).join(reps.select("doc_id", F.slice("groups", SIDE + 1, SIDE).alias("rights")), "doc_id")
-    many = many.select("key", "slot", "doc_id", "component", F.posexplode("rights").alias("right_slot", "right"))
-    many = _spanning(many.select(F.xxhash64("key", "right").alias("key"), "slot", "doc_id", "component", "right_slot"))
-    rows = few.unionByName(many)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own_block = F.when(blocks > 1, F.pmod(F.xxhash64("doc_id"), blocks)).otherwise(0).cast("int")
+    rows = saved(_spanning(own), "spanning")
+    few = rows.where(F.col("n") <= BLOCK).select("key", "slot", "doc_id", "component", F.lit(1).alias("nb"))
+    crowds = _crowds(rows.where(F.col("n") > BLOCK), texts).select("key", F.lit(-1).alias("slot"), "doc_id", "component", "nb")
+    met = few.unionByName(crowds)
+    own_block = F.pmod(F.xxhash64("doc_id"), "nb").cast("int")
     # a row goes to the cells of its block with every block; there the lower block's rows meet the upper one's
-    cells = rows.withColumns({"nb": blocks, "own": own_block}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    cells = met.withColumn("own", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     cells = cells.select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "slot", "right_slot", "doc_id", "component",
+        F.xxhash64("key", "slot", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "slot", "doc_id", "component",
         (F.col("own") <= F.col("other")).alias("lower"), (F.col("own") >= F.col("other")).alias("upper"),
     )
-    cells = cells.join(reps.select("doc_id", "n_shingles", "sig", "groups"), "doc_id").join(texts, "doc_id")
-    return saved(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_compare), "a long, b long"), "rest-links")
+    cells = cells.join(reps.select("doc_id", "n_shingles", "sig", "groups"), "doc_id").join(texts.select("doc_id", "text"), "doc_id")
+    links = saved(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_compare), "a long, b long"), "rest-links")
+    forget(rows)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,7 +292,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     reps = saved(heads.withColumnRenamed("node", "doc_id").join(lefts.select("doc_id").distinct(), "doc_id", "left_semi"), "reps")
     forget(heads)
     wanted = own.join(reps.select(F.col("doc_id").alias("node")), "node", "left_semi")
-    needed = saved(texts.join(wanted, ["doc_id", "digest"]).select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "near-texts")
+    needed = saved(texts.join(wanted, ["doc_id", "digest"]).select(F.col("node").alias("doc_id"), "text", F.octet_length("text").alias("bytes")).dropDuplicates(["doc_id"]), "near-texts")
 
     # the diagonal tables: each node against the smallest one under any of its keys; then, for keys that these links
     # leave divided, against one smallest node of each other component

@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quotalab.llm import anchored, decontaminate, suffix_dedup
+from quotalab.llm import anchored, decontaminate, minhash_dedup, suffix_dedup
 from quotalab.llm.anchored import keyed
 from quotalab.llm.decontaminate import contamination, decontaminated, judged
 from quotalab.llm.minhash_dedup import near_duplicates, without_copies
@@ -173,6 +174,83 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def alike_texts(n, seed):
+    """Near copies of one text, a part of them linked, and holders of one passage, which are not."""
+    r = random.Random(seed)
+    base, passage = [["%s%d" % (kind, k) for k in range(size)] for kind, size in (("b", 150), ("p", 60))]
+    texts = []
+    for i in range(n):
+        own = ["o%d" % r.randrange(10**9) for _ in range(60)]
+        if i % 4 == 3:
+            texts.append(" ".join(passage + own))
+            continue
+        words = list(base)
+        for k in range(1 + 2 * (i % 5)):
+            words[(k * 17 + r.randrange(17)) % 150] = own[k]
+        texts.append(" ".join(words))
+    return list(enumerate(texts))
+
+
+def components_of(texts):
+    sets, root = {i: shingle_set(t) for i, t in texts}, {i: i for i, _ in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_copies_of_rows_do_not_grow_with_the_square_of_a_crowd(spark, monkeypatch):
+    whole, sent = minhash_dedup._rest, []
+
+    def rows_of(batches):
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([x.column("cell"), x.column("doc_id")], ["a", "b"])
+
+    def rest(*tables):
+        with monkeypatch.context() as patch:
+            patch.setattr(minhash_dedup, "_compare", rows_of)
+            patch.setattr(minhash_dedup, "saved", lambda df, name: df if name == "rest-links" else saved(df, name))
+            patch.setattr(minhash_dedup, "forget", lambda df: None)
+            sent.append(whole(*tables).count())
+        return whole(*tables)
+
+    monkeypatch.setattr(minhash_dedup, "_rest", rest)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "BLOCKS", 4, raising=False)
+    for n in (160, 320):
+        texts = alike_texts(n, 4)
+        got = {x["doc_id"]: x["component_id"] for x in near_duplicates(docs_of(spark, texts)).collect()}
+        want = components_of(texts)
+        assert got == want and n // 3 < len(set(want.values())) < n
+    assert 0 < sent[1] <= 2.5 * sent[0], sent
+
+
+def test_a_large_cell_is_compared_in_steps(monkeypatch):
+    texts = alike_texts(150, 5)
+    ids, words = zip(*texts, strict=True)
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": list(words), "digest": pa.array(ids, pa.int64())})
+    table = pa.Table.from_batches(minhash_dedup._sketch(iter([rows])))
+    n = len(ids)
+    cell = {"cell": np.zeros(n, np.int64), "slot": np.full(n, -1, np.int32), "component": np.array(ids), "lower": np.ones(n, bool), "upper": np.ones(n, bool), "text": list(words)}
+    for name, x in cell.items():
+        table = table.append_column(name, pa.array(x))
+    want = components_of(texts)
+    for step in (1 << 20, 1000):
+        monkeypatch.setattr(minhash_dedup, "FOUND", step)
+        links = pa.Table.from_batches(minhash_dedup._compare(iter(table.combine_chunks().to_batches())))
+        pairs = list(zip(*links.to_pydict().values(), strict=True))
+        assert len(pairs) == n - len(set(want.values()))  # a forest
+        assert all(want[a] == want[b] for a, b in pairs)
+
+
 def test_copies_under_shared_and_missing_ids(spark):
     r = random.Random(12)
     text = lambda: " ".join("t%d" % r.randrange(10**6) for _ in range(80))
